@@ -11,6 +11,7 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,6 +151,8 @@ def _mapped(path: str) -> np.ndarray:
 def bucket_bits(df: DataFrame, mb_each: float, least: int = 2, most: int = 14) -> int:
     """log2 of a number of buckets in proportion to the size of what df reads."""
     exact = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if exact >= 2.0**60:  # the planner doesn't know
+        exact = float(df.select(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(8)).alias("n")).agg(F.sum("n")).first()[0] or 0)
     return int(min(most, max(least, np.ceil(np.log2(max(1.0, exact / (mb_each * 1e6)))))))
 
 
@@ -302,3 +305,32 @@ def rewrite_rows(docs: DataFrame, change: Callable[[pa.RecordBatch, int, int], p
             yield change(batch, at_id, at_text)
 
     return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
+# ---------------------------------------------------------------- words
+
+
+def words_of(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words between ASCII white space of a batch's texts: where each row's begin (one more at the end), each word's code,
+    and the distinct words by code. Splitting and coding stay in Arrow; Python sees a distinct word once a batch."""
+    column = pc.fill_null(column.cast(pa.string()), "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    flat = pc.dictionary_encode(split.flatten().cast(pa.binary()))
+    codes = flat.indices.to_numpy(zero_copy_only=False)
+    starts = split.offsets.to_numpy() - (split.offsets[0].as_py() if len(split) else 0)
+    distinct = flat.dictionary.to_pylist()
+    if b"" in distinct:  # before leading and after trailing white space
+        keep = codes != distinct.index(b"")
+        starts = np.append(0, np.cumsum(keep))[starts]
+        codes = codes[keep]
+    return starts.astype(np.int64), codes, distinct
+
+
+def gather(codes: np.ndarray, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces named by codes, one after another, as items of width bytes, and how many items each code gave."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // width
+    flat = np.frombuffer(b"".join(pieces), f"<u{width}")
+    begin = np.cumsum(sizes) - sizes
+    each = sizes[codes]
+    ends = np.cumsum(each)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - each - begin[codes], each)], each

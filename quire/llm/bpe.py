@@ -12,17 +12,20 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from ._core import pick, texts
+from ._core import gather, pick, texts
 
 NONE = (1 << 62) - 1
-#: Distinct matches whose ids a worker keeps, and the length up to which it keeps them.
-CACHE_PIECES, CACHE_CHARS = 400_000, 64
+#: Distinct matches whose ids a worker keeps in each of two generations (when the younger is full it becomes the older), and
+#: the length up to which it keeps them.
+CACHE_PIECES, CACHE_CHARS = 600_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -88,18 +91,28 @@ class PieceEncoder(dict):
     def __init__(self, rank_path: str, pattern: str):
         super().__init__()
         self.ranks = load_ranks(rank_path)
+        self.older: dict[str, bytes] = {}
         self.find = regex.compile(pattern).findall
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge_piece(piece.encode("utf-8"), self.ranks), "<i4").tobytes()
+        if len(self) >= CACHE_PIECES:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = np.array(merge_piece(piece.encode("utf-8"), self.ranks), "<u4").tobytes()
         if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
             self[piece] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.find(text)))
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after another, and where each text's begin (one more at the end). A distinct match is looked up once."""
+        found = list(map(self.find, texts))
+        counts = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        coded = pc.dictionary_encode(pa.array(list(chain.from_iterable(found)), pa.string()))
+        del found
+        flat, each = gather(coded.indices.to_numpy(zero_copy_only=False), list(map(self.__getitem__, coded.dictionary.to_pylist())), 4)
+        return flat, np.append(0, np.append(0, np.cumsum(each))[counts])
 
 
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
@@ -117,10 +130,8 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                blobs = [encoder.encode(t) for t in texts(part.column(1))]
-                offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])]).astype(np.int32)
-                values = np.frombuffer(b"".join(blobs), "<i4")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "ids"])
+                flat, starts = encoder.encode(texts(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat.view("<i4")))], names=["doc_id", "ids"])
 
     docs = pick(docs, "doc_id", "text")
     return docs.select(docs.doc_id.cast("long"), docs.text.cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -136,14 +147,20 @@ def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
             for token, rank in ranks.items():
                 table[rank] = token
             _TOKENS[rank_path] = table
-        get = _TOKENS[rank_path].__getitem__
+        table = _TOKENS[rank_path]
+        sizes = np.fromiter(map(len, table), np.int64, len(table))
+        data, begin = np.frombuffer(b"".join(table), np.uint8), np.cumsum(sizes) - sizes
         for batch in batches:
-            ids = batch.column(1)
-            flat = ids.flatten().to_numpy(zero_copy_only=False).tolist() if ids.null_count < len(ids) else []
-            out, at = [], 0
-            for n in ids.value_lengths().to_pylist():
-                out.append(b"".join(map(get, flat[at : at + (n or 0)])))
-                at += n or 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
+                ids = part.column(1)
+                flat = ids.flatten().to_numpy(zero_copy_only=False)
+                each = sizes[flat]
+                ends = np.cumsum(each)
+                joined = data[np.arange(int(each.sum())) - np.repeat(ends - each - begin[flat], each)]
+                counts = np.append(0, np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False)))
+                bounds = np.append(0, ends)[counts].astype(np.int32)
+                decoded = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(bounds), pa.py_buffer(joined)])
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, decoded], names=["doc_id", "ids", "decoded"])
 
     return pick(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

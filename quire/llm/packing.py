@@ -11,18 +11,22 @@ packed row by row; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._core import pick, utf8
+from ._core import gather, pick, words_of
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket int"
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+#: Words whose ids a worker keeps in each of two generations: when the younger is full it becomes the older.
+CACHE_WORDS = 600_000
 
 
 class WordEncoder:
@@ -35,27 +39,31 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def encode(self, docs: list[bytes]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each document."""
-        for doc in docs:
-            parts = doc.split()
-            known = self.known
-            try:
-                yield b"".join([known[p] for p in parts])
-            except KeyError:
-                self._learn(parts)
-                known = self.known
-                yield b"".join([known[p] for p in parts])
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each of some distinct words."""
+        try:
+            return [self.known[w] for w in words]
+        except KeyError:
+            self._learn(words)
+            return [self.known[w] for w in words]
 
     def _learn(self, parts: list[bytes]) -> None:
-        new = list(dict.fromkeys(p for p in parts if p not in self.known))
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {}
-            new = list(dict.fromkeys(parts))
-        got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-        for part, enc in zip(new, got, strict=True):
-            self.known[part] = np.array(enc.ids, "<u4").tobytes()
+        new = [p for p in parts if p not in self.known]
+        if self.known and len(self.known) + len(new) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+            new = parts
+        lost = []
+        for p in new:
+            ids = self.older.get(p)
+            if ids is None:
+                lost.append(p)
+            else:
+                self.known[p] = ids
+        got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in lost], add_special_tokens=False)
+        for part, enc in zip(lost, got, strict=True):
+            self.known[part] = array("I", enc.ids).tobytes() if LITTLE else np.array(enc.ids, "<u4").tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -80,28 +88,31 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: int
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
         for batch in batches:
-            ids = batch.column(0)
-            for low in range(0, len(ids), 1000):
-                rows, starts, lengths, blobs, totals = [], [], [], [], []
-                for i, enc in enumerate(encoder.encode(utf8(batch.column(1).slice(low, 1000)))):
-                    enc += end
-                    n, at = len(enc) // 4, 0
-                    for size in piece_lengths(n, max_len):
-                        rows.append(low + i)
-                        starts.append(at)
-                        lengths.append(size)
-                        blobs.append(enc[4 * at : 4 * (at + size)])
-                        totals.append(n)
-                        at += size
-                k = len(rows)
-                numbers = np.arange(sequence, sequence + k, dtype=np.int64)
-                sequence += k
-                sizes = np.array(lengths, np.int64)
+            starts, codes, distinct = words_of(batch.column(1))
+            # each row's words, then the end id
+            codes = np.insert(codes, starts[1:], len(distinct))
+            flat, each = gather(codes, [*encoder.ids_of(distinct), end], 4)
+            ends = np.append(0, np.cumsum(each))[starts[1:] + np.arange(1, len(starts))]
+            totals = np.diff(np.append(0, ends))
+            cut = [piece_lengths(n, max_len) for n in totals.tolist()]
+            counts = np.fromiter(map(len, cut), np.int64, len(cut))
+            sizes = np.fromiter(chain.from_iterable(cut), np.int64, int(counts.sum()))
+            rows = np.repeat(np.arange(len(cut)), counts)
+            at = np.cumsum(sizes) - sizes  # of each piece among the batch's ids
+            begin = at - np.repeat(ends - totals, counts)
+            step = 1 << 14
+            for low in range(0, len(rows), step):
+                part = slice(low, low + step)
+                k = len(rows[part])
+                bounds = 4 * (np.append(at[part], at[part][-1] + sizes[part][-1]) - at[low])
+                data = flat[at[low] : at[low] + bounds[-1] // 4]
+                blobs = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(sizes), pa.array(blobs, pa.binary()), pa.array(totals, pa.int64()),
-                     pa.array(numbers), pa.array(np.zeros(k, np.int64)), pa.array(np.log2(sizes).astype(np.int32))],
+                    [batch.column(0).take(pa.array(rows[part])), pa.array(begin[part]), pa.array(sizes[part]), blobs, pa.array(totals[rows[part]]),
+                     pa.array(np.arange(sequence, sequence + k)), pa.array(np.zeros(k, np.int64)), pa.array(np.log2(sizes[part]).astype(np.int32))],
                     names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "bucket"],
                 )
+                sequence += k
 
     docs = pick(docs, "doc_id", "text")
     return docs.select(docs.doc_id.cast("long"), docs.text.cast("string")).mapInArrow(run, SCHEMA)

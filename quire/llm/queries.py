@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, language, packing, quality, simhash, toxicity
+from . import bpe, digest, language, packing, quality, simhash, suffixes, toxicity
 from ._core import documents, fold
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     profiles = language.learn(docs.where(fold(F.col("doc_id"), 3) != 1))
@@ -59,5 +70,5 @@ def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op3_rank_order_language, op4_byte_bpe, op5_line_quality, op7_power_packing, op8_nearest_toxicity, op9_simhash, op10_quartile_digest)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_rank_order_language, op4_byte_bpe, op5_line_quality, op7_power_packing, op8_nearest_toxicity, op9_simhash, op10_quartile_digest)}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,4 +1,3 @@
-import hashlib
 import zlib
 
 import numpy as np
@@ -7,6 +6,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from quire.llm import bpe, packing
+from quire.llm._core import words_of
 
 from . import cases
 
@@ -52,8 +52,22 @@ def test_pieces_hold_every_id_once(spark):
 
 def test_a_small_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 5)
-    docs = [cases.prose(i, 40).encode() for i in range(5)]
-    tok = Tokenizer.from_file(WORDS)
-    for d, got in zip(docs, packing.WordEncoder(WORDS).encode(docs), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == tok.encode(d.decode(), add_special_tokens=False).ids
-    assert hashlib.sha256(docs[0]).hexdigest() != hashlib.sha256(docs[1]).hexdigest()
+    tok, encoder = Tokenizer.from_file(WORDS), packing.WordEncoder(WORDS)
+    for i in range(6):
+        words = sorted(set(cases.prose(i, 40).encode().split()))
+        got = encoder.ids_of(words)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(w.decode(), add_special_tokens=False).ids for w in words]
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
+    pieces = bpe.PieceEncoder(RANKS, public_tokenizers.PATTERN)
+    for i in range(6):
+        assert pieces.encode([cases.prose(i, 40)])[0].tolist() == reference().encode_ordinary(cases.prose(i, 40))
+
+
+def test_words_are_split_at_ascii_white_space_only():
+    import pyarrow as pa
+
+    rows = ["  A b\tA\n", None, "", "x\u00a0y\x1cz\x0b\x0c\rw", " "]
+    starts, codes, distinct = words_of(pa.array(rows), lower=True)
+    got = [[distinct[c] for c in codes[a:b]] for a, b in zip(starts[:-1], starts[1:])]
+    assert got == [[b"a", b"b", b"a"], [], [], ["x\u00a0y\x1cz".encode(), b"w"], []]
+    assert words_of(pa.array([], pa.string()))[0].tolist() == [0]
