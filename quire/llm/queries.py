@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, language, packing, quality, simhash, suffixes, toxicity
+from . import bpe, digest, language, packing, passages, quality, simhash, suffixes, toxicity
 from ._core import documents, fold
 
 
@@ -43,6 +43,12 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.remove_passages(documents(spark, sf_dir))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"])
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_power_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,5 +76,5 @@ def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_rank_order_language, op4_byte_bpe, op5_line_quality, op7_power_packing, op8_nearest_toxicity, op9_simhash, op10_quartile_digest)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_rank_order_language, op4_byte_bpe, op5_line_quality, op6_phrase_automata, op7_power_packing, op8_nearest_toxicity, op9_simhash, op10_quartile_digest)}
 ORACLE_SQL: dict[str, str] = {}

@@ -90,3 +90,56 @@ def test_equal_windows_share_anchors():
     assert all(own[(0, 500 + i)] == own[(1, 777 + i)] for i in range(1901))
     keys, low, high = anchors.merged(np.array([2, 1, 1, 1, 2], np.uint64), np.array([5, 0, 3, 9, 1]), np.array([6, 4, 9, 10, 2]))
     assert (keys.tolist(), low.tolist(), high.tolist()) == ([1, 2, 2], [0, 1, 5], [10, 2, 6])
+
+
+def passage_rows(seed):
+    rng = random.Random(seed)
+    base = [cases.prose(i, 120).split() for i in range(5)]
+    rows = list(cases.odd_rows())
+    for i in range(50):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            b = rng.choice(base)
+            a = rng.randint(0, 60)
+            piece = b[a : a + rng.randint(10, 110)]
+            if rng.random() < 0.5:
+                piece[rng.randrange(len(piece))] = f"odd{rng.randint(0, 3)}"
+            words += piece
+        rows.append((rng.choice([20 + i, 21]), rng.choice([" ", "\n", " \t "]).join(words), "en", "s", 1))
+    rows.append((90, "la " * 130, "en", "s", 1))
+    rows.append((91, "la " * 70, "en", "s", 1))
+    rng.shuffle(rows)
+    return rows
+
+
+def slow_words(rows, length):
+    first = {}
+    split = [((-(1 << 63) if d is None else d), (t or "").encode().split()) for d, t, *_ in rows]
+    for d, w in split:
+        for i in range(len(w) - length + 1):
+            k = tuple(w[i : i + length])
+            first[k] = min(d, first.get(k, d))
+    out = []
+    for d, w in split:
+        mask = np.zeros(len(w), bool)
+        for i in range(len(w) - length + 1):
+            if first[tuple(w[i : i + length])] < d:
+                mask[i : i + length] = True
+        out.append((d, len(w), int(mask.sum()), b" ".join(x for x, m in zip(w, mask) if not m).decode()))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_passages_equal_brute_force(spark, seed, monkeypatch):
+    from quire.llm import passages
+
+    rows = passage_rows(seed)
+    got = passages.remove_passages(spark.createDataFrame(rows, cases.SCHEMA).repartition(5)).collect()
+    assert sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_words, sum(s.high - s.low for s in r.removed), r.kept) for r in got) == sorted(slow_words(rows, 50))
+
+
+def test_passages_odd_and_empty(spark):
+    from quire.llm import passages
+
+    assert passages.remove_passages(cases.odd(spark)).count() == len(cases.odd_rows())
+    assert passages.remove_passages(cases.empty(spark)).count() == 0
