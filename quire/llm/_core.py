@@ -46,6 +46,17 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Rows that a worker holds as Python objects at a time.
+ROWS = 2000
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The texts as bytes; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -213,6 +224,7 @@ class SortedStore:
     uri: str
     bits: int
     sizes: tuple[int, ...]
+    stats: tuple[int, ...] = ()  # sums, over the buckets, of what the merge reported
 
     def __len__(self) -> int:
         return sum(self.sizes)
@@ -253,21 +265,22 @@ class SortedStore:
         return out
 
 
-def build_store(df: DataFrame, bits: int, label: str, merge: Callable[[list[dict]], tuple[np.ndarray, dict[str, np.ndarray]]]) -> SortedStore:
-    """merge turns a bucket's rows into its sorted keys and their fields; the driver gets one number a bucket."""
+def build_store(df: DataFrame, bits: int, label: str, merge: Callable[[list[dict]], tuple]) -> SortedStore:
+    """merge turns a bucket's rows into its sorted keys, their fields and, if any, numbers to add up; the driver gets a few numbers a bucket."""
     uri = fresh_dir(df.sparkSession, label)
 
     def write(bucket: int, rows: list[dict]) -> Iterator[dict]:
-        keys, fields = merge(rows)
+        keys, fields, *stats = merge(rows)
         save_array(uri, f"k{bucket}", keys)
         for name, values in fields.items():
             save_array(uri, f"{name}{bucket}", values)
-        yield {"bucket": bucket, "n": len(keys)}
+        yield {"bucket": bucket, "n": len(keys), "stats": [int(x) for x in stats[0]] if stats else []}
 
-    sizes = [0] * (1 << bits)
-    for row in merge_by_bucket(df, bits, write, "bucket int, n long").collect():
+    sizes, sums = [0] * (1 << bits), []
+    for row in merge_by_bucket(df, bits, write, "bucket int, n long, stats array<long>").collect():
         sizes[row["bucket"]] = row["n"]
-    return SortedStore(uri, bits, tuple(sizes))
+        sums.append(row["stats"])
+    return SortedStore(uri, bits, tuple(sizes), tuple(map(sum, zip(*sums, strict=True))))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -278,6 +291,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def unmix64(x: np.ndarray) -> np.ndarray:
+    """Undoes mix64."""
+    x = x ^ (x >> U64(31)) ^ (x >> U64(62))
+    x = x * U64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = x ^ (x >> U64(27)) ^ (x >> U64(54))
+    x = x * U64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return x ^ (x >> U64(30)) ^ (x >> U64(60))
+
+
 def key_store(keys: DataFrame, bits: int, label: str) -> SortedStore:
     """The distinct values of a frame's one long column (scrambled by mix64) as a store."""
 
@@ -333,4 +355,6 @@ def gather(codes: np.ndarray, pieces: list[bytes], width: int) -> tuple[np.ndarr
     begin = np.cumsum(sizes) - sizes
     each = sizes[codes]
     ends = np.cumsum(each)
-    return flat[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - each - begin[codes], each)], each
+    place = np.repeat(begin[codes] + each - ends, each)
+    place += np.arange(len(place))
+    return flat[place], each

@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, language, packing, passages, quality, simhash, suffixes, toxicity
+from . import bpe, digest, kneser_ney, language, packing, passages, quality, simhash, suffixes, toxicity
 from ._core import documents, fold
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold(F.col("doc_id"), 7) == 2
+    model = kneser_ney.learn(docs.where(~held_out))
+    return kneser_ney.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_repeats(documents(spark, sf_dir))
     return found.select(
@@ -76,5 +85,5 @@ def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_rank_order_language, op4_byte_bpe, op5_line_quality, op6_phrase_automata, op7_power_packing, op8_nearest_toxicity, op9_simhash, op10_quartile_digest)}
+QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_suffix_dedup, op3_rank_order_language, op4_byte_bpe, op5_line_quality, op6_phrase_automata, op7_power_packing, op8_nearest_toxicity, op9_simhash, op10_quartile_digest)}
 ORACLE_SQL: dict[str, str] = {}
