@@ -28,14 +28,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from ._core import U64, bucket_bits, cuts, join_arrays, merge_by_bucket, pick, utf8, words_of
+from ._core import U64, bucket_bits, cuts, join_arrays, merge_by_bucket, pick, sliced, utf8, words_of
 from .anchors import SpanStore, key_of, kgrams, recurring, row_keys, runs, scatter_keys, scatter_spans, span_store
 from .suffixes import ragged
 
 LENGTH, ANCHOR = 50, 8
 MB_EACH = 16.0
 #: Windows of runs that one automaton works on, unless one anchor has more.
-WINDOWS = 1 << 19
+WINDOWS = 1 << 17
 
 
 def _runs(column: pa.Array, length: int, anchor: int) -> tuple:
@@ -171,7 +171,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
     bits = bucket_bits(docs, MB_EACH)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield scatter_keys(_runs(batch.column(0), length, anchor)[-1][0], bits)
 
     again = recurring(docs.select("text").mapInArrow(count, "bucket int, keys binary, many binary"), bits, "phrases")
@@ -179,7 +179,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
     names = [c.split()[0] for c in columns.split(", ")]
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, _, owners = row_keys(batch.column(0), utf8(batch.column(1)))
             starts, codes, distinct, symbols, (key, row, first, last) = _runs(batch.column(1), length, anchor)
             hit = again.index(key) >= 0
@@ -220,7 +220,7 @@ def remove_passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             held = utf8(batch.column(1))
             counts, kept, removed = [], [], []
             for text, found in zip(held, spans.of(row_keys(batch.column(0), held)[2]), strict=True):
