@@ -11,8 +11,7 @@ packed row by row; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
-import sys
-from array import array
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,12 +20,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._core import gather, pick, words_of
+from ._core import gather, pick, sliced, words_of
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket int"
-LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+END_OF_WORD, MARKS = "</w>", b".,;:!?|%$&*#()[]{}<>\"+-=/\\^_`~@"
+PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 #: Words whose ids a worker keeps in each of two generations: when the younger is full it becomes the older.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 350_000
 
 
 class WordEncoder:
@@ -34,10 +34,17 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # for words of plain letters, which the normaliser leaves and the splitter keeps whole
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -54,16 +61,42 @@ class WordEncoder:
         if self.known and len(self.known) + len(new) > CACHE_WORDS:
             self.known, self.older = {}, self.known
             new = parts
-        lost = []
-        for p in new:
-            ids = self.older.get(p)
-            if ids is None:
-                lost.append(p)
-            else:
-                self.known[p] = ids
-        got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in lost], add_special_tokens=False)
-        for part, enc in zip(lost, got, strict=True):
-            self.known[part] = array("I", enc.ids).tobytes() if LITTLE else np.array(enc.ids, "<u4").tobytes()
+        ended: dict[bytes, tuple[bytes, bytes]] = {}  # a word and the marks after it are matched apart
+        lost: dict[bytes, None] = {}
+        for w in new:
+            word = w.rstrip(MARKS)
+            if len(word) < len(w) and word[-1:].isalnum():
+                ended[w] = (word, w[len(word) :])
+            for p in ended.get(w, (w,)):
+                if p not in self.known:
+                    ids = self.older.get(p)
+                    if ids is None:
+                        lost[p] = None
+                    else:
+                        self.known[p] = ids
+        parts = list(lost)
+        for low in range(0, len(parts), 1 << 14):
+            self._encode(parts[low : low + (1 << 14)])
+        for w, (word, marks) in ended.items():
+            self.known[w] = self.known[word] + self.known[marks]
+
+    def _encode(self, parts: list[bytes]) -> None:
+        decoded = [p.decode("utf-8", "replace") for p in parts]
+        plain = [PLAIN(d) is not None for d in decoded]
+        # plain words have one match each, whose last id ends a word: many are encoded as one text
+        words = [d.lower() for d, is_plain in zip(decoded, plain, strict=True) if is_plain]
+        blobs: list[bytes] = []
+        for enc in self.plain.encode_batch_fast([" ".join(words[low : low + 1024]) for low in range(0, len(words), 1024)], add_special_tokens=False):
+            ids = np.array(enc.ids, "<u4")
+            data, ends = ids.tobytes(), (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            blobs += [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+        if len(blobs) != len(words):
+            raise ValueError("the vocabulary doesn't mark the ends of words")
+        self.known.update(zip([p for p, is_plain in zip(parts, plain, strict=True) if is_plain], blobs, strict=True))
+        rest = [(p, d) for p, d, is_plain in zip(parts, decoded, plain, strict=True) if not is_plain]
+        got = self.tokenizer.encode_batch_fast([d for _, d in rest], add_special_tokens=False)
+        for (part, _), enc in zip(rest, got, strict=True):
+            self.known[part] = np.array(enc.ids, "<u4").tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -87,8 +120,8 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: int
         encoder = _ENCODERS[tokenizer_path]
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
-        for batch in batches:
-            starts, codes, distinct = words_of(batch.column(1))
+        for batch in sliced(batches):
+            starts, codes, distinct = words_of(batch.column(1), lower=True)  # the vocabulary has lower case only
             # each row's words, then the end id
             codes = np.insert(codes, starts[1:], len(distinct))
             flat, each = gather(codes, [*encoder.ids_of(distinct), end], 4)
