@@ -28,12 +28,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from ._core import U64, bucket_bits, cuts, join_arrays, merge_by_bucket, pick, sliced, utf8, words_of
+from ._core import U64, bucket_bits, cuts, join_arrays, join_packed, merge_by_bucket, packed, pick, sliced, unpacked, utf8, words_of
 from .anchors import SpanStore, key_of, kgrams, recurring, row_keys, runs, scatter_keys, scatter_spans, span_store
 from .suffixes import ragged
 
 LENGTH, ANCHOR = 50, 8
-MB_EACH = 16.0
+MB_EACH = 4.0
 #: Windows of runs that one automaton works on, unless one anchor has more.
 WINDOWS = 1 << 17
 
@@ -79,7 +79,9 @@ class Shard:
         firsts = np.zeros(len(at), bool)
         firsts[order[head[later]]] = True
         hit = np.flatnonzero(firsts)
-        new = np.append(True, (run[hit][1:] != run[hit][:-1]) | (hit[1:] != hit[:-1] + 1)) if len(hit) else np.empty(0, bool)
+        if not len(hit):
+            return []
+        new = np.append(True, (run[hit][1:] != run[hit][:-1]) | (hit[1:] != hit[:-1] + 1))
         start = np.flatnonzero(new)
         stop = np.append(start[1:], len(hit)) - 1
         return [(int(run[hit[a]]), int(at[hit[a]] - self.begin[run[hit[a]]]), int(at[hit[b]] - self.begin[run[hit[b]]])) for a, b in zip(start, stop, strict=True)]
@@ -126,8 +128,8 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 def mark_bucket(rows: list[dict], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of documents and their spans of words to remove."""
-    f = {n: join_arrays(rows, n, t) for n, t in FIELDS}
-    texts = [t for r in rows for t in r["text"].split(b"\n")[:-1]] if rows else []
+    f = {n: join_packed(rows, n, t) for n, t in FIELDS}
+    texts = [t for r in rows for t in unpacked(r["text"]).split(b"\n")[:-1]] if rows else []
     order = np.lexsort((f["at"], f["doc"], f["run"], f["key"]))
     f = {n: v[order] for n, v in f.items()}
     n = len(order)
@@ -200,7 +202,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
             for b in np.flatnonzero(np.diff(at)):
                 s = slice(at[b], at[b + 1])
                 text = b"".join(b" ".join([distinct[c] for c in codes[x:y].tolist()]) + b"\n" for x, y in zip(low[lead[s]].tolist(), high[lead[s]].tolist(), strict=True))
-                out.append(empty | {"bucket": int(b), "text": text} | {n: np.ascontiguousarray(values[n][s]).tobytes() for n, _ in FIELDS})
+                out.append(empty | {"bucket": int(b), "text": packed(text)} | {n: packed(values[n][s]) for n, _ in FIELDS})
             yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], pa.int32() if n == "bucket" else pa.binary()) for n in names], names=names)
 
     def mark(_: int, rows: list[dict]) -> Iterator[dict]:

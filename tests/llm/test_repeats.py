@@ -143,3 +143,12 @@ def test_passages_odd_and_empty(spark):
 
     assert passages.remove_passages(cases.odd(spark)).count() == len(cases.odd_rows())
     assert passages.remove_passages(cases.empty(spark)).count() == 0
+
+
+def test_phrases_without_passages(spark):
+    from quire.llm import passages
+
+    shared = cases.prose(1, 20)
+    rows = [(i, f"{cases.prose(50 + i, 60)} {shared} {cases.prose(90 + i, 60)}") for i in range(4)]
+    got = passages.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(not r.removed and r.kept == " ".join(dict(rows)[r.doc_id].split()) for r in got) and len(got) == 4
