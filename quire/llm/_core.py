@@ -12,6 +12,7 @@ from urllib.parse import unquote, urlparse
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,20 @@ LOWER_AZ = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrst
 # ---------------------------------------------------------------- columns
 
 
+#: Bytes of a batch between Spark and a worker: both hold several copies of one, and documents can be long.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(spark.conf.get(name)))
+    if held <= 0 or held > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; others, even ones whose names differ only in case or occur twice, do no harm."""
+    small_batches(df.sparkSession)
     seen: set[str] = set()
     renamed = []
     for i, c in enumerate(df.columns):
@@ -210,6 +223,19 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def packed(values: np.ndarray | bytes) -> bytes:
+    """Compressed, so that what is shuffled stays small."""
+    return zstandard.ZstdCompressor(level=1).compress(values if isinstance(values, bytes) else np.ascontiguousarray(values).tobytes())
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data) if data else b""
+
+
+def join_packed(rows: list[dict], name: str, dtype) -> np.ndarray:
+    return np.concatenate([np.frombuffer(unpacked(r[name]), dtype) for r in rows]) if rows else np.empty(0, dtype)
+
+
 def join_arrays(rows: list[dict], name: str, dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(r[name], dtype) for r in rows]) if rows else np.empty(0, dtype)
 
@@ -219,7 +245,7 @@ def join_arrays(rows: list[dict], name: str, dtype) -> np.ndarray:
 
 @dataclass(frozen=True)
 class SortedStore:
-    """Keys sorted within buckets of their top bits, with fields beside them: files `k<bucket>` and `<field><bucket>`."""
+    """Keys sorted within buckets of their top bits, with fields beside them: files `k.<bucket>` and `<field>.<bucket>`."""
 
     uri: str
     bits: int
@@ -244,7 +270,7 @@ class SortedStore:
         at, first = cuts(wanted, self.bits), self.offsets
         for b in np.flatnonzero(np.diff(at)):
             if self.sizes[b]:
-                held = open_array(self.uri, f"k{b}")
+                held = open_array(self.uri, f"k.{b}")
                 part = wanted[at[b] : at[b + 1]]
                 i = np.searchsorted(held, part)
                 i[i == len(held)] = 0
@@ -261,7 +287,7 @@ class SortedStore:
         at = np.searchsorted(ranked, first)
         for b in np.flatnonzero(np.diff(at)):
             rows = order[at[b] : at[b + 1]]
-            out[rows] = open_array(self.uri, f"{name}{b}")[ranked[at[b] : at[b + 1]] - first[b]]
+            out[rows] = open_array(self.uri, f"{name}.{b}")[ranked[at[b] : at[b + 1]] - first[b]]
         return out
 
 
@@ -271,9 +297,9 @@ def build_store(df: DataFrame, bits: int, label: str, merge: Callable[[list[dict
 
     def write(bucket: int, rows: list[dict]) -> Iterator[dict]:
         keys, fields, *stats = merge(rows)
-        save_array(uri, f"k{bucket}", keys)
+        save_array(uri, f"k.{bucket}", keys)
         for name, values in fields.items():
-            save_array(uri, f"{name}{bucket}", values)
+            save_array(uri, f"{name}.{bucket}", values)
         yield {"bucket": bucket, "n": len(keys), "stats": [int(x) for x in stats[0]] if stats else []}
 
     sizes, sums = [0] * (1 << bits), []
@@ -318,6 +344,7 @@ def key_store(keys: DataFrame, bits: int, label: str) -> SortedStore:
 
 def rewrite_rows(docs: DataFrame, change: Callable[[pa.RecordBatch, int, int], pa.RecordBatch]) -> DataFrame:
     """docs with its columns, each batch passed through change(batch, place of doc_id, place of text)."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at_id, at_text = names.index("doc_id"), names.index("text")

@@ -82,10 +82,10 @@ class PairStore:
         at = cuts(wanted, self.bits)
         for b in np.flatnonzero(np.diff(at)):
             if self.sizes[b]:
-                held, part = open_array(self.uri, f"pk{b}"), wanted[at[b] : at[b + 1]]
+                held, part = open_array(self.uri, f"pk.{b}"), wanted[at[b] : at[b + 1]]
                 i = np.searchsorted(held, part)
                 i[i == len(held)] = 0
-                out[at[b] : at[b + 1]] = np.where(held[i] == part, open_array(self.uri, f"p{name}{b}")[i], 0)
+                out[at[b] : at[b + 1]] = np.where(held[i] == part, open_array(self.uri, f"p{name}.{b}")[i], 0)
         return out[back]
 
 
@@ -191,8 +191,8 @@ def learn(docs: DataFrame) -> Model:
 
     def merge_pairs(bucket: int, rows: list[dict]) -> Iterator[dict]:
         keys, n = _added(join_arrays(rows, "keys", U64), join_arrays(rows, "n", np.uint32).astype(np.int64))
-        save_array(words.uri, f"pk{bucket}", keys)
-        save_array(words.uri, f"pn{bucket}", np.minimum(n, 0xFFFFFFFF).astype(np.uint32))
+        save_array(words.uri, f"pk.{bucket}", keys)
+        save_array(words.uri, f"pn.{bucket}", np.minimum(n, 0xFFFFFFFF).astype(np.uint32))
         empty = dict.fromkeys(names[2:], b"")
         yield empty | {"bucket": last, "size": bucket, "stats": np.array([len(keys), *_times(n)], np.int64).tobytes()}
         pair = unmix64(keys)
@@ -217,9 +217,9 @@ def learn(docs: DataFrame) -> Model:
         n, base = words.sizes[bucket], int(first[bucket])
         context = join_arrays(rows, "context", np.uint32).astype(np.int64) - base
         for name in ("total", "n1", "n2", "n3"):
-            save_array(words.uri, f"{name}{bucket}", np.bincount(context, join_arrays(rows, name, np.uint32), minlength=n))
+            save_array(words.uri, f"{name}.{bucket}", np.bincount(context, join_arrays(rows, name, np.uint32), minlength=n))
         times = np.bincount(join_arrays(rows, "word", np.uint32).astype(np.int64) - base, join_arrays(rows, "times", np.uint32), minlength=n)
-        save_array(words.uri, f"before{bucket}", times)
+        save_array(words.uri, f"before.{bucket}", times)
         yield {"bucket": bucket, "kind": 1, "stats": [*_times(times), int((times > 2).sum())]}
 
     pairs = merge_by_bucket(docs.mapInArrow(count_pairs, "bucket int, keys binary, n binary"), bits, merge_pairs, columns)

@@ -52,7 +52,9 @@ def words(t):
     return re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
 
 
-def test_model_equals_brute_force(spark):
+@pytest.mark.parametrize("mb", [16.0, 0.001])
+def test_model_equals_brute_force(spark, monkeypatch, mb):
+    monkeypatch.setattr(kn, "MB_EACH", mb)
     rows = cases.odd_rows() + [(200 + i, cases.prose(i % 13, 50 + i), "en", "s", 1) for i in range(30)]
     df = spark.createDataFrame(rows, cases.SCHEMA).repartition(4)
     train = [words(r[1]) for r in rows if r[0] is not None and r[0] % 3]
