@@ -88,7 +88,7 @@ def _block(symbols: np.ndarray, starts: np.ndarray, length: int, k: int, row: in
     first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (s[1:] != s[:-1] + 1)))
     last = np.append(first[1:], len(s)) - 1
     local = np.searchsorted(starts, s[first], "right") - 1
-    key = h[(own[first] & PLACE).astype(np.int64)]
+    key = mix64(h[(own[first] & PLACE).astype(np.int64)])  # least hashes are small: scrambled, they spread over the buckets
     return key, local + row, s[first] - starts[local] + at, s[last] + 1 - starts[local] + at
 
 
@@ -174,8 +174,8 @@ class SpanStore:
         for i in np.flatnonzero(place >= 0).tolist():
             b = int(at[i])
             j = int(place[i] - first[b])
-            s = slice(int(open_array(self.store.uri, f"from{b}")[j]), int(open_array(self.store.uri, f"to{b}")[j]))
-            out[i] = (np.array(open_array(self.store.uri, f"low{b}")[s]), np.array(open_array(self.store.uri, f"high{b}")[s]))
+            s = slice(int(open_array(self.store.uri, f"from.{b}")[j]), int(open_array(self.store.uri, f"to.{b}")[j]))
+            out[i] = (np.array(open_array(self.store.uri, f"low.{b}")[s]), np.array(open_array(self.store.uri, f"high.{b}")[s]))
         return out
 
 

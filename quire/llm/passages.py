@@ -33,7 +33,7 @@ from .anchors import SpanStore, key_of, kgrams, recurring, row_keys, runs, scatt
 from .suffixes import ragged
 
 LENGTH, ANCHOR = 50, 8
-MB_EACH = 4.0
+MB_EACH = 8.0
 #: Windows of runs that one automaton works on, unless one anchor has more.
 WINDOWS = 1 << 17
 

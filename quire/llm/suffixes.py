@@ -27,13 +27,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from ._core import U64, bucket_bits, cuts, join_arrays, merge_by_bucket, pick, rewrite_rows, utf8
+from ._core import U64, bucket_bits, cuts, join_arrays, join_packed, merge_by_bucket, packed, pick, rewrite_rows, sliced, unpacked, utf8
 from .anchors import SpanStore, key_of, recurring, row_keys, runs, scatter_keys, scatter_spans, span_store, without
 
 LENGTH, ANCHOR = 100, 32
 #: Bytes of one transform, unless one anchor has more.
-TEXT = 1 << 21
-MB_EACH = 16.0
+TEXT = 1 << 19
+MB_EACH = 8.0
 
 
 # ---------------------------------------------------------------- the transform
@@ -132,8 +132,8 @@ FIELDS = (("key", U64), ("run", U64), ("doc", np.int64), ("text_hash", U64), ("a
 
 def mark_bucket(rows: list[dict], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of documents and their marked spans."""
-    f = {n: join_arrays(rows, n, t) for n, t in FIELDS}
-    text = np.frombuffer(b"".join(r["text"] for r in rows), np.uint8)
+    f = {n: join_packed(rows, n, t) for n, t in FIELDS}
+    text = np.frombuffer(b"".join(unpacked(r["text"]) for r in rows), np.uint8)
     size = f["windows"] + length - 1
     begin = np.cumsum(size) - size
     order = np.lexsort((f["at"], f["text_hash"], f["doc"], f["run"], f["key"]))
@@ -186,7 +186,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
     bits = bucket_bits(docs, MB_EACH)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield scatter_keys(_grams(utf8(batch.column(0)), length, anchor)[0], bits)
 
     again = recurring(docs.select("text").mapInArrow(count, "bucket int, keys binary, many binary"), bits, "anchors")
@@ -194,7 +194,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
     names = [c.split()[0] for c in columns.split(", ")]
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             held = utf8(batch.column(1))
             ids, hashes, owners = row_keys(batch.column(0), held)
             key, row, first, last = _grams(held, length, anchor)
@@ -216,7 +216,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
             for b in np.flatnonzero(np.diff(at)):
                 s = slice(at[b], at[b + 1])
                 text = b"".join(held[r][x : y + length - 1] for r, x, y in zip(row[lead[s]].tolist(), first[lead[s]].tolist(), last[lead[s]].tolist(), strict=True))
-                out.append(empty | {"bucket": int(b), "text": text} | {n: np.ascontiguousarray(values[n][s]).tobytes() for n, _ in FIELDS})
+                out.append(empty | {"bucket": int(b), "text": packed(text)} | {n: packed(values[n][s]) for n, _ in FIELDS})
             yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], pa.int32() if n == "bucket" else pa.binary()) for n in names], names=names)
 
     def mark(_: int, rows: list[dict]) -> Iterator[dict]:
@@ -236,7 +236,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             held = utf8(batch.column(1))
             found = spans.of(row_keys(batch.column(0), held)[2])
             removed = [[] if s is None else [{"low": a, "high": b} for a, b in zip(s[0].tolist(), s[1].tolist(), strict=True)] for s in found]
