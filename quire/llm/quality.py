@@ -2,8 +2,8 @@
 
 A line is normalised (A-Z lower-cased, ASCII white space collapsed) and hashed. For every host (column `source`) and line
 two numbers are counted over all documents: in how many rows it occurs, and in how many distinct documents, where
-documents whose other lines agree in their least hash count once, so that copies of one document don't make its lines
-common. A line is removed where more than MAX_DOCS distinct documents hold it and these are at least half of the rows. A
+documents whose other lines agree in their least and in their greatest hash count once, so that copies of one document don't
+make its lines common. A line is removed where more than MAX_DOCS distinct documents hold it and these are at least half of the rows. A
 document is depleted if less than KEEP_SHARE of its words remain. Removed lines are a store of sorted hashes in the shared
 folder, which workers map into memory; texts aren't shuffled.
 
@@ -73,6 +73,15 @@ def _keys(hashes: np.ndarray, host: int) -> np.ndarray:
     return mix64(hashes ^ U64(host))
 
 
+def _marks(h: np.ndarray) -> np.ndarray:
+    """For each of a document's distinct line hashes, sorted, a mark of the least and the greatest of the others; 0 for a lone line."""
+    if len(h) < 2:
+        return np.zeros(len(h), U64)
+    least, greatest = np.full(len(h), h[0]), np.full(len(h), h[-1])
+    least[0], greatest[-1] = h[1], h[-2]
+    return mix64(least * U64(3) + greatest)
+
+
 def common_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> SortedStore:
     """Keys of (host, line) to remove."""
     docs = pick(docs, "text", "source")
@@ -84,10 +93,8 @@ def common_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> SortedStore:
             for text, source in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 h = np.unique(np.array(line_hashes(text)[0], U64))
                 if len(h):
-                    mark = np.full(len(h), h[0])
-                    mark[0] = h[1] if len(h) > 1 else 0
                     keys.append(_keys(h, _host(source)))
-                    marks.append(mark)
+                    marks.append(_marks(h))
             if keys:
                 pairs = np.stack([np.concatenate(keys), np.concatenate(marks)], axis=1)
                 pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
