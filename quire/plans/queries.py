@@ -158,7 +158,7 @@ PROFILE = f"""{MEDIAN},
 pc as (select doc_id, max(page_no) + 1 as page_count from spans group by doc_id),
 pr as (select s.doc_id, any_value(page_count) as page_count,
     sum(case when page_no < 5 then len(regexp_extract_all(text, '[^\\x00-\\x7F\\x{{4E00}}-\\x{{9FFF}}]')) else 0 end) as strange,
-    sum(case when page_no < 5 then length(text) else 0 end) as chars, bool_or(page_no >= page_count - 20 and {m("text", P.INDEX_LINE)}) as has_index
+    sum(case when page_no < 5 then length(text) + 1 else 0 end) as chars, bool_or(page_no >= page_count - 20 and {m("text", P.INDEX_LINE)}) as has_index
     from spans s join pc on s.doc_id = pc.doc_id group by s.doc_id),
 profiles as (select pr.doc_id, case when not (chars = 0 or strange / greatest(chars, 1) < 0.3) then 'cjk-broken' else 'born-digital' end as type, round(body_size, 1) as body_size,
     chars = 0 or strange / greatest(chars, 1) < 0.3 as encoding_ok, cast(page_count as int) as page_count, has_index, cast(0 as int) as drawing_clusters from pr join body on pr.doc_id = body.doc_id)"""
