@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, digest, kneser_ney, language, packing, passages, quality, simhash, suffixes, toxicity
 from ._core import documents, fold
+from .oracles import ORACLE_SQL
 
 
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +87,5 @@ def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_kneser_ney, op2_suffix_dedup, op3_rank_order_language, op4_byte_bpe, op5_line_quality, op6_phrase_automata, op7_power_packing, op8_nearest_toxicity, op9_simhash, op10_quartile_digest)}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES", "training_labels"]
