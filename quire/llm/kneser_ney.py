@@ -26,12 +26,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from ._core import U64, SortedStore, bucket_bits, build_store, cuts, join_arrays, merge_by_bucket, mix64, open_array, pick, save_array, sliced, unmix64, words_of
+from ._core import U64, SortedStore, bucket_bits, build_store, cuts, join_arrays, join_packed, merge_by_bucket, mix64, open_array, packed, pick, save_array, sliced, unmix64, words_of
 
 BEGIN, END = xxhash.xxh3_64_intdigest(b" begin"), xxhash.xxh3_64_intdigest(b" end")  # no word holds a space
 MB_EACH = 16.0
 #: Rows whose tokens are looked up together.
 ROWS = 4000
+#: Tokens whose pairs a task counts before it sends them on.
+TOKENS = 1 << 22
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,6 +150,29 @@ def _scatter(keys: np.ndarray, counts: np.ndarray, bits: int, kind) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array([v[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()) for v in (keys, counts)]], names=["bucket", "keys", "n"])
 
 
+def _scatter_pairs(keys: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Distinct keys by bucket as six-byte differences where these suffice; counts by how often: most occur once."""
+    keys, counts = np.unique(keys, return_counts=True)
+    at = cuts(keys, bits)
+    full = np.flatnonzero(np.diff(at))
+    blobs = []
+    for b in full:
+        own = keys[at[b] : at[b + 1]]
+        steps = np.diff(own, prepend=U64(int(b)) << U64(64 - bits))
+        wide = 8 if int(steps.max()) >> 48 else 6
+        blobs.append(bytes([wide]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary()), pa.array([packed(counts[at[b] : at[b + 1]].astype(np.uint32)) for b in full], pa.binary())], names=["bucket", "keys", "n"]
+    )
+
+
+def _pairs_of(blob: bytes, bucket: int, bits: int) -> np.ndarray:
+    wide = blob[0]
+    steps = np.zeros((len(blob) // wide, 8), np.uint8)
+    steps[:, :wide] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, wide)
+    return np.cumsum(steps.reshape(-1).view("<u8").astype(U64), dtype=U64) + (U64(bucket) << U64(64 - bits))
+
+
 def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
@@ -179,18 +204,23 @@ def learn(docs: DataFrame) -> Model:
     first = words.offsets
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in sliced(batches, ROWS):
             hashes, codes, starts = tokens(batch.column(0))
             place = words.index(hashes).astype(U64)
-            keys, counts = np.unique(mix64(place[before(codes, starts, len(hashes) - 1)] << U64(32) | place[codes]), return_counts=True)
-            yield _scatter(keys, counts, bits, np.uint32)
+            held.append(mix64(place[before(codes, starts, len(hashes) - 1)] << U64(32) | place[codes]))
+            if sum(map(len, held)) >= TOKENS:
+                yield _scatter_pairs(np.concatenate(held), bits)
+                held = []
+        if held:
+            yield _scatter_pairs(np.concatenate(held), bits)
 
     columns = "bucket int, size long, stats binary, context binary, total binary, n1 binary, n2 binary, n3 binary, word binary, times binary"
     names = [c.split()[0] for c in columns.split(", ")]
     last = 1 << bits  # a bucket of its own for sizes and counts of counts
 
     def merge_pairs(bucket: int, rows: list[dict]) -> Iterator[dict]:
-        keys, n = _added(join_arrays(rows, "keys", U64), join_arrays(rows, "n", np.uint32).astype(np.int64))
+        keys, n = _added(np.concatenate([_pairs_of(r["keys"], bucket, bits) for r in rows]), join_packed(rows, "n", np.uint32).astype(np.int64))
         save_array(words.uri, f"pk.{bucket}", keys)
         save_array(words.uri, f"pn.{bucket}", np.minimum(n, 0xFFFFFFFF).astype(np.uint32))
         empty = dict.fromkeys(names[2:], b"")
