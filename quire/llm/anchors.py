@@ -3,6 +3,10 @@
 A window of `length` symbols is assigned to the least hash among its k-grams (the leftmost of equals): two equal windows
 have the same anchor at the same place, wherever they lie. Windows next to each other mostly share an anchor, so a document
 becomes a few runs (key, first window, one past the last), and equal windows can be searched key by key.
+
+A key that occurs in more than HOT runs is split: its windows are dealt by their anchor together with a second one, the least
+of another hash, which lies in their surroundings or further along the passage. Equal windows agree in both, so nothing is
+lost, and a phrase that a third of all documents hold doesn't meet in one task.
 """
 
 from __future__ import annotations
@@ -15,13 +19,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from ._core import U64, SortedStore, build_store, bucket_of, cuts, join_arrays, mix64, open_array
+from ._core import U64, SortedStore, bucket_of, build_store, cuts, join_arrays, join_packed, mix64, open_array, packed
 
 PLACE_BITS = 24
 PLACE = U64((1 << PLACE_BITS) - 1)
 C1, C2, C3 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xD6E8FEB86659FD93)
 #: Symbols worked on at a time: what fits the processor's cache.
 BLOCK = 1 << 16
+#: Runs of one key beyond which it is split.
+HOT = 4096
+SECOND = U64(0xA0761D6478BD642F)
 
 
 def kgrams(symbols: np.ndarray, k: int) -> np.ndarray:
@@ -53,7 +60,7 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return x
 
 
-def runs(symbols: np.ndarray, starts: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(symbols: np.ndarray, starts: np.ndarray, length: int, k: int, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """key, row, first and one past the last window (places within the row) of every run; starts: of rows, one more at the end."""
     parts: list[tuple] = []
     sizes = np.diff(starts)
@@ -65,17 +72,19 @@ def runs(symbols: np.ndarray, starts: np.ndarray, length: int, k: int) -> tuple[
         if end - row == 1 and high - low > 1 << 22:  # one very long row, in overlapping parts
             for at in range(low, high - length + 1, 1 << 22):
                 stop = min(high, at + (1 << 22) + length - 1)
-                parts.append(_block(symbols[at:stop], np.array([0, stop - at]), length, k, row, at - low))
+                parts.append(_block(symbols[at:stop], np.array([0, stop - at]), length, k, row, at - low, second))
         elif high - low >= length:
-            parts.append(_block(symbols[low:high], starts[row : end + 1] - low, length, k, row, 0))
+            parts.append(_block(symbols[low:high], starts[row : end + 1] - low, length, k, row, 0, second))
         row = end
     if not parts:
         return np.empty(0, U64), *(np.empty(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def _block(symbols: np.ndarray, starts: np.ndarray, length: int, k: int, row: int, at: int) -> tuple:
+def _block(symbols: np.ndarray, starts: np.ndarray, length: int, k: int, row: int, at: int, second: bool) -> tuple:
     h = kgrams(symbols, k)
+    if second:
+        h = mix64(h ^ SECOND)
     packed = (h & ~PLACE) | np.arange(len(h), dtype=U64)
     least = sliding_least(packed, length - k + 1)
     whole = np.ones(len(least), bool)
@@ -92,34 +101,58 @@ def _block(symbols: np.ndarray, starts: np.ndarray, length: int, k: int, row: in
     return key, local + row, s[first] - starts[local] + at, s[last] + 1 - starts[local] + at
 
 
+def split_hot(symbols: np.ndarray, starts: np.ndarray, length: int, k: int, found: tuple, hot: np.ndarray) -> tuple:
+    """found (key, row, first, last) with the runs that are hot dealt anew by both anchors."""
+    if not hot.any():
+        return found
+    key, row, first, last = (x[hot] for x in found)
+    size = last - first + length - 1
+    begin = starts[row] + first
+    ends = np.cumsum(size)
+    place = np.arange(int(ends[-1])) + np.repeat(begin - ends + size, size)
+    other, run, low, high = runs(symbols[place], np.append(0, ends), length, k, second=True)
+    parts = (mix64(key[run] ^ mix64(other)), row[run], first[run] + low, first[run] + high)
+    return tuple(np.concatenate([x[~hot], y]) for x, y in zip(found, parts, strict=True))
+
+
 # ---------------------------------------------------------------- keys that recur
 
 
 def scatter_keys(keys: np.ndarray, bits: int) -> pa.RecordBatch:
-    """A batch's distinct keys by bucket, with a mark on those that occur more than once."""
+    """A batch's distinct keys by bucket, and how often each occurs."""
     own, times = np.unique(keys, return_counts=True)
     at = cuts(own, bits)
     full = np.flatnonzero(np.diff(at))
-    many = (times > 1).astype(np.uint8)
+    times = times.astype(np.uint32)
     return pa.RecordBatch.from_arrays(
-        [pa.array(full.astype(np.int32)), *[pa.array([v[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()) for v in (own, many)]], names=["bucket", "keys", "many"]
+        [pa.array(full.astype(np.int32)), pa.array([own[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()), pa.array([packed(times[at[b] : at[b + 1]]) for b in full], pa.binary())],
+        names=["bucket", "keys", "times"],
     )
 
 
 def recurring(keys: DataFrame, bits: int, label: str) -> SortedStore:
-    """Keys that occur twice or more; from rows of scatter_keys."""
+    """Keys that occur twice or more, with a field `hot`: more than HOT times; from rows of scatter_keys."""
 
     def merge(rows: list[dict]) -> tuple[np.ndarray, dict]:
-        own, many = join_arrays(rows, "keys", U64), join_arrays(rows, "many", np.uint8)
+        own, times = join_arrays(rows, "keys", U64), join_packed(rows, "times", np.uint32).astype(np.int64)
         order = np.argsort(own)
-        own, many = own[order], many[order]
+        own, times = own[order], times[order]
         start = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.empty(0, np.int64)
-        times = np.add.reduceat(1 + many.astype(np.int64), start) if len(own) else start
-        return own[start][times > 1], {}
+        times = np.add.reduceat(times, start) if len(own) else start
+        again = times > 1
+        return own[start][again], {"hot": (times[again] > HOT).astype(np.uint8)}
 
     return build_store(keys, bits, label, merge)
 
 
+def recurring_runs(store: SortedStore, symbols: np.ndarray, starts: np.ndarray, length: int, k: int, found: tuple) -> tuple:
+    """The runs whose keys recur, hot ones split."""
+    place = store.index(found[0])
+    hit = place >= 0
+    found = tuple(x[hit] for x in found)
+    return split_hot(symbols, starts, length, k, found, store.field("hot", place[hit], np.uint8) > 0)
+
+
 # ---------------------------------------------------------------- spans
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from ._core import U64, bucket_bits, cuts, join_arrays, join_packed, merge_by_bucket, packed, pick, sliced, unpacked, utf8, words_of
-from .anchors import SpanStore, key_of, kgrams, recurring, row_keys, runs, scatter_keys, scatter_spans, span_store
+from .anchors import SpanStore, key_of, kgrams, recurring, recurring_runs, row_keys, runs, scatter_keys, scatter_spans, span_store
 from .suffixes import ragged
 
 LENGTH, ANCHOR = 50, 8
@@ -126,8 +126,8 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(apart[0]) if len(apart) else n
 
 
-def mark_bucket(rows: list[dict], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of documents and their spans of words to remove."""
+def mark_bucket(rows: list[dict], length: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of documents and their spans of words to remove; most: windows of one automaton."""
     f = {n: join_packed(rows, n, t) for n, t in FIELDS}
     texts = [t for r in rows for t in unpacked(r["text"]).split(b"\n")[:-1]] if rows else []
     order = np.lexsort((f["at"], f["doc"], f["run"], f["key"]))
@@ -146,7 +146,7 @@ def mark_bucket(rows: list[dict], length: int) -> tuple[np.ndarray, np.ndarray,
     low = 0
     while low < len(chosen):
         total = np.cumsum(f["windows"][lead[chosen[low:]]])
-        high = low + max(1, int(np.searchsorted(total, WINDOWS, "right")))
+        high = low + max(1, int(np.searchsorted(total, most, "right")))
         while high < len(chosen) and key[chosen[high]] == key[chosen[high - 1]]:
             high += 1
         own = chosen[low:high]
@@ -176,16 +176,15 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
         for batch in sliced(batches):
             yield scatter_keys(_runs(batch.column(0), length, anchor)[-1][0], bits)
 
-    again = recurring(docs.select("text").mapInArrow(count, "bucket int, keys binary, many binary"), bits, "phrases")
+    again = recurring(docs.select("text").mapInArrow(count, "bucket int, keys binary, times binary"), bits, "phrases")
     columns = "bucket int, key binary, run binary, doc binary, owner binary, at binary, windows binary, text binary, keys binary, low binary, high binary"
     names = [c.split()[0] for c in columns.split(", ")]
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             ids, _, owners = row_keys(batch.column(0), utf8(batch.column(1)))
-            starts, codes, distinct, symbols, (key, row, first, last) = _runs(batch.column(1), length, anchor)
-            hit = again.index(key) >= 0
-            key, row, first, last = key[hit], row[hit], first[hit], last[hit]
+            starts, codes, distinct, symbols, found = _runs(batch.column(1), length, anchor)
+            key, row, first, last = recurring_runs(again, symbols, starts, length, anchor, found)
             low, high = starts[row] + first, starts[row] + last + length - 1
             raw, digest = symbols.tobytes(), xxhash.xxh3_64_intdigest
             run = np.array([digest(raw[8 * a : 8 * b]) for a, b in zip(low.tolist(), high.tolist(), strict=True)], U64)
@@ -206,7 +205,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
             yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], pa.int32() if n == "bucket" else pa.binary()) for n in names], names=names)
 
     def mark(_: int, rows: list[dict]) -> Iterator[dict]:
-        marked = mark_bucket(rows, length)
+        marked = mark_bucket(rows, length, WINDOWS)
         kept = [join_arrays(rows, n, t) for n, t in (("keys", U64), ("low", np.int64), ("high", np.int64))]
         yield from scatter_spans(*(np.concatenate(x) for x in zip(marked, kept, strict=True)), bits)
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from ._core import U64, bucket_bits, cuts, join_arrays, join_packed, merge_by_bucket, packed, pick, rewrite_rows, sliced, unpacked, utf8
-from .anchors import SpanStore, key_of, recurring, row_keys, runs, scatter_keys, scatter_spans, span_store, without
+from .anchors import SpanStore, key_of, recurring, recurring_runs, row_keys, runs, scatter_keys, scatter_spans, span_store, without
 
 LENGTH, ANCHOR = 100, 32
 #: Bytes of one transform, unless one anchor has more.
@@ -116,9 +116,8 @@ def equal_windows(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
 # ---------------------------------------------------------------- marks
 
 
-def _grams(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    starts = np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))
-    return runs(np.frombuffer(b"".join(texts), np.uint8), starts, length, k)
+def _symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))
 
 
 def ragged(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -130,8 +129,8 @@ def ragged(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 FIELDS = (("key", U64), ("run", U64), ("doc", np.int64), ("text_hash", U64), ("at", np.int64), ("windows", np.int64))
 
 
-def mark_bucket(rows: list[dict], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of documents and their marked spans."""
+def mark_bucket(rows: list[dict], length: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of documents and their marked spans; most: bytes of one transform."""
     f = {n: join_packed(rows, n, t) for n, t in FIELDS}
     text = np.frombuffer(b"".join(unpacked(r["text"]) for r in rows), np.uint8)
     size = f["windows"] + length - 1
@@ -158,7 +157,7 @@ def mark_bucket(rows: list[dict], length: int) -> tuple[np.ndarray, np.ndarray,
     while low < len(groups):
         r0 = int(ends[low] - groups[low])
         base = int(bytes_to[r0 - 1]) if r0 else 0
-        high = max(low + 1, int(np.searchsorted(bytes_to[ends - 1], base + TEXT, "right")))
+        high = max(low + 1, int(np.searchsorted(bytes_to[ends - 1], base + most, "right")))
         c = lead[r0 : int(ends[high - 1])]
         low = high
         c = c[np.lexsort((f["at"][c], f["text_hash"][c], f["doc"][c]))]  # earlier windows come first
@@ -187,9 +186,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            yield scatter_keys(_grams(utf8(batch.column(0)), length, anchor)[0], bits)
+            yield scatter_keys(runs(*_symbols(utf8(batch.column(0))), length, anchor)[0], bits)
 
-    again = recurring(docs.select("text").mapInArrow(count, "bucket int, keys binary, many binary"), bits, "anchors")
+    again = recurring(docs.select("text").mapInArrow(count, "bucket int, keys binary, times binary"), bits, "anchors")
     columns = "bucket int, key binary, run binary, doc binary, text_hash binary, at binary, windows binary, text binary, owner binary, low binary, high binary"
     names = [c.split()[0] for c in columns.split(", ")]
 
@@ -197,9 +196,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
         for batch in sliced(batches):
             held = utf8(batch.column(1))
             ids, hashes, owners = row_keys(batch.column(0), held)
-            key, row, first, last = _grams(held, length, anchor)
-            hit = again.index(key) >= 0
-            key, row, first, last = key[hit], row[hit], first[hit], last[hit]
+            symbols, starts = _symbols(held)
+            key, row, first, last = recurring_runs(again, symbols, starts, length, anchor, runs(symbols, starts, length, anchor))
             digest = xxhash.xxh3_64_intdigest
             run = np.array([digest(held[r][a : b + length - 1]) for r, a, b in zip(row.tolist(), first.tolist(), last.tolist(), strict=True)], U64)
             order = np.lexsort((first, hashes[row], ids[row], run, key))
@@ -220,7 +218,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
             yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], pa.int32() if n == "bucket" else pa.binary()) for n in names], names=names)
 
     def mark(_: int, rows: list[dict]) -> Iterator[dict]:
-        keys, low, high = mark_bucket(rows, length)
+        keys, low, high = mark_bucket(rows, length, TEXT)
         keys = np.concatenate([keys, join_arrays(rows, "owner", U64)])
         yield from scatter_spans(keys, np.concatenate([low, join_arrays(rows, "low", np.int64)]), np.concatenate([high, join_arrays(rows, "high", np.int64)]), bits)
 

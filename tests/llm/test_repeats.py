@@ -44,10 +44,12 @@ def slow_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_bytes_equal_brute_force(spark, seed, monkeypatch):
     if seed == 2:
         monkeypatch.setattr(suffixes, "TEXT", 500)
+    if seed == 3:
+        monkeypatch.setattr(anchors, "HOT", 2)
     rows = rows_of(seed)
     want = slow_bytes(rows, 100)
     got = suffixes.remove_repeats(spark.createDataFrame(rows, cases.SCHEMA).repartition(5)).collect()
@@ -133,6 +135,10 @@ def slow_words(rows, length):
 def test_passages_equal_brute_force(spark, seed, monkeypatch):
     from quire.llm import passages
 
+    if seed == 2:
+        monkeypatch.setattr(passages, "WINDOWS", 60)
+    if seed == 3:
+        monkeypatch.setattr(anchors, "HOT", 2)
     rows = passage_rows(seed)
     got = passages.remove_passages(spark.createDataFrame(rows, cases.SCHEMA).repartition(5)).collect()
     assert sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_words, sum(s.high - s.low for s in r.removed), r.kept) for r in got) == sorted(slow_words(rows, 50))
@@ -152,3 +158,19 @@ def test_phrases_without_passages(spark):
     rows = [(i, f"{cases.prose(50 + i, 60)} {shared} {cases.prose(90 + i, 60)}") for i in range(4)]
     got = passages.remove_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(not r.removed and r.kept == " ".join(dict(rows)[r.doc_id].split()) for r in got) and len(got) == 4
+
+
+def test_split_keys_keep_every_window_and_equal_ones_together():
+    rng = np.random.default_rng(8)
+    phrase = rng.integers(0, 255, 40).astype(np.uint8)
+    rows = [np.concatenate([rng.integers(0, 255, 90).astype(np.uint8), phrase, rng.integers(0, 255, 90).astype(np.uint8)]) for _ in range(30)]
+    rows.append(rows[0][20:])
+    starts, data = np.append(0, np.cumsum([len(r) for r in rows])), np.concatenate(rows)
+    found = anchors.runs(data, starts, 100, 32)
+    split = anchors.split_hot(data, starts, 100, 32, found, np.ones(len(found[0]), bool))
+    windows = lambda f: {(r, s): k for k, r, a, b in zip(*f) for s in range(a, b)}
+    before, after = windows(found), windows(split)
+    assert before.keys() == after.keys() and sum(b - a for _, _, a, b in zip(*split)) == len(after)
+    assert all(after[(0, 20 + i)] == after[(30, i)] for i in range(len(rows[30]) - 99))
+    most = lambda f: np.unique(f[0], return_counts=True)[1].max()
+    assert most(split) < most(found)
