@@ -74,3 +74,17 @@ def test_words_are_split_at_ascii_white_space_only():
     got = [[distinct[c] for c in codes[a:b]] for a, b in zip(starts[:-1], starts[1:])]
     assert got == [[b"a", b"b", b"a"], [], [], ["x\u00a0y\x1cz".encode(), b"w"], []]
     assert words_of(pa.array([], pa.string()))[0].tolist() == [0]
+
+
+def test_the_fast_splitter_splits_alike():
+    import random
+
+    import regex
+
+    assert bpe.USUAL == public_tokenizers.PATTERN
+    every, split = regex.compile(bpe.USUAL).findall, bpe.splitter(bpe.USUAL)
+    rng = random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choice([chr(rng.randrange(256)), rng.choice("'sd  ré1"), " "]) for _ in range(rng.randrange(60)))
+        assert split(text) == every(text)
+    assert split("naïve 你好  x") == every("naïve 你好  x") and bpe.splitter("a|b")("abc") == ["a", "b"]
