@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language import TOP
 from .quality import KEEP_SHARE, MAX_DOCS
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -54,4 +55,27 @@ f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
 select *, not base_failed and n_words - n_removed_words >= cast({KEEP_SHARE} as double) * n_words as kept from f
 """
 
-ORACLE_SQL = {"op2_suffix_dedup": SUBSTRINGS, "op5_line_quality": QUALITY, "op6_phrase_automata": PASSAGES}
+#: crc32 of x.
+CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(x) + 1), lambda i: ord(x[i])::bigint)),
+  lambda r, c: list_reduce(list_prepend(xor(r, c), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: xor(a >> 1, case when a & 1 = 1 then 3988292384::bigint else 0::bigint end))), 4294967295::bigint)"""
+
+LANGUAGE = f"""
+with d as (select doc_id, row_number() over () as rid, lang, coalesce({CRC} % 3 = 1, false) as held_out, regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\p{{Nl}}\\p{{No}}]+') as words
+  from (select *, coalesce(cast(doc_id as varchar), '') as x from documents)),
+w as (select rid, word, count(*) as n from (select rid, unnest(words) as word from d) group by rid, word),
+v as (select word, ' ' || word || ' ' as p, unnest(range(1, len(word) + 2)) as i, len(word) as l from (select distinct word from w)),
+grams as (select word, k, count(*) as c from (
+    select word, ord(p[i + 1])::bigint as k from v where i <= l
+    union all select word, ord(p[i])::bigint + ord(p[i + 1])::bigint * 2097152 from v
+    union all select word, ord(p[i])::bigint + ord(p[i + 1])::bigint * 2097152 + ord(p[i + 2])::bigint * 4398046511104 from v where i <= l) group by word, k),
+docs as (select rid, k, sum(n * c) as f from w join grams on w.word = grams.word group by rid, k),
+tops as (select * from (select rid, k, row_number() over (partition by rid order by f desc, k) - 1 as r from docs) where r < {TOP}),
+langs as (select lang, k, sum(f) as f from docs join d on docs.rid = d.rid where not held_out and lang is not null group by lang, k),
+profiles as (select * from (select lang, k, row_number() over (partition by lang order by f desc, k) - 1 as r from langs) where r < {TOP}),
+away as (select t.rid, l.lang, sum(case when p.k is null then {TOP} else abs(t.r - p.r) end) as s, count(*) as n
+  from tops t cross join (select distinct lang from profiles) l left join profiles p on p.lang = l.lang and p.k = t.k group by t.rid, l.lang),
+best as (select * from (select *, row_number() over (partition by rid order by s, lang) as b from away) where b = 1)
+select doc_id, held_out, coalesce(best.lang, 'und') as lang_pred, coalesce(1.0::double - s::double / ({TOP} * n)::double, 0.0::double) as score from d left join best on d.rid = best.rid
+"""
+
+ORACLE_SQL = {"op3_rank_order_language": LANGUAGE, "op2_suffix_dedup": SUBSTRINGS, "op5_line_quality": QUALITY, "op6_phrase_automata": PASSAGES}
