@@ -98,7 +98,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def against_next(docs: DataFrame, mb_each: float = 16.0) -> DataFrame:
+def against_next(docs: DataFrame, mb_each: float = 4.0) -> DataFrame:
     """doc_id, n_chars, edited text, both digests and their likeness to the edited text's and the next document's.
 
     Documents are dealt once, by ranges of doc_id; a range ends with a copy of the next range's first document, so that every
