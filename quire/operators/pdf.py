@@ -141,14 +141,14 @@ def rich_chunks(spans: DataFrame, sizes: DataFrame, near: DataFrame | None = Non
 
 
 def line_markdown(spans: DataFrame) -> DataFrame:
-    """doc_id, markdown: each line by its size against the most frequent one (the plain extraction)."""
+    """doc_id, markdown: each line by its size against the most frequent one, a blank line after each (the plain extraction)."""
     place = F.array_sort(F.collect_list(F.struct("span_no", "text")))
     rows = spans.where("block_type = 0").groupBy("doc_id", "page_no", "block_no", "line_no").agg(strip(F.array_join(F.transform(place, lambda x: x["text"]), "")).alias("text"), F.max("size").alias("size"))
     rows = rows.where("text <> ''").join(body_size_mode(spans), "doc_id")
     ratio = F.col("size") / F.col("body_size")
     mark = F.when(ratio >= 2.0, "# ").when(ratio >= 1.6, "## ").when(ratio >= 1.3, "### ").otherwise("")
     line = F.struct("page_no", "block_no", "line_no", F.concat(mark, "text").alias("line"))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("markdown"))
+    return rows.groupBy("doc_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n\n"), F.lit("\n")).alias("markdown"))
 
 
 def chapters(rich: DataFrame, profiles: DataFrame, article: DataFrame | None = None, mode: str | None = None) -> DataFrame:

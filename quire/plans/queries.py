@@ -13,7 +13,7 @@ from ..functions.score import looks_like_index, looks_like_toc, score_heading
 from ..operators import article as A
 from ..operators import meta as M
 from ..operators import pdf, render, split
-from ..sources import epub, fb2
+from ..sources import auto, epub, fb2
 from ..sources.html_md import markdown_of
 from ..sources.registry import format_of, stem_of
 from . import views as V
@@ -262,7 +262,7 @@ def drawing_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""with {SPANS}, {SAMPLE},
     c as (select s.doc_id, round(size, 1) as v, count(*) as k, min(block_no) as f from spans s join before p on s.doc_id = p.doc_id and s.page_no = p.page_no and b <= 50 group by all),
     mode as (select doc_id, v from (select *, row_number() over (partition by doc_id order by k desc, f) as r from c) where r = 1),
-    {BLOCKS} select b.doc_id, string_agg(case when size / v >= 2.0 then '# ' when size / v >= 1.6 then '## ' when size / v >= 1.3 then '### ' else '' end || text, chr(10) order by block_no) as markdown
+    {BLOCKS} select b.doc_id, string_agg(case when size / v >= 2.0 then '# ' when size / v >= 1.6 then '## ' when size / v >= 1.3 then '### ' else '' end || text, chr(10) || chr(10) order by block_no) || chr(10) as markdown
     from blocks b join mode on b.doc_id = mode.doc_id group by b.doc_id"""
 )
 def line_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -574,6 +574,26 @@ def fb2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fb2.chunks(_fb2(spark, sf_dir)).drop("error")
 
 
+@query(
+    f"""with {LINES}, l as (select doc_id, pos, regexp_replace(line, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g') as line from lines),
+    p as (select doc_id, pos, case when {strip("substr(line, 1, 20)")} <> '' then '## ' || {strip("substr(line, 1, 20)")} || chr(10) || chr(10) else '' end
+      || case when {strip("line")} <> '' then {strip("line")} || chr(10) || chr(10) else '' end || 'x e y' || chr(10) as t from l)
+    select cast(doc_id as varchar) as doc_id, string_agg(t, chr(10) order by pos) as markdown from p group by doc_id"""
+)
+def plain_fb2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return auto.markdown(_fb2(spark, sf_dir)).select("doc_id", "markdown")
+
+
+@query(
+    """select cast(doc_id as varchar) as doc_id, case when doc_id % 2 = 0 then cast(doc_id as varchar) else 'n' || doc_id end as id, case when doc_id % 2 = 0 then lang else 'n' || doc_id end as title,
+    case when doc_id % 2 = 0 then 'A B' else '' end as authors, case when doc_id % 2 = 0 then 'de' end as language from documents"""
+)
+def auto_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = F.concat(F.lit("books/n"), F.col("doc_id").cast("string"), F.lit(".djvu"))
+    files = _fb2(spark, sf_dir).withColumn("path", F.when(F.col("doc_id") % 2 == 0, F.col("path")).otherwise(other))
+    return auto.metadata(files).select("doc_id", "id", "title", F.array_join("authors", "|").alias("authors"), "language")
+
+
 @query("select cast(doc_id as varchar) as doc_id, lang as title, 'A B' as authors, 'de' as language, cast(2021 as int) as year, lang as id from documents")
 def fb2_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fb2.books(_fb2(spark, sf_dir)).select("doc_id", "title", F.array_join("authors", "|").alias("authors"), "language", "year", "id")

@@ -86,27 +86,42 @@ def book_of(content: bytes, stem: str) -> tuple[str, list[str], str, int | None]
     return text(info, "book-title") or stem, [n for n in names if n], text(info, "lang") or "en", int(year[0]) if year else None
 
 
+def flat_text(node: ET.Element) -> str:
+    """Stripped texts joined by spaces, what follows the element too; elements other than paragraphs count one level deep."""
+    found = [node.text]
+    for child in node:
+        found += [flat_text(child)] if child.tag in (SPACE + "p", "p") else [child.text, child.tail]
+    return " ".join(filter(None, ((t or "").strip() for t in [*found, node.tail])))
+
+
 def plain_markdown(content: bytes) -> str:
-    """The whole body as markdown, headings by depth: the plain extraction. No body is an error."""
+    """The first body's titles, as headings by depth, and paragraphs, a blank line after each: the plain extraction."""
     body = ET.fromstring(content).find(f".//{SPACE}body")
     if body is None:
-        raise ValueError("No body found in FB2")
+        raise ValueError("No <body> found in fb2")
     out: list[str] = []
-
-    def walk(node: ET.Element, depth: int) -> None:
-        for child in node:
-            kind = name_of(child.tag)
-            if kind == "section":
-                walk(child, depth + 1)
-            elif kind == "title":
-                out.append("#" * min(depth + 1, 6) + " " + " ".join(filter(None, (t.strip() for t in child.itertext()))))
-            else:
-                text = " ".join(filter(None, (t.strip() for t in child.itertext())))
-                if text:
-                    out.append(text)
-
-    walk(body, 0)
-    return "\n\n".join(out)
+    stack = [(body, 0)]
+    while stack:
+        node, depth = stack.pop()
+        kind = name_of(node.tag)
+        if kind in ("title", "p"):
+            text = flat_text(node)
+            if text:
+                out += [("#" * min(depth + 1, 6) + " " if kind == "title" else "") + text, ""]
+        else:
+            stack += [(child, depth + (kind == "section")) for child in reversed(node)]
+    return "\n".join(out)
+
+
+def plain_book(content: bytes, stem: str) -> tuple[str, list[str], str | None]:
+    """Title, authors and language by the plain rules: the language may stand anywhere; without title-info there is none."""
+    root = ET.fromstring(content)
+    info = root.find(f".//{SPACE}title-info")
+    if info is None:
+        return stem, [], None
+    title = info.find(SPACE + "book-title")
+    names = [" ".join((a.findtext(SPACE + "first-name", default=""), a.findtext(SPACE + "last-name", default=""))).strip() for a in info.findall(SPACE + "author")]
+    return stem if title is None else flat_text(title), [n for n in names if n], root.findtext(f".//{SPACE}lang", default="en")
 
 
 def chunks(files: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,6 +30,10 @@ def _pymupdf():
     return pymupdf
 
 
+def available() -> bool:
+    return importlib.util.find_spec("pymupdf") is not None
+
+
 def spans_of(files: DataFrame) -> DataFrame:
     _pymupdf()
 

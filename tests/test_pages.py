@@ -44,7 +44,7 @@ def test_flags_make_bold_and_images_are_left_out(spark):
     s = frame(spark, ("d", [[(20, "Head", "Serif", 2), (11, "body")]])).unionByName(spark.createDataFrame([("d", 0, 9, 0, 0, 1, "image", 40.0, "Serif", 0)], books.SPAN))
     rows = pdf.blocks(s).orderBy("block_no").collect()
     assert [(r.text, r.is_bold) for r in rows] == [("Head", True), ("body", False)]
-    assert pdf.line_markdown(frame(spark, ("e", [[(22, "Head"), (11, "a"), (11, "b\nc")]]))).first().markdown == "# Head\na\nb\nc"
+    assert pdf.line_markdown(frame(spark, ("e", [[(22, "Head"), (11, "a"), (11, "b\nc")]]))).first().markdown == "# Head\n\na\n\nb\n\nc\n"
 
 
 def test_drawings(spark):

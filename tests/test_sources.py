@@ -3,7 +3,7 @@ import pytest
 from quire import cli
 from quire.operators.meta import SchemaError, normalize
 from quire.sinks.tree import rendered, write_tree
-from quire.sources import epub, fb2, registry, vocabulary
+from quire.sources import auto, epub, fb2, registry, vocabulary
 from quire.sources.html_md import to_markdown
 from quire.streaming.watch import watch
 
@@ -23,8 +23,9 @@ def test_fb2(spark):
     b = {r.doc_id: r for r in found.collect()}
     assert (b["1"].title, b["1"].authors, b["1"].language, b["1"].year, b["1"].id) == ("FB2 Test Book", ["Jane Doe"], "en", 2021, "fb2-test-book")
     assert b["2"].title == "bad" and b["2"].error
-    assert fb2.plain_markdown(books.FB2).startswith("## Getting Started")
-    with pytest.raises(ValueError):
+    plain = fb2.plain_markdown(books.FB2)
+    assert plain.startswith("## Getting Started\n\nPlain soft and x=1 tail\n\nSaid\n\nshe\n\n### Installation\n\nSteps\n") and plain.endswith("No title here\n")
+    with pytest.raises(ValueError, match="No <body> found"):
         fb2.plain_markdown(b'<FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0"/>')
 
 
@@ -43,6 +44,14 @@ def test_epub_by_toc_and_spine(spark):
     assert epub.parts(f).where("kind = 'error'").count() == 1
 
 
+def test_plain_extraction_by_extension(spark):
+    f = spark.createDataFrame([("1", "x/b.fb2", books.FB2), ("2", "y.djvu", b"?"), ("3", "z.fb2", b"<a/>")], FILES)
+    got = {r.doc_id: r for r in auto.markdown(f).collect()}
+    assert got["1"].markdown and got["2"].error == "Unsupported format: djvu" and got["3"].error == "No <body> found in fb2"
+    found = {r.doc_id: (r.id, r.title, r.authors, r.language) for r in auto.metadata(f).collect()}
+    assert found == {"1": ("b", "FB2 Test Book", ["Jane Doe"], "en"), "2": ("y", "y", [], None), "3": ("z", "z", [], None)}
+
+
 def test_html():
     assert to_markdown("<p>a <b>b</b><script>x</script></p><img src=x><p>c<p>d") == "a **b**\n\nc\n\nd"
     assert to_markdown("<html><head><title>t</title></head><body><h2>H  x</h2><ol><li>1</li><li>2<ul><li>in</li></ul></li></ol></body>") == "## H x\n\n1. 1\n2. 2\n  - in"
