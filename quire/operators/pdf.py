@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.rounding import tenth
 from ..functions.score import looks_like_index, looks_like_toc, score_heading
 from ..functions.text import matches, strip
 from .split import above_score, chapter_groups, without_toc
@@ -36,7 +37,8 @@ def body_size_median(spans: DataFrame, enough: int = 200) -> DataFrame:
 def body_size_mode(spans: DataFrame, enough: int = 50) -> DataFrame:
     """doc_id, body_size: the most frequent size rounded to a tenth; of equals the one seen first."""
     place = F.struct(*[F.col(c) for c in ORDER])
-    sizes = _sample(spans, enough).groupBy("doc_id", F.round("size", 1).alias("body_size")).agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    sizes = _sample(spans, enough).groupBy("doc_id", "size").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    sizes = sizes.groupBy("doc_id", tenth("size").alias("body_size")).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     best = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
     return sizes.withColumn("r", F.row_number().over(best)).where("r = 1").select("doc_id", "body_size")
 
@@ -63,9 +65,8 @@ def profile(spans: DataFrame, drawings: DataFrame | None = None) -> DataFrame:
     ok = (F.col("chars") == 0) | (F.col("strange") / F.greatest(F.col("chars"), F.lit(1)) < 0.3)
     out = out.withColumn("encoding_ok", ok)
     kind = F.when(~F.col("encoding_ok"), "cjk-broken").when(F.col("drawing_clusters") > 50, "diagram-heavy").otherwise("born-digital")
-    # decimal text of the binary value, so that ties go where the value really lies
-    tenth = F.coalesce(F.round(F.col("body_size").cast("decimal(38,18)"), 1).cast("double"), F.lit(DEFAULT_SIZE))
-    return out.select("doc_id", kind.alias("type"), tenth.alias("body_size"), "encoding_ok", "page_count", "has_index", "drawing_clusters")
+    size = F.coalesce(tenth("body_size"), F.lit(DEFAULT_SIZE))
+    return out.select("doc_id", kind.alias("type"), size.alias("body_size"), "encoding_ok", "page_count", "has_index", "drawing_clusters")
 
 
 def blocks(spans: DataFrame) -> DataFrame:

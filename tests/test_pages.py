@@ -40,6 +40,13 @@ def test_body_sizes(spark):
     assert pdf.profile(frame(spark, ("f", [[(11, "Index")], [(0.35, "ж" * 9)]]))).select("has_index", "encoding_ok", "type").first() == (True, False, "cjk-broken")
 
 
+def test_sizes_are_rounded_as_binary_values(spark):
+    s = frame(spark, *[(f"d{i}", [[(size, "ab")]]) for i, size in enumerate((0.35, 0.25, 11.05, 9.96))])
+    want = {f"d{i}": round(v, 1) for i, v in enumerate((0.35, 0.25, 11.05, 9.96))}
+    assert {r.doc_id: r.body_size for r in pdf.profile(s).collect()} == want == {"d0": 0.3, "d1": 0.2, "d2": 11.1, "d3": 10.0}
+    assert {r.doc_id: r.body_size for r in pdf.body_size_mode(s).collect()} == want
+
+
 def test_flags_make_bold_and_images_are_left_out(spark):
     s = frame(spark, ("d", [[(20, "Head", "Serif", 2), (11, "body")]])).unionByName(spark.createDataFrame([("d", 0, 9, 0, 0, 1, "image", 40.0, "Serif", 0)], books.SPAN))
     rows = pdf.blocks(s).orderBy("block_no").collect()
