@@ -21,11 +21,13 @@ SHORT_PAGES = 30
 
 def _sample(spans: DataFrame, enough: int) -> DataFrame:
     """Text spans of the pages up to the one with which there are more than `enough`."""
-    text = spans.where("block_type = 0")
-    pages = text.groupBy("doc_id", "page_no").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    kept = pages.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") <= enough)
-    return text.join(kept.select("doc_id", "page_no"), ["doc_id", "page_no"])
+    before = Window.partitionBy("doc_id").orderBy("page_no").rangeBetween(Window.unboundedPreceding, -1)
+    return spans.where("block_type = 0").withColumn("before", F.count("*").over(before)).where(F.col("before") <= enough)
+
+
+def together(spans: DataFrame) -> DataFrame:
+    """Spans dealt by document once: grouping by page, block or line and windows by document need no other exchange."""
+    return spans.repartition("doc_id")
 
 
 def body_size_median(spans: DataFrame, enough: int = 200) -> DataFrame:
@@ -46,7 +48,7 @@ def body_size_mode(spans: DataFrame, enough: int = 50) -> DataFrame:
 def profile(spans: DataFrame, drawings: DataFrame | None = None) -> DataFrame:
     """doc_id, type, body_size (a tenth), encoding_ok, page_count, has_index, drawing_clusters. A line's end counts as a character."""
     cells = F.array_sort(F.collect_list(F.when(F.col("block_type") == 0, F.struct("span_no", "text"))))
-    rows = spans.groupBy("doc_id", "page_no", "block_no", "line_no").agg(F.array_join(F.transform(cells, lambda x: x["text"]), "").alias("text"), F.max("block_type").alias("kind"))
+    rows = together(spans).groupBy("doc_id", "page_no", "block_no", "line_no").agg(F.array_join(F.transform(cells, lambda x: x["text"]), "").alias("text"), F.max("block_type").alias("kind"))
     last = rows.withColumn("pages", (F.max("page_no").over(Window.partitionBy("doc_id")) + 1).cast("int")).where("kind = 0")
     strange = F.regexp_count("text", F.lit("[^\\x00-\\x7F\\x{4E00}-\\x{9FFF}]"))
     early = F.col("page_no") < 5
@@ -100,7 +102,7 @@ def rich_chunks(spans: DataFrame, sizes: DataFrame, near: DataFrame | None = Non
     A block of 1.3 times the body size or more is a heading: its first line; the rest is content at levels 1 and 2 and is
     dropped at level 3. Other blocks, page numbers and running headers apart, are the body of the heading before them.
     """
-    rows = blocks(spans).join(sizes.select("doc_id", "body_size"), "doc_id")
+    rows = blocks(together(spans)).join(sizes.select("doc_id", "body_size"), "doc_id")
     if near is None:
         rows = rows.withColumn("near_drawing", F.lit(False))
     else:
@@ -144,7 +146,7 @@ def rich_chunks(spans: DataFrame, sizes: DataFrame, near: DataFrame | None = Non
 def line_markdown(spans: DataFrame) -> DataFrame:
     """doc_id, markdown: each line by its size against the most frequent one, a blank line after each (the plain extraction)."""
     place = F.array_sort(F.collect_list(F.struct("span_no", "text")))
-    rows = spans.where("block_type = 0").groupBy("doc_id", "page_no", "block_no", "line_no").agg(strip(F.array_join(F.transform(place, lambda x: x["text"]), "")).alias("text"), F.max("size").alias("size"))
+    rows = together(spans).where("block_type = 0").groupBy("doc_id", "page_no", "block_no", "line_no").agg(strip(F.array_join(F.transform(place, lambda x: x["text"]), "")).alias("text"), F.max("size").alias("size"))
     rows = rows.where("text <> ''").join(body_size_mode(spans), "doc_id")
     ratio = F.col("size") / F.col("body_size")
     mark = F.when(ratio >= 2.0, "# ").when(ratio >= 1.6, "## ").when(ratio >= 1.3, "### ").otherwise("")
