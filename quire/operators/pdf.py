@@ -17,6 +17,8 @@ from .split import above_score, chapter_groups, without_toc
 DEFAULT_SIZE = 12.0
 ORDER = ("page_no", "block_no", "line_no", "span_no")
 SHORT_PAGES = 30
+#: Scores that open a chapter: first, and where nothing reaches it.
+HIGH, LOW = 7.0, 3.0
 
 
 def _sample(spans: DataFrame, enough: int) -> DataFrame:
@@ -161,23 +163,27 @@ def chapters(rich: DataFrame, profiles: DataFrame, article: DataFrame | None = N
     step, "article" takes the second alone; others run the chain.
     """
     cols = ["doc_id", "route", "group_no", "chunk_pos", "group_chapter_no", "group_title", "heading", "content", "level"]
-    kept = above_score(without_toc(rich), -1.0).withColumn("chapter_no", F.lit(0))
+    kinds = {"group_no": "int", "chunk_pos": "int", "group_chapter_no": "int", "level": "int"}
 
-    def route(df: DataFrame, name: str) -> DataFrame:
-        return df.withColumn("route", F.lit(name)).select(*[F.col(c).cast("int") if c in ("group_no", "chunk_pos", "group_chapter_no", "level") else F.col(c) for c in cols])
+    def shaped(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c).cast(kinds[c]) if c in kinds else F.col(c) for c in cols])
 
-    plain = None if article is None else route(article.withColumn("group_title", F.col("heading")), "article")
+    plain = None if article is None else shaped(article.withColumn("group_title", F.col("heading")).withColumn("route", F.lit("article")))
     if mode == "article":
         if plain is None:
             raise ValueError("mode article needs article chunks")
         return plain
-    first = route(chapter_groups(kept, 7.0), "rich")
+    every = Window.partitionBy("doc_id")
+    kept = above_score(without_toc(rich), -1.0).withColumn("chapter_no", F.lit(0))
     if mode == "rich":
-        return first
-    done = first.select("doc_id").distinct()
-    out = first
-    if plain is not None:
-        short = profiles.where(F.col("page_count") < SHORT_PAGES).select("doc_id").join(done, "doc_id", "left_anti")
-        second = plain.join(short, "doc_id", "left_semi")
-        out, done = out.unionByName(second), done.unionByName(second.select("doc_id").distinct())
-    return out.unionByName(route(chapter_groups(kept.join(done, "doc_id", "left_anti"), 3.0), "lowscore"))
+        return shaped(chapter_groups(kept, HIGH).withColumn("route", F.lit("rich")))
+    # one pass: a document with a heading that reaches the high mark is grouped by it, others by the low one
+    kept = kept.withColumn("high", F.max((F.col("score") >= HIGH) & (F.col("level") <= 3)).over(every))
+    out = chapter_groups(kept, F.when(F.col("high"), HIGH).otherwise(LOW))
+    out = shaped(out.withColumn("route", F.when(F.col("high"), "rich").otherwise("lowscore")))
+    if plain is None:
+        return out
+    short = profiles.where(F.col("page_count") < SHORT_PAGES).select("doc_id")
+    both = out.unionByName(plain.join(short, "doc_id", "left_semi"))
+    rank = F.when(F.col("route") == "rich", 0).when(F.col("route") == "article", 1).otherwise(2)
+    return both.withColumn("rank", rank).withColumn("best", F.min("rank").over(every)).where("rank = best").drop("rank", "best")

@@ -98,7 +98,7 @@ def above_score(chunks: DataFrame, least: float = 0.0) -> DataFrame:
     return chunks.where(F.col("score") > least)
 
 
-def chapter_groups(chunks: DataFrame, least: float = 5.0, order: str = "sequence") -> DataFrame:
+def chapter_groups(chunks: DataFrame, least: float | Column = 5.0, order: str = "sequence") -> DataFrame:
     """Adds group_no, chunk_pos, group_chapter_no and group_title; chunks before the first chapter are dropped.
 
     A chunk of level 3 or less whose score reaches the threshold opens a chapter; its number is its own, or one more than
