@@ -66,7 +66,7 @@ class Profiles:
 
     def predict(self, text: str) -> tuple[str, float]:
         words = Counter(LETTERS.findall(text.lower()))
-        if not words or not self.languages:
+        if not self.languages or not any(c.isalpha() for w in words for c in w):  # numerals such as a superscript two aren't letters
             return UNKNOWN, 0.0
         own = ranked(*ngram_counts(words), self.top)
         i = np.searchsorted(self.keys, own)

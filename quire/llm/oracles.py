@@ -75,7 +75,8 @@ profiles as (select * from (select lang, k, row_number() over (partition by lang
 away as (select t.rid, l.lang, sum(case when p.k is null then {TOP} else abs(t.r - p.r) end) as s, count(*) as n
   from tops t cross join (select distinct lang from profiles) l left join profiles p on p.lang = l.lang and p.k = t.k group by t.rid, l.lang),
 best as (select * from (select *, row_number() over (partition by rid order by s, lang) as b from away) where b = 1)
-select doc_id, held_out, coalesce(best.lang, 'und') as lang_pred, coalesce(1.0::double - s::double / ({TOP} * n)::double, 0.0::double) as score from d left join best on d.rid = best.rid
+select doc_id, held_out, coalesce(best.lang, 'und') as lang_pred, coalesce(1.0::double - s::double / ({TOP} * n)::double, 0.0::double) as score
+from d left join best on d.rid = best.rid and len(list_filter(d.words, lambda z: regexp_matches(z, '\\pL'))) > 0
 """
 
 ORACLE_SQL = {"op3_rank_order_language": LANGUAGE, "op2_suffix_dedup": SUBSTRINGS, "op5_line_quality": QUALITY, "op6_phrase_automata": PASSAGES}
