@@ -17,9 +17,9 @@ def looks_like_index(line: Column) -> Column:
     return matches(line, P.INDEX_LETTER)
 
 
-def score_heading(heading: Column, level: Column, size: Column, bold: Column, near_drawing: Column, toc: Column, index: Column, body: Column) -> Column:
-    """Fixed weights; a heading that strips to nothing scores 0."""
-    text = strip(heading)
+def score_heading(heading: Column, level: Column, size: Column, bold: Column, near_drawing: Column, toc: Column, index: Column, body: Column, stripped: bool = False) -> Column:
+    """Fixed weights; a heading that strips to nothing scores 0. stripped: the heading is so already, and isn't stripped for each rule."""
+    text = heading if stripped else strip(heading)
 
     def points(n: int, when: Column) -> Column:
         return F.when(when, F.lit(float(n))).otherwise(F.lit(0.0))

@@ -141,7 +141,7 @@ def rich_chunks(spans: DataFrame, sizes: DataFrame, near: DataFrame | None = Non
         of_head(looks_like_index(F.col("first"))).alias("looks_like_index_letter"),
         F.max("body_size").alias("body_size"),
     )
-    score = score_heading(F.col("heading"), F.col("level"), F.col("font_size"), F.col("is_bold"), F.col("near_drawing"), F.col("looks_like_toc_entry"), F.col("looks_like_index_letter"), F.col("body_size"))
+    score = score_heading(F.col("heading"), F.col("level"), F.col("font_size"), F.col("is_bold"), F.col("near_drawing"), F.col("looks_like_toc_entry"), F.col("looks_like_index_letter"), F.col("body_size"), stripped=True)
     return out.select("doc_id", (F.col("head") - 1).cast("int").alias("sequence"), "heading", "content", "level", "font_size", "is_bold", "near_drawing", "looks_like_toc_entry", "looks_like_index_letter", score.alias("score"))
 
 

@@ -129,8 +129,8 @@ LEVEL = "case when size / 11.0 >= 2.0 then 1 when size / 11.0 >= 1.6 then 2 else
 def heading_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, size, body = F.col("text"), F.col("size"), F.lit(11.0)
     level = F.when(size / 11.0 >= 2.0, 1).when(size / 11.0 >= 1.6, 2).otherwise(3)
-    score = score_heading(t, level, size, F.col("font") == "Serif-Bold", F.lit(False), looks_like_toc(t), looks_like_index(t), body)
-    return V.spans(spark, sf_dir).select("doc_id", "block_no", score.alias("score"))
+    score = score_heading(F.col("heading"), level, size, F.col("font") == "Serif-Bold", F.lit(False), looks_like_toc(t), looks_like_index(t), body, stripped=True)
+    return V.spans(spark, sf_dir).withColumn("heading", T.strip(t)).select("doc_id", "block_no", score.alias("score"))
 
 
 SAMPLE = """pages as (select doc_id, page_no, count(*) as n from spans group by all),
