@@ -29,8 +29,10 @@ BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on the bytes of a batch to BATCH_BYTES, unless it is lower."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(spark.conf.get(name)))
+    value = str(spark.conf.get(name))
+    held = 0 if value.startswith("-") else spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(value)
     if held <= 0 or held > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
