@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .digest import BUCKETS, GREATEST, LENGTH_COST, WAYS
 from .language import TOP
 from .quality import KEEP_SHARE, MAX_DOCS
 
@@ -79,4 +80,36 @@ select doc_id, held_out, coalesce(best.lang, 'und') as lang_pred, coalesce(1.0::
 from d left join best on d.rid = best.rid and len(list_filter(d.words, lambda z: regexp_matches(z, '\\pL'))) > 0
 """
 
-ORACLE_SQL = {"op3_rank_order_language": LANGUAGE, "op2_suffix_dedup": SUBSTRINGS, "op5_line_quality": QUALITY, "op6_phrase_automata": PASSAGES}
+M32 = 1 << 32
+
+
+def _bucket(j: int, k: int, salt: int) -> str:
+    """The bucket of a byte, the j-th and the k-th after it, as in digest.bucket_counts."""
+    h = f"((b[i] * {0x9E3779B1} + b[i + {j}] * {0x85EBCA77}) % {M32})"
+    h = f"((xor({h}, {h} >> 15) + b[i + {k}] * {0xC2B2AE3D} + {0x27D4EB2F * (salt + 1) % M32}) % {M32})"
+    return f"case when i + {k} <= len(b) then (({h} * {0x2C1B3C6D}) % {M32}) >> 25 end"
+
+
+def _likeness(a: str, b: str) -> str:
+    cost = f"list_sum(list_transform(list_zip({a}.codes, {b}.codes), lambda z: case abs(z[1] - z[2]) when 0 then 0 when 1 then 1 when 2 then 2 else 6 end))"
+    return f"1.0::double - ({cost} + least({LENGTH_COST}, abs({a}.size - {b}.size)))::double / {GREATEST}::double"
+
+
+DIGESTS = f"""
+with d as (select doc_id, coalesce(text, '') as t, row_number() over (order by doc_id desc) as r, count(*) over () as n from documents),
+e as (select d.*, substr(d.t, 1, length(d.t) - length(d.t) // 2) || substr(f.t, 1, length(d.t) // 2) as x from d join d f on f.r = d.r % d.n + 1),
+texts as (select r, 0 as kind, t as s from e union all select r, 1, x from e),
+bytes as (select r, kind, list_transform(regexp_extract_all(hex(s), '..'), lambda z: ('0x' || z)::bigint) as b from texts),
+hits as (select r, kind, unnest([{", ".join(_bucket(j, k, salt) for salt, (j, k) in enumerate(WAYS))}]) as bucket from (select r, kind, b, unnest(range(1, len(b) - 1)) as i from bytes)),
+counts as (select r, kind, bucket, count(*) as c from hits where bucket is not null group by r, kind, bucket),
+filled as (select a.r, a.kind, k.bucket, coalesce(c, 0) as c from bytes a cross join (select unnest(range(0, {BUCKETS})) as bucket) k left join counts on counts.r = a.r and counts.kind = a.kind and counts.bucket = k.bucket),
+cuts as (select r, kind, list_sort(list(c)) as q from filled group by r, kind),
+coded as (select f.r, f.kind, bucket, (c > q[{BUCKETS // 4}])::int + (c > q[{BUCKETS // 2}])::int + (c > q[{3 * BUCKETS // 4}])::int as code from filled f join cuts on f.r = cuts.r and f.kind = cuts.kind),
+whole as (select coded.r, coded.kind, list(code order by bucket) as codes, any_value(least(255, round(8 * log2(len(b) + 1)))::int) as size
+  from coded join bytes on coded.r = bytes.r and coded.kind = bytes.kind group by coded.r, coded.kind),
+shown as (select *, printf('%02x', size) || array_to_string(list_transform(range(0, {BUCKETS}, 4), lambda g: printf('%02x', codes[g + 1] * 64 + codes[g + 2] * 16 + codes[g + 3] * 4 + codes[g + 4])), '') as f from whole)
+select doc_id, length(t)::bigint as n_chars, sha256(x) as edited_sha256, o.f as fingerprint, m.f as edited_fingerprint, {_likeness("o", "m")} as near_edited, {_likeness("o", "p")} as near_next
+from e join shown o on o.r = e.r and o.kind = 0 join shown m on m.r = e.r and m.kind = 1 join shown p on p.r = e.r % e.n + 1 and p.kind = 0
+"""
+
+ORACLE_SQL = {"op10_quartile_digest": DIGESTS, "op3_rank_order_language": LANGUAGE, "op2_suffix_dedup": SUBSTRINGS, "op5_line_quality": QUALITY, "op6_phrase_automata": PASSAGES}
