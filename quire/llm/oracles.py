@@ -112,4 +112,73 @@ select doc_id, length(t)::bigint as n_chars, sha256(x) as edited_sha256, o.f as
 from e join shown o on o.r = e.r and o.kind = 0 join shown m on m.r = e.r and m.kind = 1 join shown p on p.r = e.r % e.n + 1 and p.kind = 0
 """
 
-ORACLE_SQL = {"op10_quartile_digest": DIGESTS, "op3_rank_order_language": LANGUAGE, "op2_suffix_dedup": SUBSTRINGS, "op5_line_quality": QUALITY, "op6_phrase_automata": PASSAGES}
+# XXH64 of bytes b of length l (its published definition), in 128-bit arithmetic. A value that is used twice is bound by a lambda.
+XX1, XX2, XX3, XX4, XX5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+M64 = 1 << 64
+
+
+def _u(n: int) -> str:
+    return f"{n % M64}::uhugeint"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _mul(a: str, b: int) -> str:
+    return f"(({a}) * {_u(b)} % {M64}::uhugeint)"
+
+
+def _add(*terms: str) -> str:
+    return f"(({' + '.join(terms)}) % {M64}::uhugeint)"
+
+
+def _turn(name: str, r: int) -> str:
+    return f"(({name} * {1 << r}::uhugeint) % {M64}::uhugeint + {name} // {1 << (64 - r)}::uhugeint)"
+
+
+def _word(place: str, n: int) -> str:
+    return "(" + " + ".join(f"b[({place}) + {k + 1}]::uhugeint * {256**k}::uhugeint" for k in range(n)) + ")"
+
+
+def _round(state: str, lane: str) -> str:
+    return _let(_add(state, _mul(lane, XX2)), "t", _mul(_turn("t", 31), XX1))
+
+
+def _xxh64(seed: int) -> str:
+    def fold(start: str, places: str, word: str, factor: int, turn: int, then: int, plus: int) -> str:
+        mixed = _round("0::uhugeint", word) if factor == 0 else _mul(word, factor)
+        step = _let(f"xor(a, {mixed})", "u", _add(_mul(_turn("u", turn), then), _u(plus)))
+        return f"list_reduce(list_prepend({start}, range({places})::uhugeint[]), lambda a, o: {step})"
+
+    lanes = [
+        f"list_reduce(list_prepend({_u(v)}, range(0, l // 32)::uhugeint[]), lambda a, s: {_round('a', _word(f's::bigint * 32 + {8 * i}', 8))})"
+        for i, v in enumerate((seed + XX1 + XX2, seed + XX2, seed, seed - XX1))
+    ]
+    joined = _add(*[_turn(f"v[{i + 1}]", r) for i, r in enumerate((1, 7, 12, 18))])
+    merged = _add(_mul(f"xor(a, {_round('0::uhugeint', 'w')})", XX1), _u(XX4))
+    long = _let("[" + ", ".join(lanes) + "]", "v", f"list_reduce(list_prepend({joined}, v), lambda a, w: {merged})")
+    h = _add(f"case when l >= 32 then {long} else {_u(seed + XX5)} end", "l::uhugeint")
+    h = fold(h, "l // 32 * 32, l // 8 * 8, 8", _word("o::bigint", 8), 0, 27, XX1, XX4)
+    h = fold(h, "l // 8 * 8, l // 4 * 4, 4", _word("o::bigint", 4), XX1, 23, XX2, XX3)
+    h = fold(h, "l // 4 * 4, l", "b[o::bigint + 1]::uhugeint", XX5, 11, XX1, 0)
+    for name, shift, factor in (("x", 33, XX2), ("y", 29, XX3)):
+        h = _let(h, name, _mul(f"xor({name}, {name} // {1 << shift}::uhugeint)", factor))
+    return _let(h, "z", f"xor(z, z // {1 << 32}::uhugeint)")
+
+
+SIMHASH = f"""
+with recursive d as (select doc_id, row_number() over () as rid, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') as w from documents),
+grams as (select rid, array_to_string(w[i:i + 3], ' ') as g from (select rid, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) as i from d)),
+kinds as (select g, list_transform(regexp_extract_all(hex(g), '..'), lambda z: ('0x' || z)::bigint) as b, (len(hex(g)) // 2)::bigint as l from (select distinct g from grams)),
+hashed as (select g, ({_xxh64(42)})::ubigint as h from kinds),
+bits as (select rid, count(*) as n, {", ".join(f"sum((h >> {k}) & 1) as s{k}" for k in range(64))} from grams join hashed on grams.g = hashed.g group by rid),
+prints as (select d.rid, doc_id, coalesce(({" + ".join(f"(case when 2 * s{k} > n then {1 << k} else 0 end)::hugeint" for k in range(64))})::ubigint, 0::ubigint) as f from d left join bits on d.rid = bits.rid),
+links as (select a.f as x, b.f as y from (select distinct f from prints) a join (select distinct f from prints) b on bit_count(xor(a.f, b.f)::bit) <= 4),
+reach as (select x, y from links union select r.x, l.y from reach r join links l on r.y = l.x),
+firsts as (select f, min(doc_id) as m from prints group by f),
+comps as (select x, min(m) as c from reach join firsts on y = f group by x)
+select doc_id, lpad(lower(hex(f)), 16, '0') as fingerprint, c as component_id from prints join comps on f = x
+"""
+
+ORACLE_SQL = {"op9_simhash": SIMHASH, "op10_quartile_digest": DIGESTS, "op3_rank_order_language": LANGUAGE, "op2_suffix_dedup": SUBSTRINGS, "op5_line_quality": QUALITY, "op6_phrase_automata": PASSAGES}
