@@ -1,6 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased words and their first four and five letters. Learning uses a sample of at most PER_CLASS labelled
+Terms are lower-cased words and their first four to seven letters; a term that occurs twice or four
+times in a text counts as another term besides. Learning uses a sample of at most PER_CLASS labelled
 documents of each class, chosen by a hash of doc_id (a documented bound; a document labelled twice counts as toxic if one
 label says so). Terms enter the vocabulary if they are associated with the label in that sample (chi-square and odds
 ratio), at most VOCABULARY of them. Every sampled document with such a term is an example in the index.
@@ -29,36 +30,46 @@ from pyspark.sql import functions as F
 
 from ._core import pick, texts
 
+PREFIXES, OFTEN = (4, 5, 6, 7), (2, 4)
 PER_CLASS, VOCABULARY, NEIGHBOURS, BLOCK = 5000, 4096, 15, 64
-LEAST_CHI2, LEAST_LOG_ODDS, LEAST_DOCS = 30.0, 1.5, 3
+LEAST_CHI2, LEAST_LOG_ODDS, LEAST_DOCS = 30.0, 2.3, 3
 WORD = re.compile(r"\w+")
 CACHE_WORDS = 300_000
 
 
 def terms_of(word: str) -> tuple[str, ...]:
     """A word and, marked, its first letters."""
-    return (word, *("^" + word[:n] for n in (4, 5) if len(word) > n))
+    return (word, *("^" + word[:n] for n in PREFIXES if len(word) > n))
+
+
+def levels(term: str, times: int) -> list[str]:
+    """The term, and marked ones for a term that occurs often."""
+    return [term, *(f"{term}#{n}" for n in OFTEN if times >= n)]
 
 
 class _Lookup(dict):
-    """word -> places of its terms in the vocabulary."""
+    """word -> those of its terms that matter."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.places: dict[str, list[tuple[int, int]]] = {}  # term -> least count and place of it and of its marked forms
+        for term, place in vocabulary.items():
+            base, _, often = term.partition("#")  # no word holds the mark
+            self.places.setdefault(base, []).append((int(often or 1), place))
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        got = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        got = tuple(t for t in terms_of(word) if t in self.places)
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = got
         return got
 
     def counts(self, text: str) -> dict[int, int]:
-        found: Counter[int] = Counter()
-        for places in filter(None, map(self.__getitem__, WORD.findall(text.lower()))):
-            found.update(places)
-        return found
+        found: dict[str, int] = {}
+        for word, n in Counter(WORD.findall(text.lower())).items():
+            for t in self[word]:
+                found[t] = found.get(t, 0) + n
+        return {place: n for t, n in found.items() for least, place in self.places[t] if n >= least}
 
 
 def weighted(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +192,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             found: tuple[Counter, Counter] = (Counter(), Counter())
             n = [0, 0]
             for text, y in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                found[y].update({t for w in set(WORD.findall(text.lower())) for t in terms_of(w)})
+                times: Counter[str] = Counter()
+                for word, k in Counter(WORD.findall(text.lower())).items():
+                    for t in terms_of(word):
+                        times[t] += k
+                found[y].update(x for t, k in times.items() for x in levels(t, k))
                 n[y] += 1
             all_terms = list(found[0].keys() | found[1].keys())
             rows = [(t, found[0][t], found[1][t]) for t in all_terms] + [("", n[0], n[1])]  # the empty term counts documents
