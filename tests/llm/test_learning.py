@@ -133,6 +133,26 @@ def test_quality_cleans_texts(spark):
     assert quality.judge(cases.empty(spark)).count() == 0 and quality.judge(cases.odd(spark)).count() == len(cases.odd_rows())
 
 
+@pytest.mark.parametrize("notices,own", [(5, 1), (8, 1), (12, 1), (12, 2)])
+def test_quality_counts_documents_of_few_own_lines(spark, notices, own):
+    notice = [f"notice {j} " + cases.prose(900 + j, 12) for j in range(notices)]
+    rows = [(i, "\n".join([*notice, *(f"own {i} {j} " + cases.prose(5000 + 7 * i + j, 12) for j in range(own))]), "en", "host", 1) for i in range(60)]
+    got = quality.judge(spark.createDataFrame(rows, cases.SCHEMA).repartition(3)).collect()
+    words = sum(len(x.split()) for x in notice)
+    assert [r.n_removed_words for r in got] == [words] * 60
+
+
+def test_quality_counts_light_edits_once(spark):
+    lines = [f"line {j} " + cases.prose(700 + j, 14) for j in range(10)]
+    rows = []
+    for i in range(120):  # each with an edited word in a line of its own choice
+        edited = [x.split() for x in lines]
+        edited[i % 10][3 + i % 9] = f"edit{i}"
+        rows.append((i, "\n".join(map(" ".join, edited)), "en", "host", 1))
+    got = quality.judge(spark.createDataFrame(rows, cases.SCHEMA).repartition(3)).collect()
+    assert len(got) == 120 and not any(r.n_removed_words for r in got)
+
+
 # ---------------------------------------------------------------- toxicity
 
 
