@@ -6,7 +6,7 @@ by a hash of its whole set of lines, in which a line with a light edit stands fo
 in the host (more than MAX_DOCS rows) and agrees with it in ALIKE of SKETCHES min-hashes of its pairs of words. So copies and light
 edits of one document don't make its lines common, and documents of few own lines beside many shared ones still count one by one.
 Documents that differ in a line of which no form recurs are distinct.
-A line is removed where more than MAX_DOCS distinct documents hold it and these are at least half of the rows. A
+A line is removed where more than MAX_DOCS distinct documents hold it, however many copies of one of them there are. A
 document is depleted if less than KEEP_SHARE of its words remain. Removed lines are a store of sorted hashes in the shared
 folder, which workers map into memory; texts aren't shuffled.
 
@@ -236,7 +236,7 @@ def common_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> SortedStore:
         run = (votes[:, : SKETCHES - ALIKE + 1] == votes[:, ALIKE - 1 :]) & (votes[:, : SKETCHES - ALIKE + 1] != 0)
         return np.where(run.any(axis=1), votes[np.arange(len(votes)), run.argmax(axis=1)], keys)
 
-    return _counted(docs.mapInArrow(by_form, columns), bits, "lines", lambda d, t: (d > max_docs) & (2 * d >= t))
+    return _counted(docs.mapInArrow(by_form, columns), bits, "lines", lambda d, _: d > max_docs)
 
 
 def _judge(texts: list[bytes], sources: list[str | None], common: SortedStore) -> list[np.ndarray]:

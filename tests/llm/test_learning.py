@@ -153,6 +153,16 @@ def test_quality_counts_light_edits_once(spark):
     assert len(got) == 120 and not any(r.n_removed_words for r in got)
 
 
+def test_quality_copies_do_not_shield_a_line(spark):
+    notice = [f"notice {j} " + cases.prose(900 + j, 12) for j in range(6)]
+    rows = [(i, "\n".join([*notice, f"own {min(i, 30)} " + cases.prose(5000 + 7 * min(i, 30), 12)]), "en", "host", 1) for i in range(80)]
+    got = quality.judge(spark.createDataFrame(rows, cases.SCHEMA).repartition(3)).collect()
+    words = sum(len(x.split()) for x in notice)
+    removed = {r.n_removed_words for r in got}
+    own = {len(r[1].split("\n")[-1].split()) for r in rows if r[0] >= 30}
+    assert removed == {words} and len(own) == 1 and not any(r.kept for r in got)
+
+
 # ---------------------------------------------------------------- toxicity
 
 
