@@ -344,7 +344,7 @@ def fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select doc_id, {slug('substr(text, 1, 200)')} as slug from documents")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 200)).alias("slug"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query(f"select doc_id, coalesce(nullif(substr({slug('text')}, 1, 60), ''), 'untitled') as slug from documents")

@@ -33,6 +33,17 @@ def test_query(spark, duck, name):
         assert got == plain(want.select(*[duckdb.ColumnExpression(c) for c in cols]).fetchall())
 
 
+def long_text(tmp_path, spark):
+    words = [f"Word{i}" for i in range(300)]
+    spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return [w.lower() for w in words]
+
+
+def test_slugs_take_whole_texts(spark, tmp_path):
+    words = long_text(tmp_path, spark)
+    assert Q.slugs(spark, str(tmp_path)).first().slug == "-".join(words)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
