@@ -364,7 +364,7 @@ def chapter_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select doc_id, array_to_string(list_filter(list_transform(string_split(substr(text, 1, 120), ' '), lambda z: {slug('z')}), lambda z: z <> ''), ',') as topics from documents")
 def topic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.topics(F.split(F.substring("text", 1, 120), " ")), ",").alias("topics"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.topics(F.split("text", " ")), ",").alias("topics"))
 
 
 AUTHOR = "case doc_id % 4 when 0 then 'Doe, ' || lang || ' ; Smith,  John;' when 1 then source when 2 then 'A, B, C; ' || lang else '' end"

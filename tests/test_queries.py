@@ -44,6 +44,11 @@ def test_slugs_take_whole_texts(spark, tmp_path):
     assert Q.slugs(spark, str(tmp_path)).first().slug == "-".join(words)
 
 
+def test_topics_take_whole_texts(spark, tmp_path):
+    words = long_text(tmp_path, spark)
+    assert Q.topic_names(spark, str(tmp_path)).first().topics == ",".join(words)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
