@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and kept as sorted hash arrays.
+"""Interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and kept as sorted hash arrays.
 
 Two counting passes. The first counts tokens (words, A-Z lower-cased, and one end a text) by hash; a token's place in the
 sorted hashes is its number. The second counts pairs of neighbours (a begin mark stands before the first token) as scrambled
@@ -7,6 +7,10 @@ distinct pairs only. From the merged pairs come, for each word, its number of di
 as a context, its total and how many followers it has once, twice and more often. All arrays lie in the shared folder, in
 buckets; workers map them into memory and look up a batch's distinct tokens and pairs by binary search.
 
+Of order 3, the second pass counts triples (two begin marks), dealt by their first two words; pairs come from the distinct triples and
+have their number of distinct predecessors as count, so they are the lower order of the triples:
+p(w | t u) = max(c(tuw) - D(c(tuw)), 0) / c(tu) + g(tu) p(w | u); a context never seen leaves the next to p(w | u).
+
 p(w | u) = max(c(uw) - D(c(uw)), 0) / c(u) + g(u) p(w), and p(w) likewise from counts of predecessors, interpolated with
 1 / (V + 1), the share of every word and of the unknown one. D comes from counts of counts (Chen and Goodman); where these
 are too few for a discount, 0.5, 1 and 1.5 serve.
@@ -53,6 +57,10 @@ def before(codes: np.ndarray, starts: np.ndarray, begin: int) -> np.ndarray:
     return out
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix64(a.astype(U64) << U64(32) | b.astype(U64))
+
+
 def discounts(counts: list[int]) -> np.ndarray:
     """D of counts 0, 1, 2 and 3 or more, from how many have the counts 1, 2, 3 and 4."""
     n1, n2, n3, n4 = counts
@@ -91,6 +99,45 @@ class PairStore:
         return out[back]
 
 
+@dataclass(frozen=True)
+class TripleStore:
+    """The triples' arrays: contexts (scrambled pairs) with their figures, and each one's followers in order."""
+
+    uri: str
+    bits: int
+    sizes: tuple[int, ...]
+    discounts: np.ndarray
+
+    def shares(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each context and word (-1: unknown) the discounted share of the word, and that of the lower order (1 for a new context)."""
+        own, rest = np.zeros(len(contexts)), np.ones(len(contexts))
+        order = np.argsort(contexts)
+        ranked, d = contexts[order], self.discounts
+        at = cuts(ranked, self.bits)
+        for b in np.flatnonzero(np.diff(at)):
+            if not self.sizes[b]:
+                continue
+            rows, part = order[at[b] : at[b + 1]], ranked[at[b] : at[b + 1]]
+            keys = open_array(self.uri, f"tk.{b}")
+            i = np.searchsorted(keys, part)
+            i[i == len(keys)] = 0
+            hit = keys[i] == part
+            rows, i = rows[hit], i[hit]
+            first, followers = open_array(self.uri, f"tf.{b}"), open_array(self.uri, f"tw.{b}")
+            total, n1, n2 = (open_array(self.uri, f"{n}.{b}")[i].astype(np.float64) for n in ("tt", "t1", "t2"))
+            low, end = first[i].astype(np.int64), first[i + 1].astype(np.int64)
+            rest[rows] = (d[1] * n1 + d[2] * n2 + d[3] * (end - low - n1 - n2)) / total
+            high, w = end.copy(), words[rows]
+            while (low < high).any():
+                mid = (low + high) >> 1
+                less = (low < high) & (followers[np.minimum(mid, len(followers) - 1)] < w)
+                low, high = np.where(less, mid + 1, low), np.where(less | (low >= high), high, mid)
+            place = np.minimum(low, len(followers) - 1)
+            c = np.where((low < end) & (followers[place] == w), open_array(self.uri, f"tc.{b}")[place], 0).astype(np.float64)
+            own[rows] = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / total
+        return own, rest
+
+
 @dataclass(frozen=True)
 class Model:
     words: SortedStore  # fields n, before, total, n1, n2, n3
@@ -99,6 +146,7 @@ class Model:
     pair_discounts: np.ndarray
     word_discounts: np.ndarray
     word_times: tuple[int, ...]  # words of one, two, and more predecessors
+    triples: TripleStore | None = None  # of order 3
 
     @property
     def vocabulary(self) -> int:
@@ -132,6 +180,11 @@ class Model:
         if unknown.any():
             d, u = self.pair_discounts, prev[unknown]
             p[unknown] = (d[1] * f["n1"][u] + d[2] * f["n2"][u] + d[3] * f["n3"][u]) / f["total"][u] * low[codes[unknown]]
+        if self.triples is not None:
+            t = before(prev, starts, len(hashes) - 1)
+            found = np.flatnonzero((place[t] >= 0) & (place[prev] >= 0))
+            own, rest = self.triples.shares(_pair(place[t[found]], place[prev[found]]), place[codes[found]])
+            p[found] = own + rest * p[found]
         seen = f["n"][codes]
         base = np.log10((seen + 1.0) / (self.tokens + self.vocabulary + 1.0))
         at = starts[:-1]
@@ -150,6 +203,12 @@ def _scatter(keys: np.ndarray, counts: np.ndarray, bits: int, kind) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array([v[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()) for v in (keys, counts)]], names=["bucket", "keys", "n"])
 
 
+def _steps(own: np.ndarray, bucket: int, bits: int) -> bytes:
+    steps = np.diff(own, prepend=U64(bucket) << U64(64 - bits))
+    wide = 8 if int(steps.max()) >> 48 else 6
+    return bytes([wide]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+
+
 def _scatter_pairs(keys: np.ndarray, bits: int) -> pa.RecordBatch:
     """Distinct keys by bucket as six-byte differences where these suffice; counts by how often: most occur once."""
     keys, counts = np.unique(keys, return_counts=True)
@@ -157,10 +216,7 @@ def _scatter_pairs(keys: np.ndarray, bits: int) -> pa.RecordBatch:
     full = np.flatnonzero(np.diff(at))
     blobs = []
     for b in full:
-        own = keys[at[b] : at[b + 1]]
-        steps = np.diff(own, prepend=U64(int(b)) << U64(64 - bits))
-        wide = 8 if int(steps.max()) >> 48 else 6
-        blobs.append(bytes([wide]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes())
+        blobs.append(_steps(keys[at[b] : at[b + 1]], int(b), bits))
     return pa.RecordBatch.from_arrays(
         [pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary()), pa.array([packed(counts[at[b] : at[b + 1]].astype(np.uint32)) for b in full], pa.binary())], names=["bucket", "keys", "n"]
     )
@@ -180,7 +236,26 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[start], np.add.reduceat(counts, start) if len(start) else counts
 
 
-def learn(docs: DataFrame) -> Model:
+def _scatter_triples(contexts: np.ndarray, words: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Distinct triples by the bucket of their context, coded like pairs, with their last words."""
+    order = np.lexsort((words, contexts))
+    contexts, words = contexts[order], words[order]
+    new = np.flatnonzero(np.append(True, (contexts[1:] != contexts[:-1]) | (words[1:] != words[:-1])))
+    counts = np.diff(np.append(new, len(contexts))).astype(np.uint32)
+    contexts, words = contexts[new], words[new]
+    at = cuts(contexts, bits)
+    full = np.flatnonzero(np.diff(at))
+    part = [slice(at[b], at[b + 1]) for b in full]
+    keys = [_steps(contexts[x], int(b), bits) for b, x in zip(full, part, strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(full.astype(np.int32)), pa.array(keys, pa.binary()), pa.array([words[x].tobytes() for x in part], pa.binary()), pa.array([packed(counts[x]) for x in part], pa.binary())],
+        names=["bucket", "keys", "words", "n"],
+    )
+
+
+def learn(docs: DataFrame, order: int = 2) -> Model:
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     docs = pick(docs, "text")
     docs = docs.select(docs.text.cast("string"))
     bits = bucket_bits(docs, MB_EACH)
@@ -215,11 +290,47 @@ def learn(docs: DataFrame) -> Model:
         if held:
             yield _scatter_pairs(np.concatenate(held), bits)
 
+    def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in sliced(batches, ROWS):
+            hashes, codes, starts = tokens(batch.column(0))
+            place = words.index(hashes)
+            prev = before(codes, starts, len(hashes) - 1)
+            held.append((_pair(place[before(prev, starts, len(hashes) - 1)], place[prev]), place[codes].astype(np.uint32)))
+            if sum(len(c) for c, _ in held) >= TOKENS:
+                yield _scatter_triples(*map(np.concatenate, zip(*held, strict=True)), bits)
+                held = []
+        if held:
+            yield _scatter_triples(*map(np.concatenate, zip(*held, strict=True)), bits)
+
+    def merge_triples(bucket: int, rows: list[dict]) -> Iterator[dict]:
+        contexts = np.concatenate([_pairs_of(r["keys"], bucket, bits) for r in rows])
+        word, n = join_arrays(rows, "words", np.uint32), join_packed(rows, "n", np.uint32).astype(np.int64)
+        rank = np.lexsort((word, contexts))
+        contexts, word, n = contexts[rank], word[rank], n[rank]
+        start = np.flatnonzero(np.append(True, (contexts[1:] != contexts[:-1]) | (word[1:] != word[:-1])))
+        contexts, word, n = contexts[start], word[start], np.add.reduceat(n, start)
+        at = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1]))
+        top = 0xFFFFFFFF
+        save_array(words.uri, f"tk.{bucket}", contexts[at])
+        save_array(words.uri, f"tf.{bucket}", np.append(at, len(contexts)).astype(np.uint32))
+        save_array(words.uri, f"tw.{bucket}", word)
+        save_array(words.uri, f"tc.{bucket}", np.minimum(n, top).astype(np.uint32))
+        for name, v in (("tt", n), ("t1", (n == 1).astype(np.int64)), ("t2", (n == 2).astype(np.int64))):
+            save_array(words.uri, f"{name}.{bucket}", np.minimum(np.add.reduceat(v, at), top).astype(np.uint32))
+        yield {"bucket": last, "keys": b"", "n": np.array([bucket, len(at), *_times(n)], np.int64).tobytes()}
+        yield from _scatter_pairs(mix64((unmix64(contexts) & U64(0xFFFFFFFF)) << U64(32) | word.astype(U64)), bits).to_pylist()
+
     columns = "bucket int, size long, stats binary, context binary, total binary, n1 binary, n2 binary, n3 binary, word binary, times binary"
     names = [c.split()[0] for c in columns.split(", ")]
     last = 1 << bits  # a bucket of its own for sizes and counts of counts
 
     def merge_pairs(bucket: int, rows: list[dict]) -> Iterator[dict]:
+        if bucket == last:  # figures of the triples are passed on
+            for r in rows:
+                own = np.frombuffer(r["n"], np.int64)
+                yield dict.fromkeys(names[2:], b"") | {"bucket": last, "size": -1 - int(own[0]), "stats": own[1:].tobytes()}
+            return
         keys, n = _added(np.concatenate([_pairs_of(r["keys"], bucket, bits) for r in rows]), join_packed(rows, "n", np.uint32).astype(np.int64))
         save_array(words.uri, f"pk.{bucket}", keys)
         save_array(words.uri, f"pn.{bucket}", np.minimum(n, 0xFFFFFFFF).astype(np.uint32))
@@ -242,7 +353,7 @@ def learn(docs: DataFrame) -> Model:
     def finish(bucket: int, rows: list[dict]) -> Iterator[dict]:
         if bucket == last:
             for r in rows:
-                yield {"bucket": int(r["size"]), "kind": 0, "stats": np.frombuffer(r["stats"], np.int64).tolist()}
+                yield {"bucket": int(r["size"]) if r["size"] >= 0 else -1 - int(r["size"]), "kind": 0 if r["size"] >= 0 else 2, "stats": np.frombuffer(r["stats"], np.int64).tolist()}
             return
         n, base = words.sizes[bucket], int(first[bucket])
         context = join_arrays(rows, "context", np.uint32).astype(np.int64) - base
@@ -252,15 +363,24 @@ def learn(docs: DataFrame) -> Model:
         save_array(words.uri, f"before.{bucket}", times)
         yield {"bucket": bucket, "kind": 1, "stats": [*_times(times), int((times > 2).sum())]}
 
-    pairs = merge_by_bucket(docs.mapInArrow(count_pairs, "bucket int, keys binary, n binary"), bits, merge_pairs, columns)
+    if order == 3:
+        found = merge_by_bucket(docs.mapInArrow(count_triples, "bucket int, keys binary, words binary, n binary"), bits, merge_triples, "bucket int, keys binary, n binary")
+    else:
+        found = docs.mapInArrow(count_pairs, "bucket int, keys binary, n binary")
+    pairs = merge_by_bucket(found, bits, merge_pairs, columns)
     sizes, pair_times, word_times = [0] * last, [0] * 4, [0] * 5
+    triple_sizes, triple_times = [0] * last, [0] * 4
     for r in merge_by_bucket(pairs, bits, finish, "bucket int, kind int, stats array<long>").collect():
-        if r["kind"]:
+        if r["kind"] == 2:
+            triple_sizes[r["bucket"]] = r["stats"][0]
+            triple_times = [a + b for a, b in zip(triple_times, r["stats"][1:], strict=True)]
+        elif r["kind"]:
             word_times = [a + b for a, b in zip(word_times, r["stats"], strict=True)]
         else:
             sizes[r["bucket"]] = r["stats"][0]
             pair_times = [a + b for a, b in zip(pair_times, r["stats"][1:], strict=True)]
-    return Model(words, PairStore(words.uri, bits, tuple(sizes)), n_tokens, discounts(pair_times), discounts(word_times[:4]), (word_times[0], word_times[1], word_times[4]))
+    triples = TripleStore(words.uri, bits, tuple(triple_sizes), discounts(triple_times)) if order == 3 else None
+    return Model(words, PairStore(words.uri, bits, tuple(sizes)), n_tokens, discounts(pair_times), discounts(word_times[:4]), (word_times[0], word_times[1], word_times[4]), triples)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -13,7 +13,7 @@ from .oracles import ORACLE_SQL
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = fold(F.col("doc_id"), 7) == 2
-    model = kneser_ney.learn(docs.where(~held_out))
+    model = kneser_ney.learn(docs.where(~held_out), order=3)
     return kneser_ney.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -70,6 +70,48 @@ def test_model_equals_brute_force(spark, monkeypatch, mb):
         assert sum(slow.p(u, w) for w in [*slow.uni, "never-seen-either"]) == pytest.approx(1)
 
 
+def test_order_three_equals_brute_force(spark):
+    rows = cases.odd_rows() + [(200 + i, cases.prose(i % 13, 50 + i), "en", "s", 1) for i in range(30)]
+    df = spark.createDataFrame(rows, cases.SCHEMA).repartition(4)
+    tri = Counter()
+    train = [words(r[1]) for r in rows if r[0] is not None and r[0] % 3]
+    for t in train:
+        w = ["<s>", "<s>", *t, "</s>"]
+        tri.update(zip(w, w[1:], w[2:]))
+    slow = Slow(train)
+    slow.big = Counter((v, w) for _, v, w in tri)  # distinct predecessors
+    slow.before = Counter(w for _, w in slow.big)
+    slow.ctx, slow.followers = Counter(), defaultdict(Counter)
+    for (v, _), c in slow.big.items():
+        slow.ctx[v] += c
+        slow.followers[v][min(c, 3)] += 1
+    slow.d2 = kn.discounts([sum(c == k for c in slow.big.values()) for k in (1, 2, 3, 4)])
+    d3 = kn.discounts([sum(c == k for c in tri.values()) for k in (1, 2, 3, 4)])
+    ctx, followers = Counter(), defaultdict(Counter)
+    for (u, v, _), c in tri.items():
+        ctx[u, v] += c
+        followers[u, v][min(c, 3)] += 1
+
+    def p(u, v, w):
+        if not ctx[u, v]:
+            return slow.p(v, w)
+        c = tri[u, v, w]
+        return max(c - d3[min(c, 3)], 0) / ctx[u, v] + sum(d3[k] * n for k, n in followers[u, v].items()) / ctx[u, v] * slow.p(v, w)
+
+    def total(t):
+        w = ["<s>", "<s>", *t, "</s>"]
+        return sum(math.log10(p(*x)) for x in zip(w, w[1:], w[2:]))
+
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in kn.score(df, kn.learn(df.where("doc_id % 3 <> 0"), order=3)).collect()), key=str)
+    want = sorted(((r[0] is None, r[0] or 0, len(words(r[1])) + 1, total(words(r[1]))) for r in rows), key=str)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], rel=1e-9)
+    for u, v in (("<s>", "<s>"), ("<s>", "the"), ("river", "the")):
+        assert sum(p(u, v, w) for w in [*slow.uni, "never-seen-either"]) == pytest.approx(1)
+    nothing = kn.score(df, kn.learn(cases.empty(spark), order=3)).collect()
+    assert len(nothing) == len(rows) and all(r.score == 0 for r in nothing)
+
+
 def test_odd_empty_and_untaught(spark):
     model = kn.learn(cases.empty(spark))
     got = kn.score(cases.odd(spark), model).collect()
