@@ -1,19 +1,22 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased words and their first four to seven letters; a term that occurs twice or four
-times in a text counts as another term besides. Learning uses a sample of at most PER_CLASS labelled
-documents of each class, chosen by a hash of doc_id (a documented bound; a document labelled twice counts as toxic if one
-label says so). Terms enter the vocabulary if they are associated with the label in that sample (chi-square and odds
-ratio), at most VOCABULARY of them. Every sampled document with such a term is an example in the index.
-
-The index holds, for each term, postings in blocks of BLOCK examples and each block's greatest weight. A document's
-blocks are visited by falling upper bound until no block can hold one of the NEIGHBOURS nearest, so the cosine ranking is exact.
-The vote is the mean label of the neighbours weighted by cosine; an isotonic curve fitted on the sample, each example voted on
-by the others and classes weighted by their share of all labels, turns votes into scores. Documents without a term of
-the vocabulary have no neighbours: their score is the toxic share among such documents of the sample.
-
-Defined cases: null and empty texts have no term; without any label of class 1 or 0 all scores are the share of class 1 (0
-if there are no labels); repeated rows are scored alike; an empty table gives no rows; other columns are ignored.
+Examples are at most PER_CLASS labelled documents of each class, chosen by a hash of doc_id (a documented bound; a document
+labelled twice is toxic if one label says so, and of several texts of one id the one of the least hash serves). All lower-cased
+words of all examples are terms; none is dropped. A term's weight in a text is (1 + ln times) * ln(documents / documents
+with the term), counted over all documents, times sqrt(1 + X), X being what the chi-square of the term and the label in the
+sample (corrected for continuity) exceeds CHANCE by: association stresses a term, and one without any has plain TF-IDF. Words
+of no example are outside the space.
+
+The index holds, for each term, postings in blocks of BLOCK examples and each block's greatest weight, as sorted arrays in the
+shared folder that workers map into memory. A document's blocks are visited by falling upper bound until no block can hold one
+of the NEIGHBOURS nearest, so the cosine ranking is exact. The vote is the mean label of the neighbours weighted by cosine. A
+logistic curve turns votes into scores; it is fitted on the examples, each voted on by the others and classes weighted by
+their share of all labels. A document without neighbours gets the toxic share among such examples (of all labels, if there
+are none).
+
+Defined cases: null and empty texts have no term; very long texts are one vector like others; without any label of class 1 or
+0 all scores are the share of class 1 (0 if there are no labels); repeated rows are scored alike; neighbours of equal cosine
+(to 12 digits) are taken by their place in the index; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,236 +24,317 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import pick, texts
+from ._core import U64, SortedStore, bucket_bits, build_store, cuts, join_arrays, merge_by_bucket, open_array, pick, rewrite_rows, save_array, settled, sliced, texts
+from .suffixes import ragged
 
-PREFIXES, OFTEN = (4, 5, 6, 7), (2, 4)
-PER_CLASS, VOCABULARY, NEIGHBOURS, BLOCK = 5000, 4096, 15, 64
-LEAST_CHI2, LEAST_LOG_ODDS, LEAST_DOCS = 30.0, 2.3, 3
+PER_CLASS, NEIGHBOURS, BLOCK = 2000, 15, 32
+#: Chi-square that a term without association exceeds once in twenty.
+CHANCE = 3.84
+#: Weight of the pull to 0 of the curve.
+PULL = 1e-2
+MB_EACH = 64.0
 WORD = re.compile(r"\w+")
-CACHE_WORDS = 300_000
-
-
-def terms_of(word: str) -> tuple[str, ...]:
-    """A word and, marked, its first letters."""
-    return (word, *("^" + word[:n] for n in PREFIXES if len(word) > n))
-
-
-def levels(term: str, times: int) -> list[str]:
-    """The term, and marked ones for a term that occurs often."""
-    return [term, *(f"{term}#{n}" for n in OFTEN if times >= n)]
-
-
-class _Lookup(dict):
-    """word -> those of its terms that matter."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.places: dict[str, list[tuple[int, int]]] = {}  # term -> least count and place of it and of its marked forms
-        for term, place in vocabulary.items():
-            base, _, often = term.partition("#")  # no word holds the mark
-            self.places.setdefault(base, []).append((int(often or 1), place))
-
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        got = tuple(t for t in terms_of(word) if t in self.places)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = got
-        return got
-
-    def counts(self, text: str) -> dict[int, int]:
-        found: dict[str, int] = {}
-        for word, n in Counter(WORD.findall(text.lower())).items():
-            for t in self[word]:
-                found[t] = found.get(t, 0) + n
-        return {place: n for t, n in found.items() for least, place in self.places[t] if n >= least}
-
-
-def weighted(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms in order, and their TF-IDF weights as a unit vector."""
-    t = np.array(sorted(counts), np.int64)
-    w = (1.0 + np.log([counts[int(x)] for x in t])) * idf[t]
-    return t, w / np.sqrt((w * w).sum())
-
-
-@dataclass
+#: Rows whose words are looked up together.
+ROWS = 500
+
+
+def tallies(held: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Hashes of the distinct words of some texts; for each text its words as places among them, and their numbers."""
+    codes: dict[str, int] = {}
+    which, times = [], []
+    for text in held:
+        found = Counter(WORD.findall(text.lower()))
+        which.append(np.fromiter((codes.setdefault(w, len(codes)) for w in found), np.int64, len(found)))
+        times.append(np.fromiter(found.values(), np.float64, len(found)))
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in codes), U64, len(codes)), which, times
+
+
+def association(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """Chi-square with Yates' correction, beyond CHANCE, of terms in so many clean and toxic examples."""
+    n = n_clean + n_toxic
+    gap = np.maximum(np.abs(clean * float(n_toxic) - toxic * float(n_clean)) - n / 2, 0.0)
+    held = (clean + toxic).astype(np.float64)
+    return np.maximum(n * gap * gap / np.maximum(held * (n - held) * n_clean * n_toxic, 1.0) - CHANCE, 0.0)
+
+
+@dataclass(frozen=True)
+class Space:
+    """Terms (hashes, sorted) with their weights `w`."""
+
+    terms: SortedStore
+
+    def vectors(self, held: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text the places of its terms, in order, and their weights as a unit vector."""
+        hashes, which, times = tallies(held)
+        place = self.terms.index(hashes)
+        weight = self.terms.field("w", place, np.float64)
+        for own, n in zip(which, times, strict=True):
+            w = weight[own] * (1.0 + np.log(n))
+            keep = np.flatnonzero(w > 0)  # unknown terms, and those in all documents
+            t, w = place[own[keep]], w[keep]
+            order = np.argsort(t)
+            yield t[order], w[order] / np.sqrt((w * w).sum())
+
+
+def index_arrays(term: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_terms: int) -> dict[str, np.ndarray]:
+    """Postings of terms 0 .. n_terms - 1 by term and block: for each term where its blocks begin; for each block its number,
+    greatest weight and first posting."""
+    order = np.lexsort((doc, term))
+    term, doc, weight = term[order], doc[order], weight[order]
+    block = doc // BLOCK
+    new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(doc) else np.empty(0, np.int64)
+    return {
+        "blocks": np.searchsorted(term[new], np.arange(n_terms + 1)), "block": block[new].astype(np.int32), "most": np.maximum.reduceat(weight, new) if len(new) else weight,
+        "first": np.append(new, len(doc)), "doc": doc.astype(np.int32), "weight": weight,
+    }
+
+
+@dataclass(frozen=True)
 class BlockMaxIndex:
-    """Postings of unit vectors by term and block."""
+    """Index arrays in the folder of the terms, by bucket of terms."""
 
+    terms: SortedStore
     n: int
-    starts: np.ndarray  # of each term's postings, one more at the end
-    docs: np.ndarray
-    weights: np.ndarray
-    block_starts: np.ndarray  # of each term's blocks, one more at the end
-    block_ids: np.ndarray
-    block_max: np.ndarray
-    block_low: np.ndarray  # first posting of each block, and one past its last
-    block_high: np.ndarray
-
-    @classmethod
-    def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> BlockMaxIndex:
-        docs = np.concatenate([np.full(len(t), i) for i, (t, _) in enumerate(vectors)] or [np.empty(0, np.int64)]).astype(np.int64)
-        terms = np.concatenate([t for t, _ in vectors] or [np.empty(0, np.int64)]).astype(np.int64)
-        weights = np.concatenate([w for _, w in vectors] or [np.empty(0)])
-        order = np.lexsort((docs, terms))
-        docs, terms, weights = docs[order], terms[order], weights[order]
-        block = docs // BLOCK
-        new = np.flatnonzero(np.append(True, (terms[1:] != terms[:-1]) | (block[1:] != block[:-1]))) if len(docs) else np.empty(0, np.int64)
-        return cls(
-            len(vectors), np.searchsorted(terms, np.arange(n_terms + 1)), docs, weights, np.searchsorted(terms[new], np.arange(n_terms + 1)), block[new],
-            np.maximum.reduceat(weights, new) if len(new) else weights, new, np.append(new[1:], len(docs)),
-        )
+
+    def _of(self, name: str, bucket: int) -> np.ndarray:
+        return open_array(self.terms.uri, f"i{name}.{bucket}")
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above 0, ties by the smaller number, and their cosines."""
-        n_blocks = -(-self.n // BLOCK)
-        spans = [(slice(self.block_starts[x], self.block_starts[x + 1]), y) for x, y in zip(t.tolist(), w.tolist(), strict=True)]
-        bound = np.zeros(n_blocks)
-        for s, y in spans:
-            bound[self.block_ids[s]] += y * self.block_max[s]
+        """The k examples of greatest cosine above 0 and their cosines; `without` is left out."""
+        offsets = self.terms.offsets
+        at = np.searchsorted(t, offsets)
+        parts = []  # by bucket of terms: blocks, first postings, sizes, weights of the text
+        bound = np.zeros(-(-self.n // BLOCK))
+        for b in np.flatnonzero(np.diff(at)).tolist():
+            local = t[at[b] : at[b + 1]] - offsets[b]
+            begin = self._of("blocks", b)
+            low = begin[local]
+            count = begin[local + 1] - low
+            entry = ragged(low, count)
+            y = np.repeat(w[at[b] : at[b + 1]], count)
+            block, first = self._of("block", b)[entry], self._of("first", b)
+            bound += np.bincount(block, y * self._of("most", b)[entry], len(bound))
+            low = first[entry]
+            parts.append((b, block, low, first[entry + 1] - low, y))
         best_d, best_c = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best_c) == k and bound[b] < best_c[-1] - 1e-12):
+        order = np.argsort(-bound, kind="stable")
+        done, step = 0, 4
+        while done < len(order):
+            least = best_c[-1] - 1e-9 if len(best_c) == k else 0.0
+            some = order[done : done + step]
+            some = some[(bound[some] > 0) & (bound[some] >= least)]
+            if not len(some):
                 break
-            scores = np.zeros(BLOCK)
-            for s, y in spans:
-                i = s.start + int(np.searchsorted(self.block_ids[s], b))
-                if i < s.stop and self.block_ids[i] == b:
-                    p = slice(self.block_low[i], self.block_high[i])
-                    scores[self.docs[p] - b * BLOCK] += y * self.weights[p]
-            if without // BLOCK == b and without >= 0:
-                scores[without % BLOCK] = 0
-            hit = np.flatnonzero(scores > 0)
-            best_d, best_c = np.append(best_d, hit + b * BLOCK), np.append(best_c, scores[hit])
+            done, step = done + step, step * 2
+            visited = np.zeros(len(bound), bool)
+            visited[some] = True
+            scores = np.zeros(self.n)
+            for b, block, low, size, y in parts:
+                mine = visited[block]
+                postings = ragged(low[mine], size[mine])
+                scores += np.bincount(self._of("doc", b)[postings], np.repeat(y[mine], size[mine]) * self._of("weight", b)[postings], self.n)
+            if without >= 0:
+                scores[without] = 0
+            hit = np.flatnonzero(scores > max(least, 0.0))
+            best_d, best_c = np.append(best_d, hit), np.append(best_c, scores[hit])
             top = np.lexsort((best_d, -np.round(best_c, 12)))[:k]
             best_d, best_c = best_d[top], best_c[top]
         return best_d, best_c
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: distinct x and the fitted values there."""
-    places, back = np.unique(x, return_inverse=True)
-    weight = np.bincount(back, w)
-    value = np.bincount(back, w * y) / weight
-    pools: list[list[float]] = []  # value, weight, places
-    for v, u in zip(value, weight, strict=True):
-        pools.append([v, u, 1])
-        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
-            b, a = pools.pop(), pools.pop()
-            pools.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
-    return places, np.repeat([p[0] for p in pools], [int(p[2]) for p in pools])
+def calibration(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope of a logistic curve by Newton's method; a slight pull to 0 keeps separable votes finite."""
+    x, b = np.column_stack([np.ones(len(votes)), votes]), np.zeros(2)
+    loss = lambda b: (weights * (np.logaddexp(0, x @ b) - labels * (x @ b))).sum() + PULL * (b @ b) / 2
+    for _ in range(100):
+        p = 1.0 / (1.0 + np.exp(-np.clip(x @ b, -500, 500)))
+        step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + PULL * np.eye(2), x.T @ (weights * (labels - p)) - PULL * b)
+        while loss(b + step) > loss(b) and np.abs(step).max() > 1e-12:
+            step /= 2
+        b = b + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return float(b[0]), float(b[1])
 
 
-@dataclass
+@dataclass(frozen=True)
 class Model:
-    vocabulary: dict[str, int]
-    idf: np.ndarray
-    index: BlockMaxIndex
-    ids: np.ndarray
+    space: Space | None  # none: without labels of both classes
+    index: BlockMaxIndex | None
+    ids: np.ndarray  # of the examples, by their place in the index
     labels: np.ndarray
-    curve: tuple[np.ndarray, np.ndarray]
+    curve: tuple[float, float]
     no_evidence: float
     neighbours: int = NEIGHBOURS
-    lookup: _Lookup | None = field(default=None, repr=False)
 
-    def vote(self, counts: dict[int, int], without: int = -1) -> tuple[float, np.ndarray]:
+    def vote(self, t: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
         """The vote, -1 where there are no neighbours, and the neighbours."""
-        d, c = self.index.nearest(*weighted(counts, self.idf), self.neighbours, without)
+        d, c = self.index.nearest(t, w, self.neighbours, without)
         return (float((c * self.labels[d]).sum() / c.sum()) if len(d) else -1.0), d
 
-    def score(self, text: str) -> tuple[float, list[int]]:
-        """Score and the ids of the neighbours, the nearest first."""
-        if self.lookup is None:
-            self.lookup = _Lookup(self.vocabulary)
-        counts = self.lookup.counts(text)
-        vote, d = self.vote(counts) if counts else (-1.0, ())
-        if vote < 0:
-            return self.no_evidence, []
-        return float(np.clip(np.interp(vote, *self.curve), 0, 1)), [int(self.ids[i]) for i in d]
-
+    def score(self, held: list[str]) -> tuple[list[float], list[list[int]]]:
+        """Scores, and the ids of the neighbours, the nearest first."""
+        if self.space is None:
+            return [self.no_evidence] * len(held), [[] for _ in held]
+        found = [self.vote(t, w) for t, w in self.space.vectors(held)]
+        votes = np.array([v for v, _ in found])
+        scores = np.where(votes < 0, self.no_evidence, 1.0 / (1.0 + np.exp(-(self.curve[0] + self.curve[1] * votes))))
+        return scores.tolist(), [self.ids[d].tolist() for _, d in found]
+
+
+def _space(docs: DataFrame, examples: DataFrame, n_clean: int, n_toxic: int) -> Space:
+    """The examples' terms, weighted by all documents."""
+    bits = bucket_bits(examples, MB_EACH, least=0)
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, ROWS):
+            hashes, which, _ = tallies(texts(batch.column(1)))
+            toxic = np.array(batch.column(2).to_pylist(), bool)
+            counts = [np.bincount(np.concatenate([which[i] for i in np.flatnonzero(m)] or [np.empty(0, np.int64)]), minlength=len(hashes)) for m in (~toxic, toxic)]
+            order = np.argsort(hashes)
+            at = cuts(hashes[order], bits)
+            full = np.flatnonzero(np.diff(at))
+            parts = [order[at[b] : at[b + 1]] for b in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array([v[p].tobytes() for p in parts], pa.binary()) for v in (hashes, *counts)]], names=["bucket", "keys", "clean", "toxic"])
+
+    def merge(rows: list[dict]) -> tuple:
+        keys = join_arrays(rows, "keys", U64)
+        own, back = np.unique(keys, return_inverse=True)
+        return own, {n: np.bincount(back, join_arrays(rows, n, np.int64), len(own)) for n in ("clean", "toxic")}
+
+    terms = build_store(examples.mapInArrow(scatter, "bucket int, keys binary, clean binary, toxic binary"), bits, "terms", merge)
+    first = terms.offsets
+    n_docs = docs.count()
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """labels(doc_id, toxic) are those to learn from; the driver gets the sample's terms of the vocabulary only."""
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(terms), np.int64)
+        for batch in sliced(batches, ROWS):
+            hashes, which, _ = tallies(texts(batch.column(0)))
+            place = terms.index(hashes)
+            n = np.bincount(np.concatenate(which), minlength=len(hashes))
+            held[place[place >= 0]] += n[place >= 0]
+        seen = np.flatnonzero(held)
+        for low in range(0, len(seen), 1 << 16):
+            part = seen[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part])], names=["place", "n"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, n = (batch.column(i).to_numpy() for i in (0, 1))
+            order = np.argsort(place)
+            at = np.searchsorted(place[order], first)
+            full = np.flatnonzero(np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array([v[order[at[b] : at[b + 1]]].tobytes() for b in full], pa.binary()) for v in (place, n)]], names=["bucket", "place", "n"])
+
+    def weigh(bucket: int, rows: list[dict]) -> Iterator[dict]:
+        place, n = join_arrays(rows, "place", np.int64) - first[bucket], join_arrays(rows, "n", np.int64)
+        held = np.bincount(place, n, terms.sizes[bucket])
+        clean, toxic = (open_array(terms.uri, f"{x}.{bucket}") for x in ("clean", "toxic"))
+        save_array(terms.uri, f"w.{bucket}", np.log(n_docs / np.maximum(held, 1.0)) * np.sqrt(1.0 + association(clean, toxic, n_clean, n_toxic)))
+        yield {"bucket": bucket}
+
+    counted = docs.select("text").mapInArrow(occurrences, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    merge_by_bucket(counted.mapInArrow(deal, "bucket int, place binary, n binary"), bits, weigh, "bucket int").collect()
+    return Space(terms)
+
+
+def _index(examples: DataFrame, space: Space) -> tuple[BlockMaxIndex, np.ndarray, np.ndarray]:
+    """The index, and its examples' ids and labels."""
+    terms = space.terms
+    first = terms.offsets
+
+    def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, ROWS):
+            lead = [int(t[w.argmax()]) if len(t) else -1 for t, w in space.vectors(texts(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lead, pa.int64())], names=["doc_id", "toxic", "lead"])
+
+    # 2 x PER_CLASS rows at most; alike ones share blocks
+    known = sorted(examples.mapInArrow(leads, "doc_id long, toxic int, lead long").collect(), key=lambda r: (r["lead"], r["toxic"], r["doc_id"]))
+    ids = np.array([r["doc_id"] for r in known], np.int64)
+    by_id = np.argsort(ids)
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, ROWS):
+            own = by_id[np.searchsorted(ids[by_id], batch.column(0).to_numpy())]
+            found = list(space.vectors(texts(batch.column(1))))
+            term, weight = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            doc = np.repeat(own, [len(t) for t, _ in found])
+            order = np.argsort(term, kind="stable")
+            at = np.searchsorted(term[order], first)
+            full = np.flatnonzero(np.diff(at))
+            parts = [order[at[b] : at[b + 1]] for b in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array([v[p].tobytes() for p in parts], pa.binary()) for v in (term, doc, weight)]], names=["bucket", "term", "doc", "weight"])
+
+    def write(bucket: int, rows: list[dict]) -> Iterator[dict]:
+        got = index_arrays(join_arrays(rows, "term", np.int64) - first[bucket], join_arrays(rows, "doc", np.int64), join_arrays(rows, "weight", np.float64), terms.sizes[bucket])
+        for name, values in got.items():
+            save_array(terms.uri, f"i{name}.{bucket}", values)
+        yield {"bucket": bucket}
+
+    def bare(bucket: int) -> None:
+        for name, values in index_arrays(*(np.empty(0, k) for k in (np.int64, np.int64, np.float64)), terms.sizes[bucket]).items():
+            save_array(terms.uri, f"i{name}.{bucket}", values)
+
+    written = {r["bucket"] for r in merge_by_bucket(examples.mapInArrow(scatter, "bucket int, term binary, doc binary, weight binary"), terms.bits, write, "bucket int").collect()}
+    for b in set(range(1 << terms.bits)) - written:  # all weights there are 0
+        bare(b)
+    return BlockMaxIndex(terms, len(ids)), ids, np.array([r["toxic"] for r in known], np.float64)
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, neighbours: int = NEIGHBOURS) -> Model:
+    """labels(doc_id, toxic) are those to learn from."""
     labels = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    empty = Model({}, np.empty(0), BlockMaxIndex.build([], 0), np.empty(0, np.int64), np.empty(0), (np.array([0.0]), np.array([share])), share)
+    nothing = np.empty(0, np.int64)
+    empty = Model(None, None, nothing, np.empty(0), (0.0, 0.0), share)
     if not sizes.get(0) or not sizes.get(1):
         return empty
     chosen = [labels.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     sample = docs.sparkSession.createDataFrame([tuple(r) for c in chosen for r in c.collect()], "doc_id long, toxic int")  # 2 x per_class rows at most
-    taught = pick(docs, "doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
-
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: tuple[Counter, Counter] = (Counter(), Counter())
-            n = [0, 0]
-            for text, y in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                times: Counter[str] = Counter()
-                for word, k in Counter(WORD.findall(text.lower())).items():
-                    for t in terms_of(word):
-                        times[t] += k
-                found[y].update(x for t, k in times.items() for x in levels(t, k))
-                n[y] += 1
-            all_terms = list(found[0].keys() | found[1].keys())
-            rows = [(t, found[0][t], found[1][t]) for t in all_terms] + [("", n[0], n[1])]  # the empty term counts documents
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["term", "a", "b"])
-
-    counted = taught.mapInArrow(occurrences, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).cache()
-    whole = counted.where("term = ''").first()
-    if whole is None or not whole["a"] or not whole["b"]:
-        counted.unpersist()
+    docs = pick(docs, "doc_id", "text")
+    docs = docs.select(docs.doc_id.cast("long"), docs.text.cast("string"))
+    taught = docs.where("text is not null").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
+    examples = settled(taught, "examples")
+    taught_sizes = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not taught_sizes.get(0) or not taught_sizes.get(1):
         return empty
-    n0, n1 = float(whole["a"]), float(whole["b"])
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    gap = a * n1 - b * n0
-    chi2 = (n0 + n1) * gap * gap / ((a + b) * (n0 + n1 - a - b + 1e-9) * n0 * n1)
-    odds = F.abs(F.log((b + 0.5) / (n1 - b + 0.5)) - F.log((a + 0.5) / (n0 - a + 0.5)))
-    picked = counted.where("term <> ''").where(F.col("a") + F.col("b") >= LEAST_DOCS).withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (odds >= LEAST_LOG_ODDS))
-    rows = picked.orderBy(F.desc("chi2"), "term").limit(VOCABULARY).collect()
-    counted.unpersist()
-    vocabulary = {r["term"]: i for i, r in enumerate(rows)}
-    idf = np.array([1.0 + np.log((n0 + n1) / (r["a"] + r["b"])) for r in rows])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = _Lookup(vocabulary)
-        for batch in batches:
-            got = [lookup.counts(t) for t in texts(batch.column(1))]
-            keys = [sorted(g) for g in got]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int32())), pa.array([[g[k] for k in ks] for g, ks in zip(got, keys, strict=True)], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "times"]
-            )
-
-    known = taught.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, times array<int>").collect()
-    known.sort(key=lambda r: (r["terms"][:1] or [-1], r["toxic"], r["doc_id"]))  # alike ones share blocks
-    weight = {c: sizes[c] / max(1, sum(r["toxic"] == c for r in known)) for c in (0, 1)}
-    without = [r for r in known if not r["terms"]]
-    lone = sum(weight[r["toxic"]] for r in without)
-    no_evidence = sum(weight[1] for r in without if r["toxic"]) / lone if lone else share
-    known = [r for r in known if r["terms"]]
-    tallies = [dict(zip(r["terms"], r["times"], strict=True)) for r in known]
-    y = np.array([r["toxic"] for r in known], np.float64)
-    model = Model(vocabulary, idf, BlockMaxIndex.build([weighted(c, idf) for c in tallies], len(vocabulary)), np.array([r["doc_id"] for r in known], np.int64), y, (np.array([0.0]), np.array([share])), no_evidence)
-    votes = np.array([model.vote(c, i)[0] for i, c in enumerate(tallies)])
-    seen = votes >= 0
-    if seen.any():
-        model.curve = isotonic(votes[seen], y[seen], np.where(y[seen] == 1, weight[1], weight[0]))
-    return model
+    space = _space(docs, examples, taught_sizes[0], taught_sizes[1])
+    index, ids, y = _index(examples, space)
+    model = Model(space, index, ids, y, empty.curve, share, neighbours)
+    by_id = np.argsort(ids)
+
+    def by_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, ROWS):
+            own = by_id[np.searchsorted(ids[by_id], batch.column(0).to_numpy())].tolist()
+            votes = [model.vote(t, w, i)[0] for i, (t, w) in zip(own, space.vectors(texts(batch.column(1))), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(votes, pa.float64())], names=["toxic", "vote"])
+
+    voted = examples.repartition(16, "doc_id").mapInArrow(by_others, "toxic int, vote double").collect()  # a row an example
+    label = np.array([r["toxic"] for r in voted], np.float64)
+    votes = np.array([r["vote"] for r in voted])
+    weight = np.where(label == 1, sizes[1] / taught_sizes[1], sizes[0] / taught_sizes[0])
+    lone, seen = votes < 0, votes >= 0
+    no_evidence = float((weight * label)[lone].sum() / weight[lone].sum()) if lone.any() else share
+    curve = calibration(votes[seen], label[seen], weight[seen]) if seen.any() else empty.curve
+    return Model(space, index, ids, y, curve, no_evidence, neighbours)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, evidence array<long>: the nearest labelled documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [model.score(t) for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
+        for batch in sliced(batches, ROWS):
+            scores, evidence = model.score(texts(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     docs = pick(docs, "doc_id", "text")
     return docs.select(docs.doc_id.cast("long"), docs.text.cast("string")).mapInArrow(run, "doc_id long, score double, evidence array<long>")
@@ -258,9 +342,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The documents whose score is below the threshold."""
-    from ._core import rewrite_rows
 
     def change(batch: pa.RecordBatch, _: int, at_text: int) -> pa.RecordBatch:
-        return batch.filter(pa.array([model.score(t)[0] < threshold for t in texts(batch.column(at_text))], pa.bool_()))
+        keep = [s < threshold for part in sliced([batch], ROWS) for s in model.score(texts(part.column(at_text)))[0]]
+        return batch.filter(pa.array(keep, pa.bool_()))
 
     return rewrite_rows(docs, change)
