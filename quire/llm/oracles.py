@@ -43,10 +43,7 @@ rep as (select rid, i from (select rid, i, count(*) over (partition by rid, g) a
 cov as (select rid, count(distinct p) as n from (select rid, unnest([i, i + 1, i + 2]) as p from rep) group by rid),
 ln as (select rid, host, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '{WORD}') as x from (select rid, host, unnest(lines) as line from w)),
 keyed as (select rid, host, substring(md5(array_to_string(x, ' ')), 1, 16) as k, len(x) as m from ln),
-own as (select rid, list_sort(list_distinct(list(k))) as l from keyed group by rid),
-held as (select distinct keyed.rid, host, k, case when len(l) < 2 then '' else (case when k = l[1] then l[2] else l[1] end) || (case when k = l[-1] then l[-2] else l[-1] end) end as mark
-  from keyed join own on keyed.rid = own.rid),
-common as (select host, k from held group by host, k having count(distinct mark) > {MAX_DOCS} and 2 * count(distinct mark) >= count(*)),
+common as (select host, k from (select keyed.host, k, md5(t) as h from keyed join d on keyed.rid = d.rid) group by host, k having count(distinct h) > {MAX_DOCS}),
 gone as (select rid, sum(m) as n from keyed join common on keyed.host = common.host and keyed.k = common.k group by rid),
 b as (select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
     cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,

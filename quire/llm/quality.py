@@ -1,26 +1,24 @@
 """Quality rules: lines that many documents of a host share are removed, and documents that this depletes are rejected.
 
-A line is normalised (A-Z lower-cased, ASCII white space collapsed) and hashed. For every host (column `source`) and line
-two numbers are counted over all documents: in how many rows it occurs, and in how many distinct documents. A document is known
-by a hash of its whole set of lines, in which a line with a light edit stands for the line it is a form of: one that recurs
-in the host (more than MAX_DOCS rows) and agrees with it in ALIKE of SKETCHES min-hashes of its pairs of words. So copies and light
-edits of one document don't make its lines common, and documents of few own lines beside many shared ones still count one by one.
-Documents that differ in a line of which no form recurs are distinct.
-A line is removed where more than MAX_DOCS distinct documents hold it, however many copies of one of them there are. A
-document is depleted if less than KEEP_SHARE of its words remain. Removed lines are a store of sorted hashes in the shared
-folder, which workers map into memory; texts aren't shuffled.
+A line is normalised (A-Z lower-cased, ASCII white space collapsed) and hashed. For every host (column `source`) and line the
+distinct documents that hold it are counted, over all documents; a document is known by a hash of its whole text, so that
+exact copies of one count once. A line is removed where more than MAX_DOCS documents of the host hold it, and a document is
+depleted if less than KEEP_SHARE of its words remain. Pairs of line and document are made distinct within a batch, dealt by
+both, counted, and only then added up by line: a line of a third of all documents meets in no task. Removed lines are a store
+of sorted hashes in the shared folder, which workers map into memory; texts aren't shuffled.
 
 Base rule: fewer than MIN_WORDS words, or more than half of the words in repeated three-word windows.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null source is a host of its own; repeated
-rows are judged alike (and count as one distinct document); an empty table gives no rows; other columns are ignored.
+rows are judged alike (and count as one distinct document); very long texts are documents like others; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +28,6 @@ from pyspark.sql import DataFrame
 from ._core import LOWER_AZ, U64, SortedStore, bucket_bits, build_store, cuts, join_arrays, merge_by_bucket, mix64, pick, rewrite_rows, utf8
 
 MIN_WORDS, MAX_DOCS, KEEP_SHARE = 50, 20, 0.2
-#: Min-hashes of a line, and how many must agree for it to be a form of another.
-SKETCHES, ALIKE = 12, 4
 SYMBOLS = b"#*$%&|<>"
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_removed_words long, base_failed boolean, kept boolean"
 
@@ -79,164 +75,57 @@ def _keys(hashes: np.ndarray, host: int) -> np.ndarray:
     return mix64(hashes ^ U64(host))
 
 
-def _identity(h: np.ndarray) -> int:
-    """A document's identity: a hash of its whole set of lines (distinct values, sorted)."""
-    return xxhash.xxh3_64_intdigest(h.tobytes())
-
-
-def sketches(lines: list[list[bytes]]) -> np.ndarray:
-    """For each line, SKETCHES min-hashes of its pairs of neighbouring words; 0 for a line of one word, which has none."""
-    out = np.zeros((len(lines), SKETCHES), U64)
-    sizes = np.array([len(x) for x in lines], np.int64)
-    if not len(lines) or sizes.max() < 2:
-        return out
-    words = np.fromiter((xxhash.xxh3_64_intdigest(w) for x in lines for w in x), U64, int(sizes.sum()))
-    pairs = mix64(words[:-1] * U64(3) + words[1:])
-    inside = np.ones(len(pairs), bool)
-    inside[np.cumsum(sizes)[:-1] - 1] = False  # pairs that reach from one line into the next
-    pairs, has = pairs[inside], np.flatnonzero(sizes > 1)
-    start = np.append(0, np.cumsum(sizes[has] - 1)[:-1])
-    for k in range(SKETCHES):
-        out[has, k] = np.minimum.reduceat(mix64(pairs ^ U64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))), start)
-    return out
-
-
-def _places(sketch: np.ndarray, host: np.ndarray) -> np.ndarray:
-    """Keys of sketches by host and by which of the min-hashes they are."""
-    salt = mix64(np.arange(1, SKETCHES + 1).astype(U64))
-    return mix64(mix64(sketch ^ salt[None, :]) ^ host[:, None])
-
-
-def _line_words(text: bytes) -> list[list[bytes]]:
-    return [w for line in text.translate(LOWER_AZ).split(b"\n") if (w := line.split())]
-
-
-def _scatter(keys: list[np.ndarray], marks: list[np.ndarray], bits: int) -> pa.RecordBatch:
-    """Distinct (key, mark) and how often, dealt by both, so that a very common line is spread."""
-    pairs = np.stack([np.concatenate(keys), np.concatenate(marks)], axis=1)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    new = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1)))
-    times = np.diff(np.append(new, len(pairs))).astype(np.int64)
-    pairs = pairs[new]
+def _scatter(keys: list[np.ndarray], marks: list[int], bits: int) -> pa.RecordBatch:
+    """Distinct pairs of a line's key and a document's mark, dealt by both, so that a very common line is spread."""
+    pairs = np.stack([np.concatenate(keys), np.repeat(np.array(marks, U64), [len(k) for k in keys])], axis=1)
     deal = mix64(pairs[:, 0] + pairs[:, 1] * U64(0x9E3779B97F4A7C15))
     order = np.argsort(deal)
-    at = cuts(deal[order], bits)
+    pairs, deal = pairs[order], deal[order]
+    new = np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))
+    pairs = pairs[new]
+    at = cuts(deal[new], bits)
     full = np.flatnonzero(np.diff(at))
-    parts = [order[at[b] : at[b + 1]] for b in full]
     return pa.RecordBatch.from_arrays(
-        [pa.array(full.astype(np.int32)), *[pa.array([np.ascontiguousarray(v[p]).tobytes() for p in parts], pa.binary()) for v in (pairs[:, 0], pairs[:, 1], times)]],
-        names=["bucket", "keys", "marks", "times"],
+        [pa.array(full.astype(np.int32)), *[pa.array([np.ascontiguousarray(pairs[at[b] : at[b + 1], i]).tobytes() for b in full], pa.binary()) for i in (0, 1)]], names=["bucket", "keys", "marks"]
     )
 
 
-def _counted(pairs: DataFrame, bits: int, label: str, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> SortedStore:
-    """The keys of which keep(distinct marks, rows) holds, with the number of distinct marks as field `d`."""
-
-    def count(_: int, rows: list[dict]) -> Iterator[dict]:
-        keys, marks, times = join_arrays(rows, "keys", U64), join_arrays(rows, "marks", U64), join_arrays(rows, "times", np.int64)
-        order = np.lexsort((marks, keys))
-        keys, marks, times = keys[order], marks[order], times[order]
-        new = np.append(True, (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1]))
-        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        own, distinct, total = keys[start], np.add.reduceat(new.astype(np.int64), start), np.add.reduceat(times, start)
-        at = cuts(own, bits)
-        for b in np.flatnonzero(np.diff(at)):
-            s = slice(at[b], at[b + 1])
-            yield {"bucket": int(b), "keys": own[s].tobytes(), "distinct": distinct[s].tobytes(), "total": total[s].tobytes()}
-
-    def judge(rows: list[dict]) -> tuple[np.ndarray, dict]:
-        keys, distinct, total = (join_arrays(rows, n, t) for n, t in (("keys", U64), ("distinct", np.int64), ("total", np.int64)))
-        order = np.argsort(keys)
-        keys, distinct, total = keys[order], distinct[order], total[order]
-        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        d, t = np.add.reduceat(distinct, start), np.add.reduceat(total, start)
-        kept = keep(d, t)
-        return keys[start][kept], {"d": d[kept]}
-
-    counted = merge_by_bucket(pairs, bits, count, "bucket int, keys binary, distinct binary, total binary")
-    return build_store(counted, bits, label, judge)
-
-
 def common_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> SortedStore:
     """Keys of (host, line) to remove."""
     docs = pick(docs, "text", "source")
     bits = bucket_bits(docs, 64.0)
-    columns = "bucket int, keys binary, marks binary, times binary"
 
-    def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, marks = [], []
             for text, source in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 h = np.unique(np.array(line_hashes(text)[0], U64))
                 if len(h):
                     keys.append(_keys(h, _host(source)))
-                    marks.append(np.full(len(h), _identity(h), U64))
+                    marks.append(xxhash.xxh3_64_intdigest(text))
             if keys:
                 yield _scatter(keys, marks, bits)
 
-    # lines that recur; a line beyond the limit is one of these
-    frequent = _counted(docs.mapInArrow(by_text, columns), bits, "frequent", lambda d, t: t > max_docs)
-    if not len(frequent):
-        return frequent
+    def count(_: int, rows: list[dict]) -> Iterator[dict]:
+        keys, marks = join_arrays(rows, "keys", U64), join_arrays(rows, "marks", U64)
+        order = np.lexsort((marks, keys))
+        keys, marks = keys[order], marks[order]
+        keys = keys[np.append(True, (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1]))]
+        own, n = np.unique(keys, return_counts=True)
+        at = cuts(own, bits)
+        for b in np.flatnonzero(np.diff(at)):
+            s = slice(at[b], at[b + 1])
+            yield {"bucket": int(b), "keys": own[s].tobytes(), "n": n[s].astype(np.int64).tobytes()}
+
+    def judge(rows: list[dict]) -> tuple[np.ndarray, dict]:
+        keys, n = join_arrays(rows, "keys", U64), join_arrays(rows, "n", np.int64)
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[start][np.add.reduceat(n, start) > max_docs], {}
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[int, tuple[list[bytes], int]] = {}
-            for text, source in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                hashes = np.array(line_hashes(text)[0], U64)
-                keys = _keys(hashes, host := _host(source))
-                held = frequent.index(keys) >= 0
-                if held.any():
-                    lines = _line_words(text)
-                    found.update((int(keys[i]), (lines[i], host)) for i in np.flatnonzero(held) if len(lines[i]) > 1)
-            if found:
-                places = _places(sketches([x for x, _ in found.values()]), np.array([h for _, h in found.values()], U64))
-                keys = np.repeat(np.array(list(found), U64), SKETCHES)
-                order = np.argsort(places.reshape(-1))
-                places, keys = places.reshape(-1)[order], keys[order]
-                at = cuts(places, bits)
-                full = np.flatnonzero(np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array([v[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()) for v in (places, keys)]], names=["bucket", "places", "keys"])
-
-    def least(rows: list[dict]) -> tuple[np.ndarray, dict]:
-        places, keys = join_arrays(rows, "places", U64), join_arrays(rows, "keys", U64)
-        order = np.lexsort((keys, places))
-        places, keys = places[order], keys[order]
-        first = np.append(True, places[1:] != places[:-1])
-        return places[first], {"line": keys[first]}
-
-    forms = build_store(docs.mapInArrow(sketch, "bucket int, places binary, keys binary"), bits, "forms", least)
-
-    def by_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, marks = [], []
-            held = [(t, np.array(line_hashes(t)[0], U64), _host(s)) for t, s in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True)]
-            own = [_keys(h, host) for _, h, host in held]
-            place = frequent.index(np.concatenate(own) if own else np.empty(0, U64))
-            over = np.split(frequent.field("d", place, np.int64) > max_docs, np.cumsum([len(k) for k in own])[:-1]) if own else []
-            chosen = [i for i, o in enumerate(over) if o.any()]
-            if not chosen:
-                continue
-            lines = [x for i in chosen for x in _line_words(held[i][0])]
-            hosts = np.repeat(np.array([held[i][2] for i in chosen], U64), [len(own[i]) for i in chosen])
-            forms_of = resembled(sketches(lines), hosts, np.concatenate([own[i] for i in chosen]))
-            for i, form in zip(chosen, np.split(forms_of, np.cumsum([len(own[i]) for i in chosen])[:-1]), strict=True):
-                k = np.unique(own[i][over[i]])
-                keys.append(k)
-                marks.append(np.full(len(k), _identity(np.unique(form)), U64))
-            yield _scatter(keys, marks, bits)
-
-    def resembled(sketch: np.ndarray, hosts: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The recurring line of which a line is a form, if ALIKE of its sketches agree with that line's; else the line itself."""
-        place = forms.index(_places(sketch, hosts).reshape(-1))
-        votes = forms.field("line", place, U64).reshape(sketch.shape)
-        votes[(place < 0).reshape(sketch.shape) | (sketch == 0)] = 0
-        votes.sort(axis=1)
-        # sorted, ALIKE equal ones lie side by side
-        run = (votes[:, : SKETCHES - ALIKE + 1] == votes[:, ALIKE - 1 :]) & (votes[:, : SKETCHES - ALIKE + 1] != 0)
-        return np.where(run.any(axis=1), votes[np.arange(len(votes)), run.argmax(axis=1)], keys)
-
-    return _counted(docs.mapInArrow(by_form, columns), bits, "lines", lambda d, _: d > max_docs)
+    dealt = docs.mapInArrow(pairs, "bucket int, keys binary, marks binary")
+    return build_store(merge_by_bucket(dealt, bits, count, "bucket int, keys binary, n binary"), bits, "lines", judge)
 
 
 def _judge(texts: list[bytes], sources: list[str | None], common: SortedStore) -> list[np.ndarray]:
