@@ -4,17 +4,21 @@ A window is `length` words in a row. Each word covered by a window that also sta
 Windows are dealt by anchors (see anchors.py), over hashes of words, in three passes over the texts:
 
 1. anchors are counted, only those that occur twice or more can lie in a recurring passage;
-2. the runs of windows of such anchors go, as words, to their anchor's bucket: a shard. Equal runs are one, with their
-   smallest id. A shard confirms, word by word, which windows recur, and joins those that have their first document in one
-   run to passages. Of each passage it takes the words that all its windows share, compiles these phrases to an
-   Aho-Corasick automaton (a character stands for a word) and streams every run through it; where a phrase occurs, the
-   passage is compared word by word to the left and right, which gives the windows that occur there. All documents'
-   recurring runs reach some shard, so every occurrence is located, while no automaton grows with the corpus;
+2. the runs of windows of such anchors are put together with their like: runs of one anchor and the same words are a class,
+   for which one member of the smallest id and, once more, one of a greater id stand. A shard holds the classes of some
+   anchors. It confirms, word by word, which windows recur, and joins those that have their first document in one run to
+   passages. Of each passage it takes the words that all its windows share, compiles these phrases to an Aho-Corasick
+   automaton (a character stands for a word) and streams every run through it; where a phrase occurs, the passage is
+   compared word by word to the left and right, which gives the windows that occur there. What is located in a member goes
+   for all of its class with its id or, in the one of a greater id, for all of greater ids. This is done with the classes of
+   each batch first, so that thousands of copies in a batch send on one, and then, with what stands for the classes of
+   all batches, by bucket of anchors. All documents' recurring runs reach some shard, so every occurrence is located, while
+   no automaton grows with the corpus;
 3. spans are kept in the shared folder, sorted by document; workers map them and drop words.
 
 Defined cases: a null text has no words; rows that repeat an id are one document, so they don't repeat each other; null ids
-come before all others; texts of fewer words than `length` lose nothing; an empty table gives no rows; other columns are
-ignored.
+come before all others; texts of fewer words than `length` lose nothing; very long texts are cut into runs like others; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from ._core import U64, bucket_bits, cuts, join_arrays, join_packed, merge_by_bucket, packed, pick, sliced, unpacked, utf8, words_of
 from .anchors import SpanStore, key_of, kgrams, recurring, recurring_runs, row_keys, runs, scatter_keys, scatter_spans, span_store
-from .suffixes import ragged
+from .suffixes import classes, ragged
 
 LENGTH, ANCHOR = 50, 8
 MB_EACH = 8.0
@@ -45,7 +49,7 @@ def _runs(column: pa.Array, length: int, anchor: int) -> tuple:
     return starts, codes, distinct, symbols, runs(symbols, starts, length, anchor)
 
 
-FIELDS = (("key", U64), ("run", U64), ("doc", np.int64), ("owner", U64), ("at", np.int64), ("windows", np.int64))
+FIELDS = (("key", U64), ("doc", np.int64), ("owner", U64), ("at", np.int64), ("windows", np.int64))
 
 
 class Shard:
@@ -73,8 +77,12 @@ class Shard:
         for low in range(0, len(order), 1 << 14):
             i = np.flatnonzero(same[low : low + (1 << 14)]) + low
             a, b = at[order[i]], at[order[head[i]]]
-            if (self.words[a[:, None] + step] != self.words[b[:, None] + step]).any():
-                raise ValueError("two windows share a hash")  # once in 10^19 pairs
+            if (self.words[a[:, None] + step] != self.words[b[:, None] + step]).any():  # two windows share a hash: ranked by their words
+                exact = np.unique(self.words[at[:, None] + step], axis=0, return_inverse=True)[1].reshape(-1)
+                order = np.lexsort((at, self.doc[run], exact))
+                same = np.append(False, exact[order][1:] == exact[order][:-1])
+                head = np.flatnonzero(~same)[np.cumsum(~same) - 1]
+                break
         later = same & (self.doc[run[order]] > self.doc[run[order[head]]])
         firsts = np.zeros(len(at), bool)
         firsts[order[head[later]]] = True
@@ -126,44 +134,61 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(apart[0]) if len(apart) else n
 
 
-def mark_bucket(rows: list[dict], length: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of documents and their spans of words to remove; most: windows of one automaton."""
-    f = {n: join_packed(rows, n, t) for n, t in FIELDS}
-    texts = [t for r in rows for t in unpacked(r["text"]).split(b"\n")[:-1]] if rows else []
-    order = np.lexsort((f["at"], f["doc"], f["run"], f["key"]))
-    f = {n: v[order] for n, v in f.items()}
-    n = len(order)
-    new_run = np.append(True, (f["key"][1:] != f["key"][:-1]) | (f["run"][1:] != f["run"][:-1])) if n else np.empty(0, bool)
-    number = np.cumsum(new_run) - 1
-    lead = np.flatnonzero(new_run)
-    later = f["doc"] > f["doc"][lead[number]] if n else np.empty(0, bool)
-    marks = [(f["owner"][later], f["at"][later], (f["at"] + f["windows"])[later] + length - 1)]
-    # what has the smallest id of its run: the run stands for all of these
-    key = f["key"][lead]
-    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.empty(0, np.int64)
-    many = np.diff(np.append(begins, len(key)))
-    chosen = np.flatnonzero(np.repeat(many > 1, many))
-    low = 0
-    while low < len(chosen):
-        total = np.cumsum(f["windows"][lead[chosen[low:]]])
-        high = low + max(1, int(np.searchsorted(total, most, "right")))
-        while high < len(chosen) and key[chosen[high]] == key[chosen[high - 1]]:
-            high += 1
-        own = chosen[low:high]
-        low = high
-        shard = Shard([texts[order[i]] for i in lead[own]], f["doc"][lead[own]], f["windows"][lead[own]], length)
+def mark(group: np.ndarray, of: np.ndarray, texts: list[bytes], f: dict[str, np.ndarray], length: int, most: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Keys of documents and their spans of words to remove, and which rows have the smallest id of their class. group: of each
+    class, whose windows are compared; of: each run's class; texts: of the classes; most: windows of one automaton."""
+    order = np.lexsort((f["at"], f["owner"], f["doc"], of))
+    number = of[order]
+    lead = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    ends = np.append(lead[1:], len(order))
+    place = np.cumsum(np.append(False, number[1:] != number[:-1]))  # of each row's class, in this order
+    later = f["doc"][order] > f["doc"][order[lead[place]]]
+    second = ends - np.add.reduceat(later.astype(np.int64), lead)  # the first row of a greater id; the end where there is none
+    # items: what stands for the smallest id, and for the greater ones; each stands for the rows low .. high
+    low, high = np.concatenate([lead, second[second < ends]]), np.concatenate([second, ends[second < ends]])
+    many = np.bincount(group[number[low]], minlength=int(group.max()) + 1)[group[number[low]]] > 1
+    low, high = low[many], high[many]
+    rank = np.lexsort((f["doc"][order[low]], group[number[low]]))
+    low, high = low[rank], high[rank]
+    own = group[number[low]]
+    windows = f["windows"][order[low]]
+    begins = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.empty(0, np.int64)
+    stops, reach = np.append(begins[1:], len(own)), np.append(0, np.cumsum(windows))
+    marks = [(np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    g = 0
+    while g < len(begins):
+        h = max(g + 1, int(np.searchsorted(reach[stops], reach[begins[g]] + most, "right")))
+        c = slice(int(begins[g]), int(stops[h - 1]))
+        g = h
+        shard = Shard([texts[i] for i in number[low[c]].tolist()], f["doc"][order[low[c]]], windows[c], length)
         found = np.array(list(shard.locate()), np.int64).reshape(-1, 3)
         if not len(found):
             continue
-        # every row of the run's smallest id has these windows
-        holders = np.flatnonzero(~later & np.isin(number, own))
-        of = number[holders]
-        at = np.searchsorted(of, own[found[:, 0]])
-        count = np.searchsorted(of, own[found[:, 0]], "right") - at
-        rows_of = holders[ragged(at, count)]
+        count = (high - low)[c][found[:, 0]]
+        rows = order[ragged(low[c][found[:, 0]], count)]
         first, last = np.repeat(found[:, 1], count), np.repeat(found[:, 2], count)
-        marks.append((f["owner"][rows_of], f["at"][rows_of] + first, f["at"][rows_of] + last + length))
-    return tuple(np.concatenate(x) for x in zip(*marks, strict=True))
+        marks.append((f["owner"][rows], f["at"][rows] + first, f["at"][rows] + last + length))
+    return tuple(np.concatenate(x) for x in zip(*marks, strict=True)), order[~later]
+
+
+def mark_bucket(rows: list[dict], length: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of what stands for the classes of all batches: keys of documents and their spans of words to remove."""
+    f = {n: join_packed(rows, n, t) for n, t in FIELDS}
+    if not len(f["key"]):
+        return np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
+    texts = [t for r in rows for t in unpacked(r["text"]).split(b"\n")[:-1]]
+    of, first = classes(f["key"].tolist(), texts)
+    group = np.unique(f["key"][first], return_inverse=True)[1]
+    return mark(group, of, [texts[i] for i in first.tolist()], f, length, most)[0]
+
+
+def mark_batch(key: np.ndarray, texts: list[bytes], f: dict[str, np.ndarray], length: int, most: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Marks of a batch's equal runs, and the runs (by key) with the smallest id of their class."""
+    if not len(key):
+        return (np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)), np.empty(0, np.int64)
+    of, one = classes(key.tolist(), texts)
+    marks, lead = mark(np.arange(len(one)), of, [texts[i] for i in one.tolist()], f, length, most)
+    return marks, lead[np.argsort(key[lead], kind="stable")]
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> SpanStore:
@@ -171,13 +196,14 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
     docs = pick(docs, "doc_id", "text")
     docs = docs.select(docs.doc_id.cast("long"), docs.text.cast("string"))
     bits = bucket_bits(docs, MB_EACH)
+    most = WINDOWS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             yield scatter_keys(_runs(batch.column(0), length, anchor)[-1][0], bits)
 
     again = recurring(docs.select("text").mapInArrow(count, "bucket int, keys binary, times binary"), bits, "phrases")
-    columns = "bucket int, key binary, run binary, doc binary, owner binary, at binary, windows binary, text binary, keys binary, low binary, high binary"
+    columns = "bucket int, key binary, doc binary, owner binary, at binary, windows binary, text binary, keys binary, low binary, high binary"
     names = [c.split()[0] for c in columns.split(", ")]
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,30 +212,23 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
             starts, codes, distinct, symbols, found = _runs(batch.column(1), length, anchor)
             key, row, first, last = recurring_runs(again, symbols, starts, length, anchor, found)
             low, high = starts[row] + first, starts[row] + last + length - 1
-            raw, digest = symbols.tobytes(), xxhash.xxh3_64_intdigest
-            run = np.array([digest(raw[8 * a : 8 * b]) for a, b in zip(low.tolist(), high.tolist(), strict=True)], U64)
-            order = np.lexsort((first, ids[row], run, key))
-            key, row, first, last, run, low, high = (x[order] for x in (key, row, first, last, run, low, high))
-            new = np.append(True, (key[1:] != key[:-1]) | (run[1:] != run[:-1])) if len(key) else np.empty(0, bool)
-            later = ids[row] > ids[row[np.flatnonzero(new)[np.cumsum(new) - 1]]] if len(key) else np.empty(0, bool)
+            texts = [b" ".join([distinct[c] for c in codes[x:y].tolist()]) for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+            f = dict(zip([n for n, _ in FIELDS], (key, ids[row], owners[row], first, last - first), strict=True))
+            marks, lead = mark_batch(key, texts, f, length, most)
             empty = dict.fromkeys(names[1:], b"")
-            spans = scatter_spans(owners[row[later]], first[later], last[later] + length - 1, bits)
-            out = [empty | s for s in spans]
-            lead = np.flatnonzero(~later)
-            values = dict(zip([n for n, _ in FIELDS], (key[lead], run[lead], ids[row[lead]], owners[row[lead]], first[lead], (last - first)[lead]), strict=True))
-            at = cuts(values["key"], bits)
+            out = [empty | s for s in scatter_spans(*marks, bits)]
+            at = cuts(key[lead], bits)
             for b in np.flatnonzero(np.diff(at)):
-                s = slice(at[b], at[b + 1])
-                text = b"".join(b" ".join([distinct[c] for c in codes[x:y].tolist()]) + b"\n" for x, y in zip(low[lead[s]].tolist(), high[lead[s]].tolist(), strict=True))
-                out.append(empty | {"bucket": int(b), "text": packed(text)} | {n: packed(values[n][s]) for n, _ in FIELDS})
+                s = lead[at[b] : at[b + 1]]
+                out.append(empty | {"bucket": int(b), "text": packed(b"".join(texts[i] + b"\n" for i in s.tolist()))} | {n: packed(f[n][s]) for n, _ in FIELDS})
             yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], pa.int32() if n == "bucket" else pa.binary()) for n in names], names=names)
 
-    def mark(_: int, rows: list[dict]) -> Iterator[dict]:
-        marked = mark_bucket(rows, length, WINDOWS)
+    def merge(_: int, rows: list[dict]) -> Iterator[dict]:
+        marked = mark_bucket(rows, length, most)
         kept = [join_arrays(rows, n, t) for n, t in (("keys", U64), ("low", np.int64), ("high", np.int64))]
         yield from scatter_spans(*(np.concatenate(x) for x in zip(marked, kept, strict=True)), bits)
 
-    marked = merge_by_bucket(docs.mapInArrow(collect, columns), bits, mark, "bucket int, keys binary, low binary, high binary")
+    marked = merge_by_bucket(docs.mapInArrow(collect, columns), bits, merge, "bucket int, keys binary, low binary, high binary")
     return span_store(marked, bits, "passages")
 
 

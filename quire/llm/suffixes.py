@@ -4,18 +4,21 @@ Every string of `length` bytes that also starts earlier (in a document of smalle
 its bytes for removal. Windows are dealt by anchors (see anchors.py) in three passes over the texts:
 
 1. anchors are counted, only those that occur twice or more can hold a repeat;
-2. the runs of windows of such anchors go, as text, to their anchor's bucket; equal runs are one, and only the first of
-   equals stays unmarked. Where an anchor has several different runs, the runs' texts are joined, their suffixes ordered and
-   transformed; starting from the intervals of one symbol (four bytes), each interval is extended backward by every symbol
-   that precedes it, all intervals of a depth at once, which yields the boundaries between suffixes by increasing common
-   prefix; it stops at `length`. Windows that are still in one interval are equal; all but the earliest are marked;
+2. the runs of windows of such anchors are put together with their like: runs of one anchor and equal bytes are a class, with its
+   members in order. The first member's text and, once more, the second's stand for the class. The texts of an anchor's
+   classes are joined, their suffixes ordered and transformed; starting from the intervals of one symbol (four bytes), each
+   interval is extended backward by every symbol that precedes it, all intervals of a depth at once, which yields the
+   boundaries between suffixes by increasing common prefix; it stops at `length`. Windows that are still in one interval are
+   equal; all but the earliest are marked, and what is marked in a class's second member is so in all later ones. This is
+   done for the classes of each batch first, so that thousands of copies in a batch send on one, and then, with the
+   first members of all batches, by bucket of anchors;
 3. spans are kept in the shared folder, sorted by document; workers map them and cut their documents.
 
 Texts aren't shuffled, except for the runs of recurring anchors.
 
 Defined cases: a null text is empty; rows that repeat an id with another text are ordered by a hash of the text, and rows
 that repeat id and text are one document (both lose the same bytes); null ids come before all others; texts shorter than
-`length` lose nothing; an empty table gives no rows; other columns are ignored.
+`length` lose nothing; very long texts are cut into runs like others; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
 from ._core import U64, bucket_bits, cuts, join_arrays, join_packed, merge_by_bucket, packed, pick, rewrite_rows, sliced, unpacked, utf8
@@ -126,56 +128,95 @@ def ragged(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + sizes, sizes)
 
 
-FIELDS = (("key", U64), ("run", U64), ("doc", np.int64), ("text_hash", U64), ("at", np.int64), ("windows", np.int64))
-
-
-def mark_bucket(rows: list[dict], length: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of documents and their marked spans; most: bytes of one transform."""
-    f = {n: join_packed(rows, n, t) for n, t in FIELDS}
-    text = np.frombuffer(b"".join(unpacked(r["text"]) for r in rows), np.uint8)
-    size = f["windows"] + length - 1
-    begin = np.cumsum(size) - size
-    order = np.lexsort((f["at"], f["text_hash"], f["doc"], f["run"], f["key"]))
-    f = {n: v[order] for n, v in f.items()}
-    size, begin = size[order], begin[order]
-    n = len(order)
-    new_run = np.append(True, (f["key"][1:] != f["key"][:-1]) | (f["run"][1:] != f["run"][:-1])) if n else np.empty(0, bool)
-    first = np.flatnonzero(new_run)[np.cumsum(new_run) - 1]
-    same = (f["doc"] == f["doc"][first]) & (f["text_hash"] == f["text_hash"][first]) & (f["at"] == f["at"][first])
+FIELDS = (("key", U64), ("doc", np.int64), ("text_hash", U64), ("at", np.int64), ("windows", np.int64))
+
+
+def classes(keys: list[int], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each run the number of its class (anchor and bytes), and for each class its first run."""
+    numbers: dict[tuple[int, bytes], int] = {}
+    of = np.fromiter((numbers.setdefault(x, len(numbers)) for x in zip(keys, texts, strict=True)), np.int64, len(keys))
+    return of, np.unique(of, return_index=True)[1]
+
+
+def mark(group: np.ndarray, of: np.ndarray, texts: list[bytes], f: dict[str, np.ndarray], length: int, most: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Keys of documents and their marked spans, and the first member of each class (places in f). group: of each class, whose
+    windows are compared; of: each run's class; texts: of the classes; most: bytes of one transform."""
+    order = np.lexsort((f["at"], f["text_hash"], f["doc"], of))
+    new_class = np.append(True, of[order][1:] != of[order][:-1])
+    again = ~new_class
+    for n in ("doc", "text_hash", "at"):
+        again[1:] &= f[n][order][1:] == f[n][order][:-1]
+    order, new_class = order[~again], new_class[~again]  # rows that repeat are one
+    lead = np.flatnonzero(new_class)
+    members = np.diff(np.append(lead, len(order)))
+    # items: of each class the first member, and the second where there is one
+    item = np.concatenate([lead, lead[members > 1] + 1])
+    number = of[order[item]]
+    many = np.bincount(group[number], minlength=int(group.max()) + 1)[group[number]] > 1
+    item, number = item[many], number[many]
+    row = order[item]
+    rank = np.lexsort((f["at"][row], f["text_hash"][row], f["doc"][row], group[number]))
+    item, number, row = item[rank], number[rank], row[rank]
+    size = np.fromiter((len(texts[i]) for i in number.tolist()), np.int64, len(number))
+    begins = np.flatnonzero(np.append(True, group[number][1:] != group[number][:-1])) if len(number) else np.empty(0, np.int64)
+    ends, reach = np.append(begins[1:], len(number)), np.append(0, np.cumsum(size))
+    class_rows = np.zeros(len(group), np.int64)
+    class_rows[of[order[lead]]] = np.arange(len(lead))
+    marks = [(np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64))]
     owner = key_of(f["doc"], f["text_hash"])
-    marks = [(owner[~same], f["at"][~same], (f["at"] + size)[~same])]
-    # the first of equal runs, where their anchor has other runs too
-    lead = np.flatnonzero(new_run)
-    key = f["key"][lead]
-    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if n else np.empty(0, np.int64)
-    many = np.diff(np.append(begins, len(key)))
-    lead = lead[np.repeat(many > 1, many)]
-    groups = many[many > 1]
-    ends = np.cumsum(groups)
     low = 0
-    bytes_to = np.cumsum(size[lead])
-    while low < len(groups):
-        r0 = int(ends[low] - groups[low])
-        base = int(bytes_to[r0 - 1]) if r0 else 0
-        high = max(low + 1, int(np.searchsorted(bytes_to[ends - 1], base + most, "right")))
-        c = lead[r0 : int(ends[high - 1])]
+    while low < len(begins):
+        high = max(low + 1, int(np.searchsorted(reach[ends], reach[begins[low]] + most, "right")))
+        c = np.arange(begins[low], ends[high - 1])
         low = high
-        c = c[np.lexsort((f["at"][c], f["text_hash"][c], f["doc"][c]))]  # earlier windows come first
-        data = text[ragged(begin[c], size[c])]
+        c = c[np.lexsort((f["at"][row[c]], f["text_hash"][row[c]], f["doc"][row[c]]))]  # earlier windows come first
+        data = np.frombuffer(b"".join([texts[i] for i in number[c].tolist()]), np.uint8)
         in_data = np.cumsum(size[c]) - size[c]
-        windows = ragged(in_data, f["windows"][c])
-        number = equal_windows(data, windows, length)
-        rank = np.sort(number.astype(U64) << U64(32) | np.arange(len(windows), dtype=U64))
-        again = np.flatnonzero((rank[1:] >> U64(32)) == (rank[:-1] >> U64(32))) + 1
-        later = np.sort((rank[again] & U64(0xFFFFFFFF)).astype(np.int64))
+        windows = ragged(in_data, f["windows"][row[c]])
+        equal = equal_windows(data, windows, length)
+        ranked = np.sort(equal.astype(U64) << U64(32) | np.arange(len(windows), dtype=U64))
+        repeat = np.flatnonzero((ranked[1:] >> U64(32)) == (ranked[:-1] >> U64(32))) + 1
+        later = np.sort((ranked[repeat] & U64(0xFFFFFFFF)).astype(np.int64))
         if not len(later):
             continue
-        of = np.repeat(np.arange(len(c)), f["windows"][c])[later]
-        place = windows[later] - in_data[of]
-        start = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1)))
-        stop = np.append(start[1:], len(of)) - 1
-        marks.append((owner[c[of[start]]], f["at"][c[of[start]]] + place[start], f["at"][c[of[start]]] + place[stop] + length))
-    return tuple(np.concatenate(x) for x in zip(*marks, strict=True))
+        at_item = np.repeat(np.arange(len(c)), f["windows"][row[c]])[later]
+        place = windows[later] - in_data[at_item]
+        start = np.flatnonzero(np.append(True, (at_item[1:] != at_item[:-1]) | (place[1:] != place[:-1] + 1)))
+        stop = np.append(start[1:], len(at_item)) - 1
+        which = c[at_item[start]]
+        # a second member stands for all later ones of its class
+        own = class_rows[number[which]]
+        count = np.where(item[which] == lead[own], 1, members[own] - 1)
+        holders = order[ragged(item[which], count)]
+        first, last = np.repeat(place[start], count), np.repeat(place[stop] + length, count)
+        marks.append((owner[holders], f["at"][holders] + first, f["at"][holders] + last))
+    return tuple(np.concatenate(x) for x in zip(*marks, strict=True)), order[lead]
+
+
+def mark_bucket(rows: list[dict], length: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the first members of all batches: keys of documents and their marked spans."""
+    f = {n: join_packed(rows, n, t) for n, t in FIELDS}
+    if not len(f["key"]):
+        return np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
+    text = b"".join(unpacked(r["text"]) for r in rows)
+    end = np.cumsum(f["windows"] + length - 1).tolist()
+    texts = [text[a:b] for a, b in zip([0, *end], end, strict=False)]
+    of, first = classes(f["key"].tolist(), texts)
+    group = np.unique(f["key"][first], return_inverse=True)[1]
+    return mark(group, of, [texts[i] for i in first.tolist()], f, length, most)[0]
+
+
+def mark_batch(found: tuple, held: list[bytes], ids: np.ndarray, hashes: np.ndarray, length: int, most: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], list[bytes], dict[str, np.ndarray]]:
+    """Marks of a batch's equal runs, and the first members of its classes: texts and FIELDS."""
+    key, row, first, last = found
+    texts = [held[r][a : b + length - 1] for r, a, b in zip(row.tolist(), first.tolist(), last.tolist(), strict=True)]
+    f = dict(zip([n for n, _ in FIELDS], (key, ids[row], hashes[row], first, last - first), strict=True))
+    if not len(key):
+        return (np.empty(0, U64), first, last), [], f
+    of, one = classes(key.tolist(), texts)
+    marks, lead = mark(np.arange(len(one)), of, [texts[i] for i in one.tolist()], f, length, most)
+    lead = lead[np.argsort(key[lead], kind="stable")]
+    return marks, [texts[i] for i in lead.tolist()], {n: v[lead] for n, v in f.items()}
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> SpanStore:
@@ -183,46 +224,37 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
     docs = pick(docs, "doc_id", "text")
     docs = docs.select(docs.doc_id.cast("long"), docs.text.cast("string"))
     bits = bucket_bits(docs, MB_EACH)
+    most = TEXT
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             yield scatter_keys(runs(*_symbols(utf8(batch.column(0))), length, anchor)[0], bits)
 
     again = recurring(docs.select("text").mapInArrow(count, "bucket int, keys binary, times binary"), bits, "anchors")
-    columns = "bucket int, key binary, run binary, doc binary, text_hash binary, at binary, windows binary, text binary, owner binary, low binary, high binary"
+    columns = "bucket int, key binary, doc binary, text_hash binary, at binary, windows binary, text binary, owner binary, low binary, high binary"
     names = [c.split()[0] for c in columns.split(", ")]
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             held = utf8(batch.column(1))
-            ids, hashes, owners = row_keys(batch.column(0), held)
+            ids, hashes, _ = row_keys(batch.column(0), held)
             symbols, starts = _symbols(held)
-            key, row, first, last = recurring_runs(again, symbols, starts, length, anchor, runs(symbols, starts, length, anchor))
-            digest = xxhash.xxh3_64_intdigest
-            run = np.array([digest(held[r][a : b + length - 1]) for r, a, b in zip(row.tolist(), first.tolist(), last.tolist(), strict=True)], U64)
-            order = np.lexsort((first, hashes[row], ids[row], run, key))
-            key, row, first, last, run = key[order], row[order], first[order], last[order], run[order]
-            new = np.append(True, (key[1:] != key[:-1]) | (run[1:] != run[:-1])) if len(key) else np.empty(0, bool)
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            same = (owners[row] == owners[row[lead]]) & (first == first[lead])
-            rest = ~same
+            found = recurring_runs(again, symbols, starts, length, anchor, runs(symbols, starts, length, anchor))
+            marks, texts, values = mark_batch(found, held, ids, hashes, length, most)
             empty = dict.fromkeys(names[1:], b"")
-            out = [empty | {"bucket": s["bucket"], "owner": s["keys"], "low": s["low"], "high": s["high"]} for s in scatter_spans(owners[row[rest]], first[rest], last[rest] + length - 1, bits)]
-            lead = np.flatnonzero(new)
-            values = dict(zip([n for n, _ in FIELDS], (key[lead], run[lead], ids[row[lead]], hashes[row[lead]], first[lead], (last - first)[lead]), strict=True))
+            out = [empty | {"bucket": s["bucket"], "owner": s["keys"], "low": s["low"], "high": s["high"]} for s in scatter_spans(*marks, bits)]
             at = cuts(values["key"], bits)
             for b in np.flatnonzero(np.diff(at)):
                 s = slice(at[b], at[b + 1])
-                text = b"".join(held[r][x : y + length - 1] for r, x, y in zip(row[lead[s]].tolist(), first[lead[s]].tolist(), last[lead[s]].tolist(), strict=True))
-                out.append(empty | {"bucket": int(b), "text": packed(text)} | {n: packed(values[n][s]) for n, _ in FIELDS})
+                out.append(empty | {"bucket": int(b), "text": packed(b"".join(texts[s]))} | {n: packed(values[n][s]) for n, _ in FIELDS})
             yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], pa.int32() if n == "bucket" else pa.binary()) for n in names], names=names)
 
-    def mark(_: int, rows: list[dict]) -> Iterator[dict]:
-        keys, low, high = mark_bucket(rows, length, TEXT)
-        keys = np.concatenate([keys, join_arrays(rows, "owner", U64)])
-        yield from scatter_spans(keys, np.concatenate([low, join_arrays(rows, "low", np.int64)]), np.concatenate([high, join_arrays(rows, "high", np.int64)]), bits)
+    def merge(_: int, rows: list[dict]) -> Iterator[dict]:
+        marked = mark_bucket(rows, length, most)
+        held = [join_arrays(rows, n, t) for n, t in (("owner", U64), ("low", np.int64), ("high", np.int64))]
+        yield from scatter_spans(*(np.concatenate(x) for x in zip(marked, held, strict=True)), bits)
 
-    marked = merge_by_bucket(docs.mapInArrow(collect, columns), bits, mark, "bucket int, keys binary, low binary, high binary")
+    marked = merge_by_bucket(docs.mapInArrow(collect, columns), bits, merge, "bucket int, keys binary, low binary, high binary")
     return span_store(marked, bits, "spans")
 
 

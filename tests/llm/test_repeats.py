@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -62,6 +63,26 @@ def test_bytes_equal_brute_force(spark, seed, monkeypatch):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, sum(s.high - s.low for s in r.removed), len(r.removed), bytes(r.kept)) for r in got) == sorted(expect)
 
 
+def test_every_mark_comes_from_the_transform(monkeypatch):
+    texts = [t.encode() for t in (cases.prose(1, 80), cases.prose(1, 80), cases.prose(1, 80) + cases.prose(2, 40), cases.prose(3, 50))]
+    symbols, starts = suffixes._symbols(texts)
+    found = anchors.runs(symbols, starts, 100, 32)
+    ids, hashes = np.arange(4), np.arange(4).astype(np.uint64)
+
+    def both():
+        marks, lead_texts, values = suffixes.mark_batch(found, texts, ids, hashes, 100, 1 << 19)
+        row = {n: suffixes.packed(values[n]) for n, _ in suffixes.FIELDS} | {"text": suffixes.packed(b"".join(lead_texts))}
+        spans = anchors.merged(*(np.concatenate(x) for x in zip(marks, suffixes.mark_bucket([row], 100, 1 << 19))))
+        gone = Counter()
+        for k, a, b in zip(*spans):
+            gone[int(np.flatnonzero(anchors.key_of(ids, hashes) == k)[0])] += int(b - a)
+        return gone
+
+    assert both() == {1: len(texts[1]), 2: len(texts[0])}
+    monkeypatch.setattr(suffixes, "equal_windows", lambda data, starts, length: np.arange(len(starts)))
+    assert not both()
+
+
 def test_odd_and_empty(spark):
     assert suffixes.remove_repeats(cases.odd(spark)).count() == len(cases.odd_rows())
     assert suffixes.remove_repeats(cases.empty(spark)).count() == 0
@@ -144,6 +165,54 @@ def test_passages_equal_brute_force(spark, seed, monkeypatch):
     assert sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_words, sum(s.high - s.low for s in r.removed), r.kept) for r in got) == sorted(slow_words(rows, 50))
 
 
+def passage_marks(texts, ids):
+    from quire.llm import passages
+
+    column = passages.pa.array(texts)
+    starts, codes, distinct, _, (key, row, first, last) = passages._runs(column, 50, 8)
+    words = [" ".join([distinct[c].decode() for c in codes[starts[r] + a : starts[r] + b + 49]]).encode() for r, a, b in zip(row, first, last)]
+    owners = anchors.key_of(ids, ids.astype(np.uint64))
+    f = dict(zip([n for n, _ in passages.FIELDS], (key, ids[row], owners[row], first, last - first)))
+    marks, lead = passages.mark_batch(key, words, f, 50, 1 << 17)
+    sent = {n: suffixes.packed(f[n][lead]) for n, _ in passages.FIELDS} | {"text": suffixes.packed(b"".join(words[i] + b"\n" for i in lead))}
+    spans = anchors.merged(*(np.concatenate(x) for x in zip(marks, passages.mark_bucket([sent], 50, 1 << 17))))
+    gone = Counter()
+    for k, a, b in zip(*spans):
+        gone[int(ids[np.flatnonzero(owners == k)[0]])] += int(b - a)
+    return gone
+
+
+def test_every_passage_comes_from_the_automaton(monkeypatch):
+    from quire.llm import passages
+
+    a, b = cases.prose(1, 80), cases.prose(2, 70)
+    texts, ids = [a, a, f"{a} {b}", b, a, cases.prose(9, 60)], np.array([3, 5, 7, 9, 11, 12])
+    assert passage_marks(texts, ids) == {5: 80, 7: 80, 9: 70, 11: 80}
+
+    class Silent:
+        def add_word(self, *_):
+            pass
+
+        def make_automaton(self):
+            pass
+
+        def iter(self, *_):
+            return iter(())
+
+    monkeypatch.setattr(passages.ahocorasick, "Automaton", Silent)
+    assert not passage_marks(texts, ids)
+
+
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
+    from quire.llm import passages
+
+    a, b = cases.prose(1, 80), cases.prose(2, 70)
+    texts, ids = [a, a, f"{a} {b}", b, cases.prose(9, 60)], np.array([3, 5, 7, 9, 12])
+    want = passage_marks(texts, ids)
+    monkeypatch.setattr(passages, "kgrams", lambda symbols, k: np.zeros(max(0, len(symbols) - k + 1), np.uint64))
+    assert passage_marks(texts, ids) == want and want
+
+
 def test_passages_odd_and_empty(spark):
     from quire.llm import passages
 
