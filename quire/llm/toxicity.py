@@ -8,8 +8,10 @@ sample (corrected for continuity) exceeds CHANCE by: association stresses a term
 of no example are outside the space.
 
 The index holds, for each term, postings in blocks of BLOCK examples and each block's greatest weight, as sorted arrays in the
-shared folder that workers map into memory. A document's blocks are visited by falling upper bound until no block can hold one
-of the NEIGHBOURS nearest, so the cosine ranking is exact. The vote is the mean label of the neighbours weighted by cosine. A
+shared folder that workers map into memory. Terms of one in COMMON examples or more are full columns instead: their part of
+the cosines is a product of matrices for some documents at a time, and adds its greatest value of a block to the bound. A
+document's blocks are visited by falling upper bound until no block can hold one of the NEIGHBOURS nearest, so the cosine
+ranking is exact. The vote is the mean label of the neighbours weighted by cosine. A
 logistic curve turns votes into scores; it is fitted on the examples, each voted on by the others and classes weighted by
 their share of all labels. A document without neighbours gets the toxic share among such examples (of all labels, if there
 are none).
@@ -35,15 +37,15 @@ from pyspark.sql import functions as F
 from ._core import U64, SortedStore, bucket_bits, build_store, cuts, join_arrays, merge_by_bucket, open_array, pick, rewrite_rows, save_array, settled, sliced, texts
 from .suffixes import ragged
 
-PER_CLASS, NEIGHBOURS, BLOCK = 2000, 15, 32
+PER_CLASS, NEIGHBOURS, BLOCK, COMMON = 2000, 15, 32, 16
 #: Chi-square that a term without association exceeds once in twenty.
 CHANCE = 3.84
 #: Weight of the pull to 0 of the curve.
 PULL = 1e-2
 MB_EACH = 64.0
 WORD = re.compile(r"\w+")
-#: Rows whose words are looked up together.
-ROWS = 500
+#: Rows whose words are looked up together, and documents of one product of matrices.
+ROWS, TOGETHER = 500, 250
 
 
 def tallies(held: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -84,16 +86,23 @@ class Space:
             yield t[order], w[order] / np.sqrt((w * w).sum())
 
 
-def index_arrays(term: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_terms: int) -> dict[str, np.ndarray]:
+def index_arrays(term: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_terms: int, n_docs: int) -> dict[str, np.ndarray]:
     """Postings of terms 0 .. n_terms - 1 by term and block: for each term where its blocks begin; for each block its number,
-    greatest weight and first posting."""
+    greatest weight and first posting. Common terms have a number of a column (others: -1) and no postings."""
     order = np.lexsort((doc, term))
     term, doc, weight = term[order], doc[order], weight[order]
+    common = np.flatnonzero(np.bincount(term, minlength=n_terms) * COMMON >= max(n_docs, 1))
+    column = np.full(n_terms, -1, np.int32)
+    column[common] = np.arange(len(common))
+    full = column[term] >= 0
+    columns = np.zeros((len(common), -(-n_docs // BLOCK) * BLOCK))
+    columns[column[term[full]], doc[full]] = weight[full]
+    term, doc, weight = term[~full], doc[~full], weight[~full]
     block = doc // BLOCK
     new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(doc) else np.empty(0, np.int64)
     return {
-        "blocks": np.searchsorted(term[new], np.arange(n_terms + 1)), "block": block[new].astype(np.int32), "most": np.maximum.reduceat(weight, new) if len(new) else weight,
-        "first": np.append(new, len(doc)), "doc": doc.astype(np.int32), "weight": weight,
+        "column": column, "columns": columns, "blocks": np.searchsorted(term[new], np.arange(n_terms + 1)), "block": block[new].astype(np.int32),
+        "most": np.maximum.reduceat(weight, new) if len(new) else weight, "first": np.append(new, len(doc)), "doc": doc.astype(np.int32), "weight": weight,
     }
 
 
@@ -107,40 +116,55 @@ class BlockMaxIndex:
     def _of(self, name: str, bucket: int) -> np.ndarray:
         return open_array(self.terms.uri, f"i{name}.{bucket}")
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above 0 and their cosines; `without` is left out."""
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k examples of greatest cosine above 0 and their cosines; `without` names one to leave out for each."""
         offsets = self.terms.offsets
-        at = np.searchsorted(t, offsets)
-        parts = []  # by bucket of terms: blocks, first postings, sizes, weights of the text
-        bound = np.zeros(-(-self.n // BLOCK))
-        for b in np.flatnonzero(np.diff(at)).tolist():
-            local = t[at[b] : at[b + 1]] - offsets[b]
-            begin = self._of("blocks", b)
+        for low in range(0, len(vectors), TOGETHER):
+            part = vectors[low : low + TOGETHER]
+            at = [np.searchsorted(t, offsets) for t, _ in part]
+            base = np.zeros((len(part), -(-self.n // BLOCK) * BLOCK))
+            rare: list[list[tuple]] = [[] for _ in part]
+            for b in np.flatnonzero(np.diff(np.array(at), axis=1).any(axis=0)).tolist():
+                column, columns = self._of("column", b), self._of("columns", b)
+                own = np.zeros((len(part), len(columns)))
+                for i, (t, w) in enumerate(part):
+                    local, y = t[at[i][b] : at[i][b + 1]] - offsets[b], w[at[i][b] : at[i][b + 1]]
+                    c = column[local]
+                    full = c >= 0
+                    own[i, c[full]] = y[full]
+                    rare[i].append((b, local[~full], y[~full]))
+                if len(columns):
+                    base += own @ columns
+            for i in range(len(part)):
+                yield self._nearest(base[i], rare[i], k, -1 if without is None else without[low + i])
+
+    def _nearest(self, base: np.ndarray, rare: list[tuple], k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """base: what common terms give each example; rare: by bucket the other terms and their weights."""
+        bound = base.reshape(-1, BLOCK).max(axis=1)
+        parts = []  # by bucket: blocks, first postings, sizes, weights of the text
+        for b, local, w in rare:
+            begin, first = self._of("blocks", b), self._of("first", b)
             low = begin[local]
             count = begin[local + 1] - low
-            entry = ragged(low, count)
-            y = np.repeat(w[at[b] : at[b + 1]], count)
-            block, first = self._of("block", b)[entry], self._of("first", b)
-            bound += np.bincount(block, y * self._of("most", b)[entry], len(bound))
+            entry, y = ragged(low, count), np.repeat(w, count)
+            block = self._of("block", b)[entry]
+            bound = bound + np.bincount(block, y * self._of("most", b)[entry], len(bound))
             low = first[entry]
             parts.append((b, block, low, first[entry + 1] - low, y))
         best_d, best_c = np.empty(0, np.int64), np.empty(0)
         order = np.argsort(-bound, kind="stable")
-        done, step = 0, 4
-        while done < len(order):
+        for some in (order[:8], order[8:]):  # the second time, what the first leaves possible
             least = best_c[-1] - 1e-9 if len(best_c) == k else 0.0
-            some = order[done : done + step]
             some = some[(bound[some] > 0) & (bound[some] >= least)]
             if not len(some):
                 break
-            done, step = done + step, step * 2
             visited = np.zeros(len(bound), bool)
             visited[some] = True
-            scores = np.zeros(self.n)
+            scores = np.where(np.repeat(visited, BLOCK), base, 0.0)
             for b, block, low, size, y in parts:
                 mine = visited[block]
                 postings = ragged(low[mine], size[mine])
-                scores += np.bincount(self._of("doc", b)[postings], np.repeat(y[mine], size[mine]) * self._of("weight", b)[postings], self.n)
+                scores += np.bincount(self._of("doc", b)[postings], np.repeat(y[mine], size[mine]) * self._of("weight", b)[postings], len(scores))
             if without >= 0:
                 scores[without] = 0
             hit = np.flatnonzero(scores > max(least, 0.0))
@@ -175,16 +199,16 @@ class Model:
     no_evidence: float
     neighbours: int = NEIGHBOURS
 
-    def vote(self, t: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
-        """The vote, -1 where there are no neighbours, and the neighbours."""
-        d, c = self.index.nearest(t, w, self.neighbours, without)
-        return (float((c * self.labels[d]).sum() / c.sum()) if len(d) else -1.0), d
+    def votes(self, held: list[str], without: list[int] | None = None) -> Iterator[tuple[float, np.ndarray]]:
+        """The vote of each text, -1 where there are no neighbours, and the neighbours."""
+        for d, c in self.index.nearest(list(self.space.vectors(held)), self.neighbours, without):
+            yield (float((c * self.labels[d]).sum() / c.sum()) if len(d) else -1.0), d
 
     def score(self, held: list[str]) -> tuple[list[float], list[list[int]]]:
         """Scores, and the ids of the neighbours, the nearest first."""
         if self.space is None:
             return [self.no_evidence] * len(held), [[] for _ in held]
-        found = [self.vote(t, w) for t, w in self.space.vectors(held)]
+        found = list(self.votes(held))
         votes = np.array([v for v, _ in found])
         scores = np.where(votes < 0, self.no_evidence, 1.0 / (1.0 + np.exp(-(self.curve[0] + self.curve[1] * votes))))
         return scores.tolist(), [self.ids[d].tolist() for _, d in found]
@@ -274,13 +298,13 @@ def _index(examples: DataFrame, space: Space) -> tuple[BlockMaxIndex, np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array([v[p].tobytes() for p in parts], pa.binary()) for v in (term, doc, weight)]], names=["bucket", "term", "doc", "weight"])
 
     def write(bucket: int, rows: list[dict]) -> Iterator[dict]:
-        got = index_arrays(join_arrays(rows, "term", np.int64) - first[bucket], join_arrays(rows, "doc", np.int64), join_arrays(rows, "weight", np.float64), terms.sizes[bucket])
+        got = index_arrays(join_arrays(rows, "term", np.int64) - first[bucket], join_arrays(rows, "doc", np.int64), join_arrays(rows, "weight", np.float64), terms.sizes[bucket], len(ids))
         for name, values in got.items():
             save_array(terms.uri, f"i{name}.{bucket}", values)
         yield {"bucket": bucket}
 
     def bare(bucket: int) -> None:
-        for name, values in index_arrays(*(np.empty(0, k) for k in (np.int64, np.int64, np.float64)), terms.sizes[bucket]).items():
+        for name, values in index_arrays(*(np.empty(0, k) for k in (np.int64, np.int64, np.float64)), terms.sizes[bucket], len(ids)).items():
             save_array(terms.uri, f"i{name}.{bucket}", values)
 
     written = {r["bucket"] for r in merge_by_bucket(examples.mapInArrow(scatter, "bucket int, term binary, doc binary, weight binary"), terms.bits, write, "bucket int").collect()}
@@ -315,7 +339,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, neighb
     def by_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, ROWS):
             own = by_id[np.searchsorted(ids[by_id], batch.column(0).to_numpy())].tolist()
-            votes = [model.vote(t, w, i)[0] for i, (t, w) in zip(own, space.vectors(texts(batch.column(1))), strict=True)]
+            votes = [v for v, _ in model.votes(texts(batch.column(1)), own)]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(votes, pa.float64())], names=["toxic", "vote"])
 
     voted = examples.repartition(16, "doc_id").mapInArrow(by_others, "toxic int, vote double").collect()  # a row an example
