@@ -6,18 +6,19 @@ difference of two digests adds, over the buckets, 0, 1, 2 or 6 by the distance o
 lengths' codes, each bounded; likeness is 1 - difference / greatest difference.
 
 Defined cases: a null text is empty; a text too short for a triplet has all counts zero and codes zero; equal texts have
-equal digests. The next document in falling order of doc_id, then text, is the neighbour of a document; after the last
-comes the first, so that a single document is its own neighbour; null ids come last. Rows that repeat are neighbours of
-each other. An empty table gives no rows; other columns are ignored.
+equal digests; very long texts are counted in parts. The next document in falling order of doc_id, then of a hash of the text, is the
+neighbour of a document; after the last comes the first, so that a single document is its own neighbour; null ids come
+last. Rows that repeat are neighbours of each other. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._core import bucket_bits, pick
@@ -98,36 +99,66 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _bounds(docs: DataFrame, key: Column, n: int) -> list[tuple[int, int]]:
+    """Falling (id, hash) pairs that part docs into about n even ranges. The rows of an id that holds several quantiles are
+    parted by their hash."""
+    times = Counter(int(x) for x in docs.select(key.alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n))
+    return sorted({(k, (j << 64) // m - (1 << 63)) for k, m in times.items() for j in range(m)}, reverse=True)
+
+
+def _range_of(bounds: list[tuple[int, int]], key: Column, hash_: Column) -> Column:
+    """How many bounds are greater than (key, hash_), by binary search."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    padded = bounds + [(-(1 << 63), -(1 << 63))] * (2 * steps[0] - 1 - len(bounds))
+    held = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(h).cast("long").alias("h")) for k, h in padded])
+    own = F.struct(key.alias("k"), hash_.alias("h"))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: at + F.when(F.element_at(held, at + step) > own, step).otherwise(0))
+
+
+def _dealing(spark: SparkSession, n: int, parts: int) -> list[int]:
+    """For each of n ranges a number that hash partitioning into `parts` deals to a partition of its own."""
+    found: dict[int, int] = {}
+    high = 1
+    while len(found) < n:
+        low, high = high, high * 2 + 16 * n
+        for r in spark.range(low, high).select(F.col("id").cast("int").alias("v")).select("v", F.pmod(F.hash("v"), F.lit(parts)).alias("p")).groupBy("p").agg(F.min("v").alias("v")).collect():
+            found.setdefault(r["p"], r["v"])
+    return [found[p] for p in sorted(found)[:n]]
+
+
 def against_next(docs: DataFrame, mb_each: float = 4.0) -> DataFrame:
     """doc_id, n_chars, edited text, both digests and their likeness to the edited text's and the next document's.
 
     Documents are dealt once, by ranges of doc_id; a range ends with a copy of the next range's first document, so that every
-    neighbour is at hand. Ranges come from quantiles, the driver gets one id a range.
+    neighbour is at hand. Ranges come from quantiles, of which there are as many as the input's size or the session's shuffle
+    partitions ask; the driver gets two numbers a range.
     """
+    spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text")
     docs = docs.select(docs.doc_id.cast("long"), F.coalesce(docs.text.cast("string"), F.lit("")).alias("text"))
-    n = 1 << bucket_bits(docs, mb_each, most=11)
-    bounds = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)})
+    n = max(1 << bucket_bits(docs, mb_each, most=15), int(spark.conf.get("spark.sql.shuffle.partitions")))
     lowest = F.lit(-(1 << 63))
-    key = F.coalesce("doc_id", lowest)
-    # range 0 has the largest ids
-    at = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b > key)) if bounds else F.lit(0)
-    ranged = docs.withColumn("range", at.cast("int"))
-    top = ranged.groupBy("range").agg(F.max(F.struct(F.coalesce("doc_id", lowest).alias("k"), F.xxhash64("text").alias("h"))).alias("top")).orderBy("range").collect()
+    key, hash_ = F.coalesce("doc_id", lowest), F.xxhash64("text")
+    ranged = docs.withColumn("range", _range_of(_bounds(docs, key, n), key, hash_))
+    top = ranged.groupBy("range").agg(F.max(F.struct(key.alias("k"), hash_.alias("h"))).alias("top")).orderBy("range").collect()
     if not top:
         schema = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-        return docs.sparkSession.createDataFrame([], schema)
-    present = [r["range"] for r in top]
-    before = {r["range"]: present[i - 1] for i, r in enumerate(top)}  # the first range's copy closes the last
-    heads = F.create_map(*[F.lit(x) for r in top for x in (r["range"], r["top"]["k"])])
-    hashes = F.create_map(*[F.lit(x) for r in top for x in (r["range"], r["top"]["h"])])
-    to = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)])
-    is_head = (heads[F.col("range")] == key) & (hashes[F.col("range")] == F.xxhash64("text"))
-    placed = ranged.select(
-        "doc_id", "text", F.xxhash64("text").alias("h"),
-        F.explode(F.when(is_head, F.array(F.struct(F.lit(0).alias("tail"), F.col("range").alias("r")), F.struct(F.lit(1).alias("tail"), to[F.col("range")].alias("r")))).otherwise(F.array(F.struct(F.lit(0).alias("tail"), F.col("range").alias("r"))))).alias("p"),
-    ).select(F.col("p.r").alias("r"), F.col("p.tail").alias("tail"), key.alias("k"), "h", "doc_id", "text")
-    dealt = placed.repartition(len(present), "r").sortWithinPartitions("r", "tail", F.desc("k"), F.desc("h")).select("r", "tail", "doc_id", "text")
+        return spark.createDataFrame([], schema)
+    # by range: its first document, and to where that is copied (the first range's closes the last)
+    last = top[-1]["range"] + 1
+    heads, closes = [(0, 0)] * last, [0] * last
+    for i, r in enumerate(top):
+        heads[r["range"]], closes[r["range"]] = (r["top"]["k"], r["top"]["h"]), top[i - 1]["range"]
+    deal = _dealing(spark, last, max(last, 1))
+    of = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), F.col("range") + 1)
+    is_head = (of([k for k, _ in heads]) == key) & (of([h for _, h in heads]) == hash_)
+    own = F.struct(F.lit(0).alias("tail"), of(deal).alias("d"), F.col("range").alias("r"))
+    copy = F.struct(F.lit(1).alias("tail"), of([deal[x] for x in closes]).alias("d"), of(closes).alias("r"))
+    placed = ranged.select("doc_id", "text", hash_.alias("h"), F.explode(F.when(is_head, F.array(own, copy)).otherwise(F.array(own))).alias("p"))
+    placed = placed.select("p.d", "p.r", "p.tail", key.alias("k"), "h", "doc_id", "text")
+    dealt = placed.repartition(last, "d").sortWithinPartitions("r", "tail", F.desc("k"), F.desc("h")).select("r", "tail", "doc_id", "text")
     names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

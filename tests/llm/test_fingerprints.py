@@ -1,8 +1,9 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from quire.llm import digest, simhash
@@ -108,3 +109,16 @@ def test_digest_is_bounded_and_round_trips():
     near = digest.digest(cases.prose(1, 500).replace("river", "brook", 2).encode())
     assert digest.likeness(a, near) > digest.likeness(a, digest.digest(cases.prose(77, 500).encode())) > 0
     assert digest.digest(b"") == bytes(129)
+
+
+def test_ranges_hold_every_row_once_and_are_even(spark):
+    ids = [i * i for i in range(300)] + [77] * 400  # one id of more than half of the rows
+    df = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string")
+    key, hash_ = F.col("doc_id"), F.xxhash64("text")
+    bounds = digest._bounds(df, key, 16)
+    rows = df.select(key.alias("k"), hash_.alias("h"), digest._range_of(bounds, key, hash_).alias("r")).collect()
+    assert all(r.r == sum(b > (r.k, r.h) for b in bounds) for r in rows)
+    assert max(Counter(r.r for r in rows).values()) < 150
+    deal = digest._dealing(spark, 16, 16)
+    at = spark.createDataFrame([(v,) for v in deal], "v int").select(F.pmod(F.hash("v"), F.lit(16)).alias("p")).collect()
+    assert sorted(r.p for r in at) == list(range(16))
