@@ -1,11 +1,12 @@
 """Packing by powers of two: every document is cut into pieces of binary length, and a sequence is one piece.
 
 A document's ids are cut into pieces of `max_len`, then of the powers of two that make up the rest, the largest
-first. Pieces of one length form a bucket (column `bucket`, the exponent); a batch is drawn from one bucket, so that no
-sequence holds two documents and none needs padding.
+first. Pieces of one length form a bucket (column `bucket`, the exponent), and are gathered: pieces are dealt by bucket and a hash
+of their place (a bucket of most tokens is spread), sorted by bucket, and numbered in that order, so that a batch is a run of
+equal lengths, no sequence holds two documents and none needs padding. The numbers don't depend on how the input was split.
 
 Defined cases: a null or empty text has the end id alone (one piece of length 1); repeated rows, and null ids, are
-packed row by row; an empty table gives no rows; other columns are ignored.
+packed row by row; very long texts are cut like others; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._core import gather, pick, sliced, words_of
+from ._core import bucket_bits, gather, pick, sliced, words_of
 
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket int"
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, offset long, bucket int"
+MB_EACH = 64.0
 END_OF_WORD, MARKS = "</w>", b".,;:!?|%$&*#()[]{}<>\"+-=/\\^_`~@"
 PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 #: Words whose ids a worker keeps in each of two generations: when the younger is full it becomes the older.
@@ -109,7 +111,7 @@ def piece_lengths(n: int, max_len: int) -> list[int]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: int = 2) -> DataFrame:
-    """One row a piece: `ids` are little-endian unsigned 32-bit. sequence_id holds the partition and the place in it."""
+    """One row a piece, sequence_id too: `ids` are little-endian unsigned 32-bit. sequence_id holds the partition and the place in it."""
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
     end = np.array([end_id], "<u4").tobytes()
@@ -118,8 +120,6 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: int
         if tokenizer_path not in _ENCODERS:
             _ENCODERS[tokenizer_path] = WordEncoder(tokenizer_path)
         encoder = _ENCODERS[tokenizer_path]
-        context = TaskContext.get()
-        sequence = (context.partitionId() if context else 0) << 40
         for batch in sliced(batches):
             starts, codes, distinct = words_of(batch.column(1), lower=True)  # the vocabulary has lower case only
             # each row's words, then the end id
@@ -142,10 +142,12 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: int
                 blobs = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows[part])), pa.array(begin[part]), pa.array(sizes[part]), blobs, pa.array(totals[rows[part]]),
-                     pa.array(np.arange(sequence, sequence + k)), pa.array(np.zeros(k, np.int64)), pa.array(np.log2(sizes[part]).astype(np.int32))],
-                    names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "bucket"],
+                     pa.array(np.zeros(k, np.int64)), pa.array(np.log2(sizes[part]).astype(np.int32))],
+                    names=["doc_id", "start", "length", "ids", "doc_tokens", "offset", "bucket"],
                 )
-                sequence += k
 
     docs = pick(docs, "doc_id", "text")
-    return docs.select(docs.doc_id.cast("long"), docs.text.cast("string")).mapInArrow(run, SCHEMA)
+    pieces = docs.select(docs.doc_id.cast("long"), docs.text.cast("string")).mapInArrow(run, SCHEMA)
+    parts = 1 << bucket_bits(docs, MB_EACH)
+    gathered = pieces.repartition(parts, "bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts))).sortWithinPartitions("bucket", "doc_id", "start")
+    return gathered.select("doc_id", "start", "length", "ids", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), "offset", "bucket")
