@@ -1,24 +1,29 @@
 """SimHash near duplicates: 64-bit fingerprints of word shingles, compared exactly in tiles.
 
-Fingerprints within `radius` bits of each other agree on at least one of radius + 1 blocks of bits, so distinct
-fingerprints meet by (block, value). A meeting of more than TILE fingerprints is split into tiles by a hash, and every pair
-of tiles is a task of its own. Within a task rows are sorted by population count; two runs of rows are compared (numpy
-exclusive-or and bit counts) unless their population counts differ by more than the radius. A task returns a forest of the
-links it found, never all pairs; components come from these forests.
+The 64 bits are cut into radius + extra blocks: fingerprints within `radius` bits of each other agree on `extra` blocks at least,
+so distinct fingerprints meet by each choice of `extra` blocks and their value. `extra` follows the number of fingerprints
+(1 up to 2^26, with values of 12 bits, 2 up to 2^34, with 21 bits, then 3), which changes the meetings and not the links. A meeting of more
+than TILE fingerprints is split into tiles by population count and, within one count, by a hash; a pair of tiles is a task of
+its own, unless the tiles' counts differ by more than the radius: such pairs are never made. Within a task rows are sorted by
+population count, and two runs of rows are compared (numpy exclusive-or and bit counts) on the same condition. A task returns
+a forest of the links it found, never all pairs; components come from these forests. Fingerprints or components that hold
+more than a thousandth of the rows (a thousand at most) are joined by broadcast, so that no key meets in one task.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any other; equal texts have
 equal fingerprints; repeated rows fall in one component; null ids count last when the smallest id is taken (a component
-of null ids alone has a null id); an empty table gives no rows; other columns are ignored.
+of null ids alone has a null id); very long texts have one fingerprint like others; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._core import LOWER_AZ, bucket_bits, key_store, mix64, pick, rewrite_rows, settled, utf8
@@ -60,12 +65,24 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(docs.doc_id.cast("long"), docs.text.cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 blocks that cover 64 bits."""
-    edges = np.linspace(0, 64, radius + 2).astype(int)
+def blocks(radius: int, extra: int) -> list[tuple[int, int]]:
+    """(shift, width) of radius + extra blocks that cover 64 bits."""
+    edges = np.linspace(0, 64, radius + extra + 1).astype(int)
     return [(int(a), int(b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def meetings(radius: int, extra: int) -> list[Column]:
+    """For each choice of `extra` blocks its number and the bits of fp in them."""
+    out = []
+    for k, chosen in enumerate(combinations(blocks(radius, extra), extra)):
+        value, at = F.lit(0).cast("long"), 0
+        for shift, width in chosen:
+            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", shift).bitwiseAND((1 << width) - 1), at))
+            at += width
+        out.append(F.struct(F.lit(k).alias("block"), value.alias("value")))
+    return out
+
+
 def compare(rows: np.ndarray, sides: np.ndarray, radius: int, crossed: bool) -> tuple[np.ndarray, np.ndarray]:
     """Forest of the links among rows; crossed: only between side 0 and side 1."""
     order = np.argsort(np.bitwise_count(rows), kind="stable")
@@ -88,15 +105,17 @@ def compare(rows: np.ndarray, sides: np.ndarray, radius: int, crossed: bool) ->
     return rows[linked], rows[parent[linked]]
 
 
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, extra: int = 1) -> DataFrame:
     """Distinct fingerprints fp -> (a, b) whose components are those of all links within the radius."""
-    parts = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1).alias("value")) for k, (s, w) in enumerate(blocks(radius))]
-    met = fps.select("fp", F.explode(F.array(*parts)).alias("p")).select("fp", "p.block", "p.value")
-    # radius + 1 blocks of at most 2^13 values: the list of large meetings is bounded
+    met = fps.select("fp", F.explode(F.array(*meetings(radius, extra))).alias("p")).select("fp", "p.block", "p.value")
     large = met.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("block", "value", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    met = met.join(F.broadcast(large), ["block", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    met = met.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    # of one block in radius + 1 there are few values of 13 bits; of more the list has no bound, and Spark decides
+    met = met.join(F.broadcast(large) if extra == 1 else large, ["block", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    # a large meeting's tiles: 65 counts of `parts` tiles; partners of a tile: those of counts within the radius
+    ones, parts = F.bit_count("fp"), F.ceil(F.col("tiles") / 8).cast("int")
+    met = met.withColumn("parts", parts).withColumn("tile", ones * parts + F.pmod(F.xxhash64("fp"), parts).cast("int"))
+    reach = F.sequence(F.greatest(ones - radius, F.lit(0)) * F.col("parts"), (F.least(ones + radius, F.lit(64)) + 1) * F.col("parts") - 1)
+    met = met.withColumn("tile", F.when(F.col("tiles") > 1, F.col("tile")).otherwise(0)).withColumn("other", F.explode(F.when(F.col("tiles") > 1, reach).otherwise(F.array(F.lit(0)))))
     keys = ["block", "value", "low", "high"]
     met = met.select("block", "value", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "fp")
 
@@ -134,15 +153,24 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right(key, n, ...), n being the number of left's rows of a key. Keys of more than a thousandth of all rows,
+    a thousand at most, are joined by broadcast, the others by a shuffle."""
+    heavy = F.col("n") * 1000 > right.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rest, hot = right.where(~heavy).drop("n"), right.where(heavy).drop("n")
+    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp long, component_id: the smallest doc_id that links reach."""
     found = settled(fingerprints(docs, shingle), "simhash")
-    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = stars(links(nodes.select("fp"), radius))
-    joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return found.join(of, "fp").select("doc_id", "fp", "component_id")
+    nodes = settled(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "simhash-nodes")
+    held = nodes.count()
+    roots = stars(links(nodes.select("fp"), radius, 1 if held <= 1 << 26 else 2 if held <= 1 << 34 else 3))
+    joined = settled(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    least = joined.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    of = spread_join(joined.select("fp", "root", "rows"), least, "root").select("fp", "component_id", F.col("rows").alias("n"))
+    return spread_join(found, of, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:

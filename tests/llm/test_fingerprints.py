@@ -122,3 +122,32 @@ def test_ranges_hold_every_row_once_and_are_even(spark):
     deal = digest._dealing(spark, 16, 16)
     at = spark.createDataFrame([(v,) for v in deal], "v int").select(F.pmod(F.hash("v"), F.lit(16)).alias("p")).collect()
     assert sorted(r.p for r in at) == list(range(16))
+
+
+@pytest.mark.parametrize("extra,tile", [(1, 20), (2, 20), (3, 8192)])
+def test_links_are_whole_for_every_choice_of_blocks(spark, monkeypatch, extra, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 25).astype(np.uint64) & np.uint64(0xFFFF)  # most blocks agree: meetings are large
+    rows = [base]
+    for _ in range(6):
+        flips = np.zeros(len(base), np.uint64)
+        for _ in range(int(rng.integers(1, 5))):
+            flips |= np.uint64(1) << rng.integers(0, 64, len(base)).astype(np.uint64)
+        rows.append(base ^ flips)
+    rows = np.unique(np.concatenate(rows))
+    near = np.bitwise_count(rows[:, None] ^ rows[None]) <= 4
+    want = union_pairs(np.arange(len(rows)), *np.nonzero(near))
+    fps = spark.createDataFrame([(int(x),) for x in rows.view(np.int64)], "fp long")
+    place = {int(x): i for i, x in enumerate(rows.view(np.int64))}
+    found = simhash.links(fps, 4, extra).collect()
+    assert all(near[place[r.a], place[r.b]] or want[place[r.a]] == want[place[r.b]] for r in found)
+    got = union_pairs(np.arange(len(rows)), np.array([place[r.a] for r in found]), np.array([place[r.b] for r in found]))
+    assert np.array_equal(got, want)
+
+
+def test_spread_join_splits_heavy_keys(spark):
+    left = spark.createDataFrame([(1, i) for i in range(3000)] + [(i, i) for i in range(2, 1500)], "k long, v long")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "k * 10 as w")
+    got = simhash.spread_join(left, right, "k").select("k", "v", "w").collect()
+    assert sorted((r.k, r.v, r.w) for r in got) == sorted((r.k, r.v, r.k * 10) for r in left.collect())
