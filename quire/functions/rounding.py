@@ -1,15 +1,22 @@
 """Rounding of the binary value, ties to even, as the sizes of documents are rounded: 0.35 is a little less and becomes 0.3.
 
-The JVM rounds the shortest decimal text instead. The function sees one row a document, or a document's distinct sizes.
+The JVM rounds the shortest decimal text instead, so tenths are found from the exact product by ten: 8 v + 2 v, both exact, as a
+sum and its error.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf(DoubleType())
-def tenth(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if pd.isna(v) else round(float(v), 1)).astype("float64")
+def tenth(value: Column | str) -> Column:
+    v = F.col(value) if isinstance(value, str) else value
+    big, small = v * 8.0, v * 2.0
+    total = big + small
+    error = (big - total) + small
+    whole = F.rint(total)  # halves to even
+    off = total - whole
+    # a sum that is a half exactly was rounded to even; its error says on which side of the half the product lies
+    up, down = (off == 0.5) & (error > 0), (off == -0.5) & (error < 0)
+    return (whole + F.when(up, 1.0).when(down, -1.0).otherwise(0.0)) / 10.0

@@ -48,17 +48,20 @@ def body_size_mode(spans: DataFrame, enough: int = 50) -> DataFrame:
 
 
 def profile(spans: DataFrame, drawings: DataFrame | None = None) -> DataFrame:
-    """doc_id, type, body_size (a tenth), encoding_ok, page_count, has_index, drawing_clusters. A line's end counts as a character."""
+    """doc_id, type, body_size (a tenth), encoding_ok, page_count, has_index, drawing_clusters. A line's end counts as a character. The last
+    page is the last one with a row of any kind; a document without text has the default size."""
     cells = F.array_sort(F.collect_list(F.when(F.col("block_type") == 0, F.struct("span_no", "text"))))
     rows = together(spans).groupBy("doc_id", "page_no", "block_no", "line_no").agg(F.array_join(F.transform(cells, lambda x: x["text"]), "").alias("text"), F.max("block_type").alias("kind"))
-    last = rows.withColumn("pages", (F.max("page_no").over(Window.partitionBy("doc_id")) + 1).cast("int")).where("kind = 0")
+    # rows without text (images, page marks) count pages, and keep documents that have no text
+    last = rows.withColumn("pages", (F.max("page_no").over(Window.partitionBy("doc_id")) + 1).cast("int"))
+    words = F.col("kind") == 0
     strange = F.regexp_count("text", F.lit("[^\\x00-\\x7F\\x{4E00}-\\x{9FFF}]"))
-    early = F.col("page_no") < 5
+    early = words & (F.col("page_no") < 5)
     out = last.groupBy("doc_id").agg(
         F.max("pages").alias("page_count"),
         F.coalesce(F.sum(F.when(early, strange)), F.lit(0)).alias("strange"),
         F.coalesce(F.sum(F.when(early, F.char_length("text") + 1)), F.lit(0)).alias("chars"),
-        F.bool_or((F.col("page_no") >= F.col("pages") - 20) & matches(F.col("text"), "(?m)" + P.INDEX_LINE)).alias("has_index"),
+        F.bool_or(words & (F.col("page_no") >= F.col("pages") - 20) & matches(F.col("text"), "(?m)" + P.INDEX_LINE)).alias("has_index"),
     )
     out = out.join(body_size_median(spans), "doc_id", "left")
     if drawings is None:

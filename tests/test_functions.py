@@ -25,10 +25,10 @@ def test_strip_takes_all_white_space(spark):
 
 
 def test_chapter_titles(spark):
-    rows = [("CHAPTER 1", "\n  Revolution in the Cloud \nx"), ("Глава 2.", "Имя"), ("Chapter 3: Named", "no"), ("chapter 4", "y" * 81), ("Section 5", " \n")]
+    rows = [("CHAPTER 1", "\n  Low Water in the Cloud \nx"), ("Глава 2.", "Имя"), ("Chapter 3: Named", "no"), ("chapter 4", "y" * 81), ("Section 5", " \n")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, h string, c string").orderBy("i")
     got = [r[0] for r in df.select(T.chapter_title(F.col("h"), F.col("c"))).collect()]
-    assert got == ["Revolution in the Cloud", "Имя", "Chapter 3: Named", "chapter 4", "Section 5"]
+    assert got == ["Low Water in the Cloud", "Имя", "Chapter 3: Named", "chapter 4", "Section 5"]
 
 
 YAML = ["", "plain", "true", "No", "a: b", "x#y", "it's", " lead", "trail ", "- item", "@at", "3", "1.5", "two words", "[x", "a,b", "what?", "ключ", "-dash"]
@@ -60,7 +60,7 @@ def test_score(spark):
 
 
 def test_authors_and_years(spark):
-    assert column(spark, ["Doe, Jane; Roe, R. ;", "Solo", "A, B, C", "", ";;"], M.split_pdf_authors) == [["Jane Doe", "R. Roe"], ["Solo"], ["A, B, C"], [], []]
+    assert column(spark, ["Holt, Mira; Roe, R. ;", "Solo", "A, B, C", "", ";;"], M.split_pdf_authors) == [["Mira Holt", "R. Roe"], ["Solo"], ["A, B, C"], [], []]
     assert column(spark, ["Ann Lee and Bo", "Cy "], M.split_epub_author) == [["Ann Lee", "Bo"], ["Cy"]]
     assert column(spark, ["D:20220315184501Z", "2022", None], M.pdf_year) == [2022, None, None]
     assert column(spark, [["DevOps & SRE", "--", "k8s", "k8s"]], T.topics, "array<string>") == [["devops-sre", "k8s", "k8s"]]
@@ -81,8 +81,19 @@ def test_domains(spark):
     given = spark.createDataFrame([(1, ["dev", "x", "x"]), (2, []), (3, ["ops"]), (4, None)], "doc_id int, domains array<string>")
     got = sorted(((r.doc_id, r.domain) for r in M.unknown_domains(given, vocabulary, "tech").collect()), key=str)
     assert got == [(1, "x"), (1, "x"), (2, None), (4, None)]
-    with pytest.raises(M.SchemaError, match=r"Pick at least one from: \['dev', 'ops'\]"):
+    with pytest.raises(M.SchemaError, match="missing .*has: dev, ops"):
         M.require_domains([], ["ops", "dev"], "tech")
-    with pytest.raises(M.SchemaError, match=r"Unknown domain\(s\) \['x', 'x'\].*Allowed: \['dev', 'ops'\]"):
+    with pytest.raises(M.SchemaError, match="outside the vocabulary: x "):
         M.require_domains(["dev", "x", "x"], ["ops", "dev"], "tech")
     M.require_domains(["dev"], ["ops", "dev"], "tech")
+
+
+def test_tenths_are_rounded_like_binary_values(spark):
+    import random
+
+    from quire.functions.rounding import tenth
+
+    rng = random.Random(5)
+    values = [0.05, 0.15, 0.25, 0.35, 0.45, 1.25, 2.5, 10.95, 11.05, 12.0, -0.35, 0.0] + [rng.uniform(-50, 50) for _ in range(2000)] + [round(rng.uniform(0, 50), 2) for _ in range(2000)] + [k / 20 for k in range(600)]
+    got = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").select("v", tenth("v").alias("t")).collect()
+    assert all(r.t == round(r.v, 1) for r in got if r.v is not None) and [r.t for r in got if r.v is None] == [None]

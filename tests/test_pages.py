@@ -18,16 +18,16 @@ def test_rich_chunks_and_chapters(spark):
     assert (p.type, p.body_size, p.encoding_ok, p.page_count, p.has_index) == ("born-digital", 15.0, True, 4, False)
     rows = pdf.rich_chunks(s, spark.createDataFrame([("rich", 11.0)], "doc_id string, body_size double")).orderBy("sequence").collect()
     assert [(r.heading, r.level, r.content) for r in rows] == [
-        ("Rich Test Book", 1, ""),
-        ("Chapter 1", 2, "Revolution\n\nFirst body paragraph.\n\nSecond body."),
-        ("1.1 Details and Examples", 3, "Detail body."),
-        ("Chapter 2: Advanced", 2, "Advanced body."),
-        ("Intro ..... 3", 3, "After the entry."),
+        ("Lantern Notes", 1, ""),
+        ("Chapter 1", 2, "Low Water\n\nFog on the quay.\n\nRopes were wet."),
+        ("1.1 Tides and Moorings", 3, "Knots by name."),
+        ("Chapter 2: Open Sea", 2, "Past the light."),
+        ("Intro ..... 3", 3, "Home by dusk."),
     ]
     assert [r.is_bold for r in rows] == [False, False, False, True, False] and rows[4].looks_like_toc_entry
     sizes = spark.createDataFrame([("rich", 11.0)], "doc_id string, body_size double")
     got = pdf.chapters(pdf.rich_chunks(s, sizes), profile).orderBy("group_no", "chunk_pos").collect()
-    assert [(r.route, r.group_no, r.group_chapter_no, r.heading) for r in got] == [("rich", 1, 1, "Chapter 1"), ("rich", 1, 1, "1.1 Details and Examples"), ("rich", 2, 2, "Chapter 2: Advanced")]
+    assert [(r.route, r.group_no, r.group_chapter_no, r.heading) for r in got] == [("rich", 1, 1, "Chapter 1"), ("rich", 1, 1, "1.1 Tides and Moorings"), ("rich", 2, 2, "Chapter 2: Open Sea")]
 
 
 def test_body_sizes(spark):
@@ -91,7 +91,7 @@ def test_fallback_chain_and_metadata(spark):
     plain = [[(11, "INTRODUCTION"), (11, "Body of the article."), (11, "CONCLUSION"), (11, "End.")]]
     low = [[(18, "Big words here"), (11, "b1"), (11, "b2"), (11, "b3")]] + [[(11, "x")]] * 40
     s = frame(spark, ("rich", books.RICH), ("art", plain), ("low", low))
-    m = spark.createDataFrame([("rich", "rich", "", "Doe, Jane", "D:2019", None, None), ("art", "art", "art", "A, B; C", None, "D:20210101", "de"), ("low", "low", "Low", None, None, None, None)], S.META)
+    m = spark.createDataFrame([("rich", "rich", "", "Holt, Mira", "D:2019", None, None), ("art", "art", "art", "A, B; C", None, "D:20210101", "de"), ("low", "low", "Low", None, None, None, None)], S.META)
     found, chunks = S.read_spans(s, m)
     routes = {r.doc_id: r.route for r in chunks.select("doc_id", "route").distinct().collect()}
     assert routes["art"] == "article" and routes.get("low") == "lowscore"
