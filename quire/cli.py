@@ -6,6 +6,7 @@ import argparse
 import sys
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-d", "--domain", action="append", default=[])
     p.add_argument("-t", "--topic", action="append", default=[])
     p.add_argument("--edition")
-    p.add_argument("-c", "--collection", default="tech-lib")
+    p.add_argument("-c", "--collection", help="of the vocabulary; else the name of the output folder")
     p.add_argument("-m", "--mode", default="auto", help=f"of PDF: {', '.join(MODES)}")
     return p
 
@@ -42,40 +43,43 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
 
 def convert(a: argparse.Namespace, spark: SparkSession | None) -> int:
-    if a.mode.lower() not in MODES:
+    """0 if every book was read; files that can't be are named, and the others converted all the same."""
+    fmt = (a.format or a.input.rpartition(".")[2]).lower()
+    mode = a.mode.lower()
+    if fmt == "pdf" and mode not in MODES:  # other formats have no modes
         raise ValueError(f"Unknown mode: {a.mode} (choose from {', '.join(MODES)})")
     if not any(c in a.input for c in "*?[") and "://" not in a.input and not Path(a.input).exists():
         raise FileNotFoundError(f"No such file: {a.input}")
-    fmt = (a.format or a.input.rpartition(".")[2]).lower()
     read = reader(fmt)
     if a.domain or not a.dry_run:  # a dry run checks only what it is given
-        require_domains(a.domain, vocabulary.load(Path(a.output), a.collection)[0], a.collection)
+        collection = a.collection or Path(a.output).resolve().name
+        require_domains(a.domain, vocabulary.load(Path(a.output), collection)[0], collection)
     if not a.topic and not a.dry_run:
         print("Warning: no topics given", file=sys.stderr)
     spark = spark or SparkSession.builder.appName("quire").getOrCreate()
     found = files(spark, a.input)
-    if fmt == "pdf" and a.mode == "article":
+    if fmt == "pdf" and mode in ("article", "rich"):
         from .sources import spans as S
 
-        books, chunks = S.read_spans(S.spans_of(found), S.metadata_of(found), "article")
-    elif fmt == "pdf" and a.mode == "rich":
-        from .sources import spans as S
-
-        books, chunks = S.read_spans(S.spans_of(found), S.metadata_of(found), "rich")
+        books, chunks = S.read_spans(S.spans_of(found), S.metadata_of(found), mode)
     else:
         books, chunks = read(found)
-    if "error" in chunks.columns:
-        for r in chunks.where("error is not null").select("doc_id", "error").toLocalIterator():
-            raise ValueError(f"{r['doc_id']}: {r['error']}")
+    chunks = chunks.persist(StorageLevel.DISK_ONLY)  # parsed once for what follows
+    failed = chunks.where("error is not null").select("doc_id", "error").orderBy("doc_id").limit(20).collect()
+    for r in failed:
+        print(f"Error: {r['doc_id']}: {r['error']}", file=sys.stderr)
+    if failed and chunks.where("error is null").isEmpty():
+        return 1
+    books, chunks = books.where("error is null") if "error" in books.columns else books, chunks.where("error is null")
     if a.dry_run:
         print(f"{books.count()} book(s), {chunks.select('doc_id', 'group_no').distinct().count()} chapter(s), {chunks.count()} chunk(s)")
         for r in dry_run(chunks).orderBy("doc_id", "group_no", "chunk_pos").toLocalIterator():
             print(f"{r['label']}\n    {r['preview']}")
-        return 0
+        return 1 if failed else 0
     text = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     cards = normalize(books.withColumn("domains", text(a.domain)).withColumn("topics", text(a.topic)).withColumn("edition", F.lit(a.edition).cast("string")))
     print(f"Wrote {write_tree(rendered(cards, chunks), a.output)} file(s) to {a.output}")
-    return 0
+    return 1 if failed else 0
 
 
 if __name__ == "__main__":

@@ -2,50 +2,68 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.render import book_card, chapter_files
 
 
+def unique_ids(books: DataFrame) -> DataFrame:
+    """Books whose ids name folders of their own: of several books of one id, the second in order of doc_id gets "-2", and so on. A
+    name that another book has already is passed over only if that book comes first; then its own number tells them apart."""
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("doc_id"))
+    return books.withColumn("_nth", nth).withColumn("id", F.when(F.col("_nth") > 1, F.concat_ws("-", "id", F.col("_nth").cast("string"))).otherwise(F.col("id"))).drop("_nth")
+
+
 def rendered(books: DataFrame, chunks: DataFrame) -> DataFrame:
-    """doc_id, path, body of all files: the card and the chapters."""
+    """doc_id, path, body of all files: the card and the chapters. Rows with an error are left out."""
+    books, chunks = (df.where("error is null") if "error" in df.columns else df for df in (books, chunks))
+    books = unique_ids(books)
     cards = book_card(books).join(books.select("doc_id", "id"), "doc_id").select("doc_id", F.concat("id", F.lit("/00-book.md")).alias("path"), F.col("card").alias("body"))
     return cards.unionByName(chapter_files(chunks, books).select("doc_id", "path", "body"))
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store of a folder, which may be a path or an address (file:, hdfs:, s3: and the like), and its path there."""
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
 def write_tree(files: DataFrame, folder: str, prune: bool = False) -> int:
-    """Writes files(doc_id, path, body) under a folder that all executors share; returns how many.
+    """Writes files(doc_id, path, body) under a folder that all executors share, through the store's own interface; returns how many.
 
     Files of the same name are overwritten; others stay, unless prune is set, which removes chapters of a written book that
-    aren't among its files.
+    aren't among its files. A document's files are written, and its folder pruned, by one task.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path, body in zip(part["path"], part["body"], strict=True):
-                target = os.path.join(folder, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                partial = f"{target}.{uuid.uuid4().hex}"
-                with open(partial, "w", encoding="utf-8", newline="") as f:
-                    f.write(body)
-                os.replace(partial, target)
-            yield pd.DataFrame({"path": part["path"]})
-
-    written = files.repartition("doc_id").select("path", "body").mapInPandas(run, "path string")
-    if not prune:
-        return written.count()
-    books: dict[str, set[str]] = {}
-    for r in written.toLocalIterator():
-        book, _, name = r["path"].rpartition("/")
-        books.setdefault(book, set()).add(name)
-    for book, names in books.items():
-        for name in os.listdir(os.path.join(folder, book)):
-            if name.endswith(".md") and name not in names:
-                os.remove(os.path.join(folder, book, name))
-    return sum(map(len, books.values()))
+        store, root = store_of(folder)
+        made: set[str] = set()
+        rows = (row for part in parts for row in zip(part["doc_id"], part["path"], part["body"], strict=True))
+        for doc, own in groupby(rows, itemgetter(0)):
+            names: dict[str, set[str]] = {}
+            for _, path, body in own:
+                book, _, name = path.rpartition("/")
+                if book not in made:
+                    store.create_dir(f"{root}/{book}", recursive=True)
+                    made.add(book)
+                partial = f"{root}/{book}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(partial) as f:
+                    f.write(body.encode("utf-8"))
+                store.move(partial, f"{root}/{path}")
+                names.setdefault(book, set()).add(name)
+            for book, held in names.items() if prune else ():
+                for info in store.get_file_info(fs.FileSelector(f"{root}/{book}")):
+                    if info.base_name.endswith(".md") and info.base_name not in held:
+                        store.delete_file(info.path)
+            yield pd.DataFrame({"doc_id": [doc], "n": [sum(map(len, names.values()))]})
+
+    dealt = files.withColumn("doc_id", F.col("doc_id").cast("string")).repartition("doc_id").sortWithinPartitions("doc_id")
+    written = dealt.select("doc_id", "path", "body").mapInPandas(run, "doc_id string, n long")
+    return int(written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])

@@ -6,10 +6,12 @@ import io
 import posixpath
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,9 @@ PARTS = "doc_id string, kind string, ord int, name string, value string, media_t
 def parts_of(content: bytes) -> Iterator[tuple]:
     """(kind, ord, name, value, media type, content): kind is toc (name: title, value: href), spine (name: id), item (name: id,
     value: href) or dc (name, value)."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
+    if content is None:
+        raise ValueError("no content")
+    with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
         root = ET.fromstring(z.read("META-INF/container.xml"))
         opf_path = next(e.attrib["full-path"] for e in root.iter() if e.tag.endswith("}rootfile") or e.tag == "rootfile")
         base, opf = posixpath.dirname(opf_path), ET.fromstring(z.read(opf_path))
@@ -78,8 +82,9 @@ def parts(files: DataFrame) -> DataFrame:
             rows = []
             for doc, content in zip(batch["doc_id"], batch["content"], strict=True):
                 try:
-                    rows += [(doc, *p) for p in parts_of(bytes(content))]
-                except (zipfile.BadZipFile, KeyError, StopIteration, ET.ParseError) as e:
+                    rows += [(doc, *p) for p in parts_of(content)]
+                # not an archive, a part that is missing or broken, an encrypted one, an unknown compression
+                except (zipfile.BadZipFile, KeyError, StopIteration, ET.ParseError, ValueError, RuntimeError, NotImplementedError, EOFError, zlib.error) as e:
                     rows.append((doc, "error", 0, type(e).__name__, str(e), None, None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARTS.split(", ")])
 
@@ -108,12 +113,13 @@ def chapter_chunks(pages: DataFrame) -> DataFrame:
     """pages(doc_id, chapter_no, toc_title, markdown) -> chunks: the chapter, then its sections.
 
     The first level-1 heading names a chapter without a title; each closes the open section and is left out. Deeper headings
-    open sections of level 2 or 3. Lines outside sections are the chapter's.
+    open sections of level 2 or 3. Lines outside sections are the chapter's. Lines are dealt by chapter once.
     """
     rows = pages.select("doc_id", "chapter_no", "toc_title", F.posexplode(F.split("markdown", "\n", -1)).alias("pos", "line"))
     line = F.col("line")
     rows = rows.select("*", F.char_length(part_of(line, P.MD_HEADING, 1)).alias("lvl"), strip(part_of(line, P.MD_HEADING, 2)).alias("name"))
-    run = Window.partitionBy("doc_id", "chapter_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("doc_id", "chapter_no")
+    run = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("sec", F.count("lvl").over(run)).withColumn("in_sec", F.coalesce(F.last("lvl", ignorenulls=True).over(run) > 1, F.lit(False)))
     rows = rows.withColumn("place", F.when(F.col("in_sec"), F.col("sec")).otherwise(0))
     opens = F.col("lvl") > 1
@@ -122,13 +128,16 @@ def chapter_chunks(pages: DataFrame) -> DataFrame:
         F.max("toc_title").alias("toc_title"), F.min_by("name", F.when(F.col("lvl") == 1, F.col("pos"))).alias("first"),
         F.max(F.when(opens, F.col("name"))).alias("heading"), F.max(F.when(opens, F.least("lvl", F.lit(3)))).alias("level"), strip(joined(text, "pos", "line")).alias("content"),
     )
-    # a chapter whose lines all lie in sections has a row too
-    chapters = pages.select("doc_id", "chapter_no", "toc_title").join(out.where("place = 0").select("doc_id", "chapter_no", "first", "content"), ["doc_id", "chapter_no"], "left")
     title = F.coalesce(blank(strip(F.coalesce("toc_title", F.lit("")))), blank(F.col("first")), F.concat(F.lit("Chapter "), F.col("chapter_no").cast("string")))
-    chapters = chapters.select("doc_id", "chapter_no", F.lit(0).alias("place"), title.alias("heading"), F.lit(1).alias("level"), F.coalesce("content", F.lit("")).alias("content"))
-    both = chapters.unionByName(out.where("place > 0").select("doc_id", "chapter_no", "place", "heading", "level", "content"))
-    own = Window.partitionBy("doc_id", "chapter_no").orderBy("place")
-    return both.select("doc_id", F.col("chapter_no").cast("int").alias("group_no"), (F.row_number().over(own) - 1).cast("int").alias("chunk_pos"), "heading", "level", "content", F.col("chapter_no").cast("int").alias("group_chapter_no"))
+    at_head = F.col("place") == 0
+    own = F.struct("place", F.when(at_head, title).otherwise(F.col("heading")).alias("heading"), F.when(at_head, 1).otherwise(F.col("level")).alias("level"), "content")
+    # a chapter whose lines all lie in sections has a row too, before its first section's
+    bare = F.struct(F.lit(0).cast("long").alias("place"), title.alias("heading"), F.lit(1).alias("level"), F.lit("").alias("content"))
+    lacks = (F.col("place") > 0) & (F.row_number().over(whole.orderBy("place")) == 1)
+    out = out.withColumn("place", F.col("place").cast("long")).withColumn("lacks", lacks)
+    out = out.select("doc_id", "chapter_no", F.explode(F.when(F.col("lacks"), F.array(bare, own)).otherwise(F.array(own))).alias("x")).select("doc_id", "chapter_no", "x.*")
+    number = F.row_number().over(whole.orderBy("place")) - 1
+    return out.select("doc_id", F.col("chapter_no").cast("int").alias("group_no"), number.cast("int").alias("chunk_pos"), "heading", F.col("level").cast("int").alias("level"), "content", F.col("chapter_no").cast("int").alias("group_chapter_no"))
 
 
 def books(dc: DataFrame, files: DataFrame) -> DataFrame:
@@ -146,11 +155,15 @@ def books(dc: DataFrame, files: DataFrame) -> DataFrame:
 
 @register("epub")
 def read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    rows = parts(files)
+    """A file that can't be read is a chunk with its error, and no book. The parsed parts are kept on disk for the branches below."""
+    rows = parts(files).persist(StorageLevel.DISK_ONLY)
+    broken = rows.where("kind = 'error'").select("doc_id", F.concat_ws(": ", "name", "value").alias("error"))
     items = rows.where("kind = 'item'").select("doc_id", F.col("name").alias("item_id"), F.col("value").alias("href"), "media_type", "content")
     toc = rows.where("kind = 'toc'").select("doc_id", "ord", F.col("name").alias("title"), F.col("value").alias("href"))
     spine = rows.where("kind = 'spine'").select("doc_id", "ord", F.col("name").alias("item_id"))
     cols = ["doc_id", "chapter_no", "toc_title", "content"]
     pages = toc_documents(toc, items).select(*cols).unionByName(spine_documents(spine, items, toc).select(*cols))
     marked = pages.select("doc_id", "chapter_no", "toc_title", markdown_of(F.coalesce("content", F.lit(""))).alias("markdown"))
-    return books(rows.where("kind = 'dc'").select("doc_id", "name", "ord", "value"), files), chapter_chunks(marked)
+    chunks = chapter_chunks(marked).withColumn("error", F.lit(None).cast("string")).unionByName(broken, allowMissingColumns=True)
+    whole = files.withColumn("doc_id", F.col("doc_id").cast("string")).join(broken.select("doc_id"), "doc_id", "left_anti")
+    return books(rows.where("kind = 'dc'").select("doc_id", "name", "ord", "value"), whole.select("doc_id", "path")), chunks

@@ -24,45 +24,48 @@ def name_of(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def inline(node: ET.Element) -> str:
-    text = [node.text or ""]
-    for child in node:
-        mark = MARKS.get(name_of(child.tag), "")
-        text += [mark, inline(child), mark, child.tail or ""]
-    return "".join(text)
+def marked(node: ET.Element) -> str:
+    """The text inside an element, with the marks of inline elements around theirs."""
+    out: list[str] = []
+    todo: list = [node.text, *_inner(node)][::-1]
+    while todo:
+        step = todo.pop()
+        if isinstance(step, ET.Element):
+            mark = MARKS.get(name_of(step.tag), "")
+            todo += [step.tail, mark, *_inner(step)[::-1], step.text, mark]
+        else:
+            out.append(step or "")
+    return "".join(out).strip()
+
+
+def _inner(node: ET.Element) -> list[ET.Element]:
+    return list(node)
+
+
+def paragraphs(node: ET.Element) -> str:
+    return " ".join(t for t in map(marked, node.findall(SPACE + "p")) if t)
 
 
 def title_of(section: ET.Element) -> str:
+    """Its title's paragraphs on one line; of a title without any, the title's own text."""
     title = section.find(SPACE + "title")
     if title is None:
         return ""
-    found = title.findall(SPACE + "p") or [title]
-    return " ".join(filter(None, (inline(p).strip() for p in found)))
+    return paragraphs(title) if title.find(SPACE + "p") is not None else marked(title)
+
+
+#: What stands directly under a section, to markdown; other elements are left out.
+BLOCK_FORMS = {"p": ("{}", marked), "subtitle": ("**{}**", marked), "cite": ("> {}", paragraphs)}
 
 
 def blocks_of(section: ET.Element) -> str:
-    """Paragraphs, subtitles and citations directly under a section; other elements are left out."""
-    out = []
-    for child in section:
-        kind = name_of(child.tag)
-        if kind == "p":
-            text = inline(child).strip()
-        elif kind == "subtitle":
-            text = inline(child).strip()
-            text = text and f"**{text}**"
-        elif kind == "cite":
-            text = " ".join(inline(p).strip() for p in child.findall(SPACE + "p")).strip()
-            text = text and f"> {text}"
-        else:
-            continue
-        if text:
-            out.append(text)
-    return "\n\n".join(out)
+    forms = ((BLOCK_FORMS[k], child) for child in section if (k := name_of(child.tag)) in BLOCK_FORMS)
+    return "\n\n".join(form.format(text) for (form, read), child in forms if (text := read(child)))
 
 
 def chunks_of(content: bytes) -> Iterator[tuple[int, int, int, str, str]]:
     """(group, place, level, heading, content): sections of the first body are chapters, those inside subsections in reading order."""
-    body = ET.fromstring(content).find(f".//{SPACE}body")
+    body = parsed(content).find(f".//{SPACE}body")
     for group, section in enumerate([] if body is None else body.findall(SPACE + "section"), 1):
         yield group, 0, 1, title_of(section) or f"Chapter {group}", blocks_of(section).strip()
         stack = [(s, 2) for s in reversed(section.findall(SPACE + "section"))]
@@ -75,7 +78,7 @@ def chunks_of(content: bytes) -> Iterator[tuple[int, int, int, str, str]]:
 
 
 def book_of(content: bytes, stem: str) -> tuple[str, list[str], str, int | None]:
-    info = ET.fromstring(content).find(f".//{SPACE}title-info")
+    info = parsed(content).find(f".//{SPACE}title-info")
 
     def text(node: ET.Element | None, tag: str) -> str:
         return "" if node is None else node.findtext(SPACE + tag, default="").strip()
@@ -86,6 +89,12 @@ def book_of(content: bytes, stem: str) -> tuple[str, list[str], str, int | None]
     return text(info, "book-title") or stem, [n for n in names if n], text(info, "lang") or "en", int(year[0]) if year else None
 
 
+def parsed(content) -> ET.Element:
+    if content is None:
+        raise ValueError("no content")
+    return ET.fromstring(bytes(content))
+
+
 def flat_text(node: ET.Element) -> str:
     """Stripped texts joined by spaces, what follows the element too; elements other than paragraphs count one level deep."""
     found = [node.text]
@@ -96,7 +105,7 @@ def flat_text(node: ET.Element) -> str:
 
 def plain_markdown(content: bytes) -> str:
     """The first body's titles, as headings by depth, and paragraphs, a blank line after each: the plain extraction."""
-    body = ET.fromstring(content).find(f".//{SPACE}body")
+    body = parsed(content).find(f".//{SPACE}body")
     if body is None:
         raise ValueError("No <body> found in fb2")
     out: list[str] = []
@@ -115,7 +124,7 @@ def plain_markdown(content: bytes) -> str:
 
 def plain_book(content: bytes, stem: str) -> tuple[str, list[str], str | None]:
     """Title, authors and language by the plain rules: the language may stand anywhere; without title-info there is none."""
-    root = ET.fromstring(content)
+    root = parsed(content)
     info = root.find(f".//{SPACE}title-info")
     if info is None:
         return stem, [], None
@@ -130,8 +139,8 @@ def chunks(files: DataFrame) -> DataFrame:
             rows = []
             for doc, content in zip(part["doc_id"], part["content"], strict=True):
                 try:
-                    rows += [(doc, g, p, level, h, c, g, None) for g, p, level, h, c in chunks_of(bytes(content))]
-                except ET.ParseError as e:
+                    rows += [(doc, g, p, level, h, c, g, None) for g, p, level, h, c in chunks_of(content)]
+                except (ET.ParseError, ValueError) as e:
                     rows.append((doc, None, None, None, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
 
@@ -144,8 +153,8 @@ def books(files: DataFrame) -> DataFrame:
             rows = []
             for doc, stem, content in zip(part["doc_id"], part["stem"], part["content"], strict=True):
                 try:
-                    rows.append((doc, *book_of(bytes(content), stem), None))
-                except ET.ParseError as e:
+                    rows.append((doc, *book_of(content, stem), None))
+                except (ET.ParseError, ValueError) as e:
                     rows.append((doc, stem, [], "en", None, str(e)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in BOOKS.split(", ")])
 

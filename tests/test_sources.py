@@ -17,14 +17,14 @@ def test_fb2(spark):
     found, chunks = registry.reader("FB2")(f)
     rows = chunks.where("error is null").orderBy("group_no", "chunk_pos").collect()
     assert [(r.group_no, r.level, r.heading, r.content) for r in rows] == [
-        (1, 1, "Getting Started", "Plain *soft **loud*** and `x=1` tail\n\n**Note**\n\n> Said she"),
-        (1, 2, "Installation", "Steps"), (1, 3, "", "Deep"), (1, 3, "Deeper", "Deepest"), (2, 1, "Chapter 2", "No title here"),
+        (1, 1, "Casting Off", "Plain *soft **loud*** and `x=1` tail\n\n**Note**\n\n> Said she"),
+        (1, 2, "Rigging", "Steps"), (1, 3, "", "Deep"), (1, 3, "Deeper", "Deepest"), (2, 1, "Chapter 2", "No title here"),
     ]
     b = {r.doc_id: r for r in found.collect()}
-    assert (b["1"].title, b["1"].authors, b["1"].language, b["1"].year, b["1"].id) == ("FB2 Test Book", ["Jane Doe"], "en", 2021, "fb2-test-book")
+    assert (b["1"].title, b["1"].authors, b["1"].language, b["1"].year, b["1"].id) == ("Harbour Almanac", ["Mira Holt"], "en", 2021, "harbour-almanac")
     assert b["2"].title == "bad" and b["2"].error
     plain = fb2.plain_markdown(books.FB2)
-    assert plain.startswith("## Getting Started\n\nPlain soft and x=1 tail\n\nSaid\n\nshe\n\n### Installation\n\nSteps\n") and plain.endswith("No title here\n")
+    assert plain.startswith("## Casting Off\n\nPlain soft and x=1 tail\n\nSaid\n\nshe\n\n### Rigging\n\nSteps\n") and plain.endswith("No title here\n")
     with pytest.raises(ValueError, match="No <body> found"):
         fb2.plain_markdown(b'<FictionBook xmlns="http://www.gribuser.ru/xml/fictionbook/2.0"/>')
 
@@ -39,9 +39,8 @@ def test_epub_by_toc_and_spine(spark):
     ]
     assert [(r.group_no, r.heading) for r in rows if r.doc_id == "s" and r.chunk_pos == 0] == [(1, "Chapter 1"), (2, "Heading A"), (3, "Heading B")]
     b = {r.doc_id: r for r in found.collect()}
-    assert (b["t"].title, b["t"].authors, b["t"].language, b["t"].year) == ("EPUB Test Book", ["John Smith", "Ann Lee", "Solo Author"], "en", 2023)
-    assert b["s"].title == "s" and b["z"].title == "z"
-    assert epub.parts(f).where("kind = 'error'").count() == 1
+    assert (b["t"].title, b["t"].authors, b["t"].language, b["t"].year) == ("River Ledger", ["Oren Vale", "Ida Brook", "Tess Marlow"], "en", 2023)
+    assert b["s"].title == "s" and "z" not in b and [r.doc_id for r in rows if r.error] == ["z"]
 
 
 def test_plain_extraction_by_extension(spark):
@@ -49,7 +48,34 @@ def test_plain_extraction_by_extension(spark):
     got = {r.doc_id: r for r in auto.markdown(f).collect()}
     assert got["1"].markdown and got["2"].error == "Unsupported format: djvu" and got["3"].error == "No <body> found in fb2"
     found = {r.doc_id: (r.id, r.title, r.authors, r.language) for r in auto.metadata(f).collect()}
-    assert found == {"1": ("b", "FB2 Test Book", ["Jane Doe"], "en"), "2": ("y", "y", [], None), "3": ("z", "z", [], None)}
+    assert found == {"1": ("b", "Harbour Almanac", ["Mira Holt"], "en"), "2": ("y", "y", [], None), "3": ("z", "z", [], None)}
+
+
+def test_broken_files_are_rows(spark):
+    encrypted = bytearray(books.epub())
+    at = encrypted.find(b"PK\x01\x02")
+    while at >= 0:  # the flag of encryption, in every entry of the directory
+        encrypted[at + 8] |= 1
+        at = encrypted.find(b"PK\x01\x02", at + 4)
+    f = spark.createDataFrame([("good", "g.epub", books.epub()), ("junk", "j.epub", b"no zip"), ("none", "n.epub", None), ("empty", "e.epub", b""), ("locked", "l.epub", bytes(encrypted))], FILES)
+    found, chunks = registry.reader("epub")(f)
+    assert {r.doc_id for r in chunks.where("error is not null").collect()} == {"junk", "none", "empty", "locked"}
+    assert {r.doc_id for r in found.collect()} == {"good"} == {r.doc_id for r in chunks.where("error is null").collect()}
+    f = spark.createDataFrame([("good", "g.fb2", books.FB2), ("junk", "j.fb2", b"<no"), ("none", "n.fb2", None)], FILES)
+    found, chunks = registry.reader("fb2")(f)
+    assert {r.doc_id for r in chunks.where("error is not null").collect()} == {"junk", "none"} == {r.doc_id for r in found.where("error is not null").collect()}
+    assert {r.doc_id: r.error is None for r in auto.metadata(f).collect()} == {r.doc_id: r.error is None for r in auto.markdown(f).collect()} == {"good": True, "junk": False, "none": False}
+
+
+def test_pdf_files_that_cannot_be_read_are_rows(spark, monkeypatch):
+    from quire.sources import spans as S
+
+    rows = books.spans("good", books.RICH) + [("bad", None, -1, -1, -1, S.ERROR, "FileDataError: no PDF", None, None, None)]
+    s = spark.createDataFrame(rows, books.SPAN)
+    meta = spark.createDataFrame([("good", "good", "", "", None, None, None), ("bad", "bad", None, None, None, None, None)], S.META)
+    found, chunks = S.read_spans(s, meta)
+    assert [(r.doc_id, r.error) for r in chunks.where("error is not null").collect()] == [("bad", "FileDataError: no PDF")]
+    assert {r.doc_id for r in found.collect()} == {"good"}
 
 
 def test_html():
@@ -58,6 +84,14 @@ def test_html():
     assert to_markdown('<a href="u">t</a><br>next') == "[t](u)\nnext" and to_markdown("") == ""
 
 
+def test_html_tables():
+    table = "<p>a</p><table><tr><th>H1</th><th>H <b>2</b></th></tr><tr><td>x<p>y</p></td><td><a href=u>z</a></td></tr></table>b"
+    assert to_markdown(table) == "a\n\n| H1 | H **2** |\n| --- | --- |\n| x y | [z](u) |\n\nb"
+    assert to_markdown("<table><tbody><tr><td>1<td>2<tr><td>3<td>4</table>") == "|  |  |\n| --- | --- |\n| 1 | 2 |\n| 3 | 4 |"
+    assert to_markdown("<table><tr><td>1<table><tr><td>in</td></tr></table></td></tr>") == "|  |\n| --- |\n| 1 in |"
+    assert to_markdown("<table></table>x") == "x"
+
+
 def test_registry(spark):
     assert registry.supported() == ["epub", "fb2", "pdf"]
     with pytest.raises(ValueError, match=r"Unsupported format: doc \(supported: epub, fb2, pdf\)"):
@@ -72,11 +106,11 @@ def tree(spark, folder):
 
 def test_tree(spark, tmp_path):
     assert tree(spark, tmp_path) == 3
-    book = tmp_path / "fb2-test-book"
-    assert sorted(p.name for p in book.iterdir()) == ["00-book.md", "01-getting-started.md", "02-no-title-here.md"]
-    text = (book / "01-getting-started.md").read_text()
-    assert text.startswith("---\nbook_id: fb2-test-book\nchapter_no: 1\nchapter_title: Getting Started\nsequence: 1\n---\n\nPlain *soft")
-    assert text.endswith("## Installation\n\nSteps\n\nDeep\n\n### Deeper\n\nDeepest\n")
+    book = tmp_path / "harbour-almanac"
+    assert sorted(p.name for p in book.iterdir()) == ["00-book.md", "01-casting-off.md", "02-no-title-here.md"]
+    text = (book / "01-casting-off.md").read_text()
+    assert text.startswith("---\nbook_id: harbour-almanac\nchapter_no: 1\nchapter_title: Casting Off\nsequence: 1\n---\n\nPlain *soft")
+    assert text.endswith("## Rigging\n\nSteps\n\nDeep\n\n### Deeper\n\nDeepest\n")
     (book / "09-old.md").write_text("old")
     tree(spark, tmp_path)
     assert (book / "09-old.md").exists()
@@ -86,9 +120,9 @@ def test_vocabulary(tmp_path):
     (tmp_path / "vocabulary.yaml").write_text("collections:\n  tech-lib:\n    domains: [dev, ops]\n    topics_registry: []\n")
     (tmp_path / "a/b").mkdir(parents=True)
     assert vocabulary.load(tmp_path / "a/b", "tech-lib") == (["dev", "ops"], [])
-    with pytest.raises(SchemaError, match="not defined"):
+    with pytest.raises(SchemaError, match="no collection"):
         vocabulary.load(tmp_path, "none")
-    with pytest.raises(SchemaError, match="No vocabulary.yaml"):
+    with pytest.raises(SchemaError, match="has a vocabulary.yaml"):
         vocabulary.load(vocabulary.Path("/proc"), "tech-lib")
 
 
@@ -97,21 +131,43 @@ def test_cli(spark, tmp_path, capsys):
     book.write_bytes(books.FB2)
     out = tmp_path / "lib"
     out.mkdir()
-    (tmp_path / "vocabulary.yaml").write_text("collections:\n  tech-lib:\n    domains: [dev]\n")
+    (tmp_path / "vocabulary.yaml").write_text("collections:\n  lib:\n    domains: [dev]\n  tech-lib:\n    domains: [ops]\n")
     assert cli.main([str(book), "--dry-run"], spark) == 0
     assert "2 chapter(s), 5 chunk(s)" in capsys.readouterr().out
     assert cli.main([str(book), "-o", str(out)], spark) == 1 and not list(out.iterdir())
     assert cli.main([str(book), "-o", str(out), "-d", "nope"], spark) == 1
-    assert "Allowed: ['dev']" in capsys.readouterr().err
+    assert "has: dev" in capsys.readouterr().err
     assert cli.main([str(book), "-o", str(out), "-d", "dev", "-t", "K8s Basics", "--edition", "2nd"], spark) == 0
-    card = (out / "fb2-test-book/00-book.md").read_text()
+    card = (out / "harbour-almanac/00-book.md").read_text()
     assert "- dev" in card and "- k8s-basics" in card and "edition: 2nd" in card
-    assert cli.main([str(tmp_path / "none.fb2")], spark) == 1 and cli.main([str(book), "-f", "doc"], spark) == 1 and cli.main([str(book), "-m", "odd"], spark) == 1
+    assert cli.main([str(tmp_path / "none.fb2")], spark) == 1 and cli.main([str(book), "-f", "doc"], spark) == 1
+    assert cli.main([str(book), "--dry-run", "-m", "odd"], spark) == 0 and cli.main([str(book), "-f", "pdf", "-m", "odd"], spark) == 1
+    (tmp_path / "bad.fb2").write_bytes(b"<no")
+    capsys.readouterr()
+    assert cli.main([str(tmp_path / "*.fb2"), "-o", str(tmp_path / "two"), "-c", "tech-lib", "-d", "ops"], spark) == 1
+    seen = capsys.readouterr()
+    assert "bad.fb2: " in seen.err and "Wrote 3 file(s)" in seen.out and (tmp_path / "two/harbour-almanac/00-book.md").exists()
 
 
 def test_stream(spark, tmp_path):
     for d in ("in", "out"):
         (tmp_path / d).mkdir()
     (tmp_path / "in/a.fb2").write_bytes(books.FB2)
-    watch(spark, str(tmp_path / "in"), "fb2", str(tmp_path / "out"), str(tmp_path / "state"), ["dev"], once=True).awaitTermination(120)
-    assert (tmp_path / "out/fb2-test-book/00-book.md").exists()
+    (tmp_path / "in/b.fb2").write_bytes(b"<no")
+    places = str(tmp_path / "in"), "fb2", str(tmp_path / "out"), str(tmp_path / "state")
+    with pytest.raises(SchemaError):
+        watch(spark, *places, ["dev"], once=True)
+    (tmp_path / "vocabulary.yaml").write_text("collections:\n  out:\n    domains: [dev]\n")
+    watch(spark, *places, ["dev"], once=True).awaitTermination(120)
+    assert (tmp_path / "out/harbour-almanac/00-book.md").exists()
+    assert [r.doc_id.rpartition("/")[2] for r in spark.read.parquet(str(tmp_path / "out/_errors")).collect()] == ["b.fb2"]
+
+
+def test_books_of_one_title_have_folders_of_their_own(spark, tmp_path):
+    f = spark.createDataFrame([("1", "x/b.fb2", books.FB2), ("2", "y/c.fb2", books.FB2)], FILES)
+    found, chunks = registry.reader("fb2")(f)
+    assert write_tree(rendered(normalize(found), chunks), f"file://{tmp_path}", prune=True) == 6
+    assert {p.name for p in tmp_path.iterdir()} == {"harbour-almanac", "harbour-almanac-2"}
+    (tmp_path / "harbour-almanac/09-old.md").write_text("old")
+    write_tree(rendered(normalize(found), chunks), str(tmp_path), prune=True)
+    assert not (tmp_path / "harbour-almanac/09-old.md").exists() and len(list((tmp_path / "harbour-almanac-2").glob("*.md"))) == 3
