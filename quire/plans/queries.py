@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import io
+import tempfile
+import uuid
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +20,8 @@ from ..functions.score import looks_like_index, looks_like_toc, score_heading
 from ..operators import article as A
 from ..operators import meta as M
 from ..operators import pdf, render, split
-from ..sources import auto, epub, fb2
+from ..sinks.tree import rendered, write_tree
+from ..sources import auto, epub, fb2, vocabulary
 from ..sources.html_md import markdown_of
 from ..sources.registry import format_of, stem_of
 from . import views as V
@@ -342,7 +350,7 @@ def fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- scalars and metadata
 
 
-@query(f"select doc_id, {slug('substr(text, 1, 200)')} as slug from documents")
+@query(f"select doc_id, {slug('text')} as slug from documents")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
@@ -362,7 +370,7 @@ def chapter_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", T.chapter_title(h, F.col("text")).alias("title"))
 
 
-@query(f"select doc_id, array_to_string(list_filter(list_transform(string_split(substr(text, 1, 120), ' '), lambda z: {slug('z')}), lambda z: z <> ''), ',') as topics from documents")
+@query(f"select doc_id, array_to_string(list_filter(list_transform(string_split(text, ' '), lambda z: {slug('z')}), lambda z: z <> ''), ',') as topics from documents")
 def topic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.topics(F.split("text", " ")), ",").alias("topics"))
 
@@ -435,7 +443,7 @@ def yaml_quoting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NEW = "chr(10)"
-BOOK = f"""book as (select doc_id, substr(text, 1, 30) as title, [source, lang || ': x'] as authors, [source] as domains, [lang] as topics, case when doc_id % 2 = 0 then 'en' else '' end as language,
+BOOK = f"""book as (select doc_id, string_split(text, chr(10))[1] as title, [source, lang || ': x'] as authors, [source] as domains, [lang] as topics, case when doc_id % 2 = 0 then 'en' else '' end as language,
   case when doc_id % 3 = 0 then null else cast(2000 + doc_id % 30 as int) end as year from documents),
 card as (select doc_id, {slug("coalesce(nullif(title, ''), 'untitled')")} as id, coalesce(nullif(title, ''), 'untitled') as title, authors, domains, list_filter(list_transform(topics, lambda z: {slug("z")}), lambda z: z <> '') as topics,
   coalesce(nullif(language, ''), 'en') as language, year from book)"""
@@ -455,7 +463,7 @@ def book_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _books(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = V.table(spark, sf_dir, "documents").select(
-        "doc_id", F.substring("text", 1, 30).alias("title"), F.array("source", F.concat("lang", F.lit(": x"))).alias("authors"), F.array("source").alias("domains"), F.array("lang").alias("topics"),
+        "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.array("source", F.concat("lang", F.lit(": x"))).alias("authors"), F.array("source").alias("domains"), F.array("lang").alias("topics"),
         F.when(F.col("doc_id") % 2 == 0, "en").otherwise("").alias("language"), F.when(F.col("doc_id") % 3 != 0, (2000 + F.col("doc_id") % 30).cast("int")).alias("year"),
     )
     return M.normalize(raw)
@@ -597,3 +605,214 @@ def auto_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select cast(doc_id as varchar) as doc_id, lang as title, 'A B' as authors, 'de' as language, cast(2021 as int) as year, lang as id from documents")
 def fb2_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fb2.books(_fb2(spark, sf_dir)).select("doc_id", "title", F.array_join("authors", "|").alias("authors"), "language", "year", "id")
+
+
+# ---------------------------------------------------------------- pages in full: drawings, blocks of several lines, pages without text
+
+MIXED = f"""{LINES}, mixed as (
+  select doc_id, cast(pos // 30 as int) as page_no, cast(pos // 3 as int) as block_no, cast(pos % 3 as int) as line_no, pos,
+    case when pos // 3 % 13 = 12 then 1 else 0 end as kind, case when pos % 3 = 0 and pos // 3 % 4 = 0 then 'Part ' || (pos // 3) else line end as line,
+    cast(case when pos // 3 % 8 = 0 then 24 when pos // 3 % 8 = 4 then case when doc_id % 2 = 0 then 18 else 15 end else 11 end as double) as size,
+    cast(case when pos % 3 = 1 then 2 + 16 else 4 end as int) as flags
+  from lines where doc_id % 10 <> 9)"""
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of three lines, a line in two spans, some blocks images; every tenth document has images and page marks alone."""
+    pos, doc = F.col("pos"), F.col("doc_id")
+    block = F.floor(pos / 3).cast("int")
+    rows = V.doc_lines(spark, sf_dir).select("doc_id", "pos", F.when((pos % 3 == 0) & (block % 4 == 0), F.concat(F.lit("Part "), block.cast("string"))).otherwise(F.col("line")).alias("line"))
+    half = F.floor(F.char_length("line") / 2).cast("int")
+    cut = F.array(F.struct(F.lit(0).alias("span_no"), F.substring(F.col("line"), F.lit(1), half).alias("text")), F.struct(F.lit(1).alias("span_no"), F.substring(F.col("line"), half + 1, F.lit(2147483647)).alias("text")))
+    size = F.when(block % 8 == 0, 24.0).when(block % 8 == 4, F.when(doc % 2 == 0, 18.0).otherwise(15.0)).otherwise(11.0)
+    kind = F.when(doc % 10 == 9, F.when(pos % 2 == 0, 1).otherwise(-2)).when(block % 13 == 12, 1).otherwise(0)
+    rows = rows.select("doc_id", F.floor(pos / 30).cast("int").alias("page_no"), block.alias("block_no"), (pos % 3).cast("int").alias("line_no"), kind.alias("block_type"),
+                       size.alias("size"), F.lit("Serif").alias("font"), F.when(pos % 3 == 1, 18).otherwise(4).alias("flags"), F.explode(cut).alias("s"))
+    return rows.select("doc_id", "page_no", "block_no", "line_no", "s.span_no", "block_type", F.when(F.col("block_type") == 0, F.col("s.text")).alias("text"), "size", "font", "flags")
+
+
+def _drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drawing a line: more than 50 within the first ten pages of long documents."""
+    return V.doc_lines(spark, sf_dir).select("doc_id", F.floor(F.col("pos") / 8).cast("int").alias("page_no"))
+
+
+@query(
+    f"""with {MIXED}, pages as (select doc_id, cast(max(pos) // 30 + 1 as int) as page_count from lines group by doc_id),
+    text as (select m.*, page_count from mixed m join pages p on m.doc_id = p.doc_id where kind = 0),
+    chars as (select doc_id, sum(case when page_no < 5 then len(regexp_extract_all(line, '[^\\x00-\\x7F\\x{{4E00}}-\\x{{9FFF}}]')) else 0 end) as strange, sum(case when page_no < 5 then length(line) + 1 else 0 end) as chars,
+      bool_or(page_no >= page_count - 20 and {m("line", P.INDEX_LINE)}) as has_index from text group by doc_id),
+    counted as (select doc_id, page_no, count(*) * 2 as n from text group by all),
+    before as (select doc_id, page_no, coalesce(sum(n) over (partition by doc_id order by page_no rows between unbounded preceding and 1 preceding), 0) as b from counted),
+    sizes as (select t.doc_id, list_sort(flatten(list([size, size]))) as v from text t join before b on t.doc_id = b.doc_id and t.page_no = b.page_no and b <= 200 group by t.doc_id),
+    drawn as (select doc_id, cast(count(*) as int) as n from lines where pos // 8 < 10 group by doc_id),
+    a as (select p.doc_id, page_count, coalesce(chars, 0) = 0 or strange / greatest(chars, 1) < 0.3 as ok, coalesce(has_index, false) as has_index, coalesce(round(v[len(v) // 2 + 1], 1), 12.0) as size, coalesce(n, 0) as n
+      from pages p left join chars c on p.doc_id = c.doc_id left join sizes s on p.doc_id = s.doc_id left join drawn d on p.doc_id = d.doc_id)
+    select doc_id, case when not ok then 'cjk-broken' when n > 50 then 'diagram-heavy' else 'born-digital' end as type, cast(size as double) as body_size, ok as encoding_ok, page_count, has_index, cast(n as int) as drawing_clusters from a"""
+)
+def drawing_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pdf.profile(_mixed(spark, sf_dir), _drawings(spark, sf_dir))
+
+
+MIXED_BLOCKS = f"""{MIXED}, mb as (select * from (select doc_id, page_no, block_no, {strip("string_agg(line, chr(10) order by line_no)")} as text, max(size) as size, bool_or((flags & 2) <> 0) as is_bold
+  from mixed where kind = 0 group by doc_id, page_no, block_no) where text <> '')"""
+
+
+@query(f"with {MIXED_BLOCKS} select * from mb")
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pdf.blocks(_mixed(spark, sf_dir))
+
+
+@query(
+    f"""with {MIXED_BLOCKS}, c1 as (select *, case when size >= 11.0 * 1.3 then case when size / 11.0 >= 2.0 then 1 when size / 11.0 >= 1.6 then 2 else 3 end end as level, string_split(text, chr(10))[1] as first from mb),
+    c2 as (select *, count(level) over (partition by doc_id order by page_no, block_no {ROWS}) as head, case when level is not null then case when level < 3 then {strip("substr(text, length(first) + 2)")} else '' end
+      when not {m("text", P.PAGE_NUMBER)} and not {m("text", P.RUNNING_HEADER)} then text end as piece from c1)
+    select doc_id, cast(head - 1 as int) as sequence, {strip("max(case when level is not null then first end)")} as heading, coalesce(string_agg(nullif(piece, ''), chr(10) || chr(10) order by page_no, block_no), '') as content, cast(max(level) as int) as level,
+      max(case when level is not null then size end) as font_size, bool_or(level is not null and is_bold) as is_bold from c2 where head > 0 group by doc_id, head"""
+)
+def heading_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block's first line is the heading, the rest content at levels 1 and 2."""
+    sizes = V.table(spark, sf_dir, "documents").select("doc_id", F.lit(11.0).alias("body_size"))
+    return pdf.rich_chunks(_mixed(spark, sf_dir), sizes).select("doc_id", "sequence", "heading", "content", "level", "font_size", "is_bold")
+
+
+# ---------------------------------------------------------------- archives, pages of HTML, cards, sinks
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An EPUB of every five pages; some have no table of contents, some are no archives."""
+
+    def zipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for book, pages in zip(batch["book"], batch["pages"], strict=True):
+                names = [(p["page_id"], f"p{p['page_id']}.xhtml", p["url"]) for p in pages]
+                item = '<item id="i{0}" href="{1}" media-type="application/xhtml+xml"/>'
+                point = '<navPoint><navLabel><text>{0}</text></navLabel><content src="{1}#top"/></navPoint>'
+                toc = "".join(point.format(f"Told {n}" if n % 4 else "", f) for n, f, _ in names if n % 2 == 0) if book % 3 else ""
+                parts = {
+                    "META-INF/container.xml": '<container><rootfiles><rootfile full-path="b/book.opf"/></rootfiles></container>',
+                    "b/book.opf": '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>'
+                    + "".join(item.format(n, f) for n, f, _ in names) + '</manifest><spine toc="ncx">' + "".join(f'<itemref idref="i{n}"/>' for n, _, _ in reversed(names)) + "</spine></package>",
+                    "b/toc.ncx": f"<ncx><navMap>{toc}</navMap></ncx>",
+                } | {f"b/{f}": f"<html><head><title>no</title></head><body><h1>Page {n}</h1><p>{escape(u)}</p><h2>Part {n}</h2><p>Text <b>bold</b> {n}</p><h4>Deep</h4><p>end</p></body></html>" for n, f, u in names}
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    for name, text in parts.items():
+                        z.writestr(name, text)
+                rows.append((str(book), f"books/{book}.epub", b"torn" if book % 7 == 6 else out.getvalue()))
+            yield pd.DataFrame(rows, columns=["doc_id", "path", "content"])
+
+    pages = F.array_sort(F.collect_list(F.struct("page_id", "url")))
+    books = V.table(spark, sf_dir, "pages").groupBy(F.floor(F.col("page_id") / 5).alias("book")).agg(pages.alias("pages"))
+    return books.mapInPandas(zipped, "doc_id string, path string, content binary")
+
+
+@query(
+    """with b as (select page_id, url, page_id // 5 as book from pages),
+    told as (select book, bool_or(page_id % 2 = 0) as has from b where book % 3 <> 0 group by book),
+    c as (select b.*, coalesce(has, false) as toc from b left join told on b.book = told.book where b.book % 7 <> 6),
+    n as (select *, row_number() over (partition by book order by case when toc then page_id else -page_id end) as no from c where not toc or page_id % 2 = 0),
+    s as (select book, no, 0 as place, case when toc and page_id % 4 <> 0 then 'Told ' || page_id else 'Page ' || page_id end as heading, 1 as level, url as content from n
+      union all select book, no, 1, 'Part ' || page_id, 2, 'Text **bold** ' || page_id from n union all select book, no, 2, 'Deep', 3, 'end' from n)
+    select cast(book as varchar) as doc_id, cast(no as int) as group_no, cast(place as int) as chunk_pos, heading, cast(level as int) as level, content, cast(no as int) as group_chapter_no, cast(null as varchar) as error from s
+    union all select distinct cast(book as varchar), cast(null as int), cast(null as int), null, cast(null as int), null, cast(null as int), 'BadZipFile: File is not a zip file' from b where book % 7 = 6"""
+)
+def epub_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epub.read(_archives(spark, sf_dir))[1]
+
+
+HTML_SQL = """'# Page ' || page_id || '\n\nSee [' || 'the site](' || url || ') and *more* `x`\n\n- one\n- two\n  1. in\n\n> said\n\n| K | V |\n| --- | --- |\n| ' || page_id || ' | **' || url || '** |\n\n|  |  |\n| --- | --- |\n| a | b |\n\n```\nkept  as is\n```\n\nend'"""
+
+
+@query(f"select page_id, {HTML_SQL} as markdown from pages")
+def html_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page, url = F.col("page_id").cast("string"), F.col("url")
+    html = F.concat(
+        F.lit("<html><head><title>t</title></head><body><h1>Page "), page, F.lit("</h1><script>x()</script><p>See <a href='"), url, F.lit("'>the site</a> and <i>more</i> <code>x</code></p><ul><li>one</li><li>two<ol><li>in</li></ol></li></ul>"
+        "<blockquote><p>said</p></blockquote><img src='p.png'><table><tr><th>K</th><th>V</th></tr><tr><td>"), page, F.lit("</td><td><b>"), url, F.lit("</b></td></tr></table><table><tr><td>a</td><td>b</td></tr></table><pre>kept  as is</pre>end"),
+    )
+    return V.table(spark, sf_dir, "pages").select("page_id", markdown_of(html).alias("markdown"))
+
+
+METAS = """m as (select doc_id, 'stem' || doc_id as stem, case doc_id % 4 when 0 then '' when 1 then 'stem' || doc_id else ' Title ' || doc_id || ' ' end as title,
+  case when doc_id % 3 = 0 then 'Doe, J; Poe, E' when doc_id % 3 = 1 then '' end as author, case when doc_id % 5 = 0 then 'D:' || (1990 + doc_id % 30) || '0101' when doc_id % 5 = 1 then '' end as created,
+  case when doc_id % 2 = 0 then 'D:2015' end as modified, case when doc_id % 7 = 0 then 'de' end as language from documents),
+own as (select doc_id, regexp_replace(regexp_replace(lower(trim(coalesce(nullif(title, ''), stem))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as id, trim(coalesce(nullif(title, ''), stem)) as title,
+  case when doc_id % 3 = 0 then 'J Doe|E Poe' else '' end as authors, coalesce(language, 'en') as language, case when doc_id % 5 = 0 then cast(1990 + doc_id % 30 as int) end as year from m),
+art as (select doc_id, case when trim(title) <> '' and trim(title) <> stem then trim(title) when doc_id % 2 = 0 then 'Found ' || doc_id else stem end as title,
+  case when doc_id % 3 = 0 then 'Doe|J; Poe|E' else '' end as authors,
+  coalesce(try_cast(nullif(regexp_extract(coalesce(nullif(created, ''), nullif(modified, ''), ''), '(20[0-9]{2})', 1), '') as int), 0) as year from m)"""
+
+
+def _metas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    doc = F.col("doc_id")
+    s = doc.cast("string")
+    rows = V.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("stem"), s).alias("stem"), F.when(doc % 4 == 0, "").when(doc % 4 == 1, F.concat(F.lit("stem"), s)).otherwise(F.concat(F.lit(" Title "), s, F.lit(" "))).alias("title"),
+        F.when(doc % 3 == 0, "Doe, J; Poe, E").when(doc % 3 == 1, "").alias("author"), F.when(doc % 5 == 0, F.concat(F.lit("D:"), (1990 + doc % 30).cast("string"), F.lit("0101"))).when(doc % 5 == 1, "").alias("creationDate"),
+        F.when(doc % 2 == 0, "D:2015").alias("modDate"), F.when(doc % 7 == 0, "de").alias("language"),
+    )
+    return rows, rows.where(doc % 2 == 0).select("doc_id", F.concat(F.lit("Found "), s).alias("title"))
+
+
+def _card(books: DataFrame) -> DataFrame:
+    return books.select("doc_id", "id", "title", F.array_join("authors", "|").alias("authors"), "language", "year", "source_format", "book_type")
+
+
+@query(f"with {METAS} select *, 'pdf' as source_format, 'technical' as book_type from own")
+def pdf_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _card(M.pdf_books(_metas(spark, sf_dir)[0]))
+
+
+@query(f"with {METAS} select doc_id, '' as id, title, authors, 'en' as language, year, 'pdf' as source_format, '' as book_type from art")
+def article_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _card(M.article_books(*_metas(spark, sf_dir)))
+
+
+@query(
+    f"""with {METAS} select art.doc_id, case when own.id <> '' then own.id else '' end as id, art.title, case when own.authors <> '' then own.authors else art.authors end as authors, own.language,
+    case when coalesce(own.year, 0) <> 0 then own.year else art.year end as year, 'pdf' as source_format, 'technical' as book_type from art join own on art.doc_id = own.doc_id"""
+)
+def merged_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, titles = _metas(spark, sf_dir)
+    return _card(M.merge_books(M.article_books(rows, titles), M.pdf_books(rows)))
+
+
+@query("select * from (values ('tech-lib', 'dev'), ('tech-lib', 'ops'), ('tech-lib', 'src3')) as t(collection, domain)")
+def vocabulary_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collection's domains from a file above the folder asked for."""
+    with tempfile.TemporaryDirectory() as top:  # read by the driver at once
+        below = Path(top, "a", "b")
+        below.mkdir(parents=True)
+        Path(top, vocabulary.FILE).write_text("collections:\n  other: {domains: [x]}\n  tech-lib:\n    domains: [dev, ops, src3]\n    topics_registry: [k8s]\n")
+        return vocabulary.table(spark, below, "tech-lib")
+
+
+@query(
+    f"""with {BOOK.replace("as id, coalesce(nullif(title", "|| '-' || doc_id as id, coalesce(nullif(title").replace("string_split(text, chr(10))[1] as title", "'Book' as title")}
+    select id || '/01-book.md' as path, '---' || {NEW} || 'book_id: ' || id || {NEW} || 'chapter_no: 1' || {NEW} || 'chapter_title: Book' || {NEW} || 'sequence: 1' || {NEW} || '---' || {NEW} || {NEW} || 'c' || doc_id || {NEW} as body from card
+    union all select id || '/00-book.md', '---' || {NEW} || array_to_string(['id: ' || id, 'title: Book', {_list_sql("authors")}, {_list_sql("domains")}, {_list_sql("topics")},
+      'book_type: technical', 'source_format: null', 'language: ' || language, 'year: ' || coalesce(cast(year as varchar), 'null'), 'edition: null', 'status: unread', 'priority: high'], {NEW}) || {NEW} || '---' || {NEW} from card"""
+)
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card and a chapter of every document, written to a tree in the shared folder and read again."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quire-tree-")).rstrip("/")
+    folder = f"{root}/tree-{uuid.uuid4().hex}"
+    books = _books(spark, sf_dir).select("*").withColumn("title", F.lit("Book")).withColumn("id", F.concat(F.lit("book-"), F.col("doc_id").cast("string")))
+    chunks = books.select("doc_id", F.lit(1).alias("group_no"), F.lit(0).alias("chunk_pos"), F.lit("Book").alias("heading"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("content"), F.lit(1).alias("level"), F.lit(1).alias("group_chapter_no"))
+    write_tree(rendered(books, chunks), folder)
+    path = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1)
+    return spark.read.text(f"{folder}/*/*.md", wholetext=True).select(path.alias("path"), F.col("value").alias("body"))
+
+
+@query(
+    f"""select doc_id, 'id: ' || doc_id || {NEW} || 'tags:' || {NEW} || '  - ' || {quote_sql("source")} || {NEW} || '  - ' || {quote_sql("lang || ': x'")} || {NEW} || 'nested:' || {NEW} || '  deep:' || {NEW} || '    - a: ' || doc_id || {NEW} || '      b: null' || {NEW} || '  empty: []' || {NEW} || '  none: {{}}'
+      || {NEW} || 'flag: ' || case when doc_id % 2 = 0 then 'true' else 'false' end as yaml from documents"""
+)
+def yaml_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("string")
+    def rendered_yaml(doc: pd.Series, source: pd.Series, lang: pd.Series) -> pd.Series:
+        values = ({"id": int(d), "tags": [s, f"{x}: x"], "nested": {"deep": [{"a": int(d), "b": None}], "empty": [], "none": {}}, "flag": int(d) % 2 == 0} for d, s, x in zip(doc, source, lang, strict=True))
+        return pd.Series([render.to_yaml(v) for v in values])
+
+    return V.table(spark, sf_dir, "documents").select("doc_id", rendered_yaml("doc_id", "source", "lang").alias("yaml"))
