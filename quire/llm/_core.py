@@ -319,15 +319,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def unmix64(x: np.ndarray) -> np.ndarray:
-    """Undoes mix64."""
-    x = x ^ (x >> U64(31)) ^ (x >> U64(62))
-    x = x * U64(pow(0x94D049BB133111EB, -1, 1 << 64))
-    x = x ^ (x >> U64(27)) ^ (x >> U64(54))
-    x = x * U64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
-    return x ^ (x >> U64(30)) ^ (x >> U64(60))
-
-
 def key_store(keys: DataFrame, bits: int, label: str) -> SortedStore:
     """The distinct values of a frame's one long column (scrambled by mix64) as a store."""
 

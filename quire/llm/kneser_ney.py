@@ -9,15 +9,20 @@ buckets; workers map them into memory and look up a batch's distinct tokens and
 
 Of order 3, the second pass counts triples (two begin marks), dealt by their first two words; pairs come from the distinct triples and
 have their number of distinct predecessors as count, so they are the lower order of the triples:
-p(w | t u) = max(c(tuw) - D(c(tuw)), 0) / c(tu) + g(tu) p(w | u); a context never seen leaves the next to p(w | u).
+p(w | t u) = max(c(tuw) - D(c(tuw)), 0) / c(tu) + g(tu) p(w | u); a context never seen leaves the next to p(w | u). The contexts are
+the pairs that don't end a text (and the two begin marks), so one array of keys serves both.
+
+Numbers take few bytes: a pair of words is a number of twice a word's bits, scrambled one to one, of which a bucket keeps the
+low 32 bits in order, with a directory of the others; counts are bytes, larger ones stand apart in 64 bits; what is shuffled
+are differences, byte by byte, compressed. More than 2^32 distinct words are refused.
 
 p(w | u) = max(c(uw) - D(c(uw)), 0) / c(u) + g(u) p(w), and p(w) likewise from counts of predecessors, interpolated with
 1 / (V + 1), the share of every word and of the unknown one. D comes from counts of counts (Chen and Goodman); where these
 are too few for a discount, 0.5, 1 and 1.5 serve.
 
 Defined cases: a null or empty text is its end alone; an unknown word has the unknown word's share and, as a context, leaves
-the next to the lower order; without training rows every score is 0; repeated rows count as often as they occur; an
-empty table gives no rows; other columns are ignored.
+the next to the lower order; without training rows every score is 0; repeated rows count as often as they occur; very long
+texts are scored as one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +35,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from ._core import U64, SortedStore, bucket_bits, build_store, cuts, join_arrays, join_packed, merge_by_bucket, mix64, open_array, packed, pick, save_array, sliced, unmix64, words_of
+from ._core import U64, SortedStore, bucket_bits, build_store, cuts, merge_by_bucket, open_array, packed, pick, save_array, sliced, unpacked, words_of
+from .suffixes import ragged
 
 BEGIN, END = xxhash.xxh3_64_intdigest(b" begin"), xxhash.xxh3_64_intdigest(b" end")  # no word holds a space
 MB_EACH = 16.0
 #: Rows whose tokens are looked up together.
 ROWS = 4000
-#: Tokens whose pairs a task counts before it sends them on.
+#: Tokens whose n-grams a task counts before it sends them on.
 TOKENS = 1 << 22
+#: Keys between two stored places of followers; contexts of more followers have their figures stored.
+STEP, MANY = 32, 32
+LOW = U64(0xFFFFFFFF)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,8 +66,118 @@ def before(codes: np.ndarray, starts: np.ndarray, begin: int) -> np.ndarray:
     return out
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix64(a.astype(U64) << U64(32) | b.astype(U64))
+# ---------------------------------------------------------------- numbers in few bytes
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Unsigned numbers as their lowest bytes, then their second ones, and so on, compressed."""
+    values = np.ascontiguousarray(values, "<u8")
+    wide = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([wide]) + packed(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :wide].T))
+
+
+def unplanes(blob: bytes) -> np.ndarray:
+    wide = blob[0]
+    flat = np.frombuffer(unpacked(blob[1:]), np.uint8).reshape(wide, -1)
+    out = np.zeros((flat.shape[1], 8), np.uint8)
+    out[:, :wide] = flat.T
+    return out.reshape(-1).view("<u8").astype(U64)
+
+
+def steps(keys: np.ndarray) -> bytes:
+    return planes(np.diff(keys, prepend=U64(0)))
+
+
+def unsteps(blob: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(blob), dtype=U64)
+
+
+def joined_planes(rows: list[dict], name: str) -> np.ndarray:
+    return np.concatenate([unplanes(r[name]) for r in rows])
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    """In the fewest bytes that hold the greatest."""
+    top = int(values.max(initial=0))
+    return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
+
+
+@dataclass(frozen=True)
+class Pairs:
+    """Pairs of word numbers below 2^bits, scrambled one to one within 2 * bits bits and moved to the top of 64."""
+
+    bits: int
+
+    FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+    @classmethod
+    def of(cls, words: int) -> Pairs:
+        if words > 1 << 32:
+            raise OverflowError("more than 2^32 distinct words")
+        return cls(max(1, (words - 1).bit_length()) if words else 1)
+
+    def _mask(self, x: np.ndarray) -> np.ndarray:
+        return x if self.bits == 32 else x & U64((1 << 2 * self.bits) - 1)
+
+    def keys(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, half = a.astype(U64) << U64(self.bits) | b.astype(U64), U64(self.bits)
+        x ^= x >> half
+        for f in self.FACTORS:
+            x = self._mask(x * U64(f))
+            x ^= x >> half
+        return x << U64(64 - 2 * self.bits)
+
+    def words(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, half = keys >> U64(64 - 2 * self.bits), U64(self.bits)
+        x = x ^ x >> half
+        for f in reversed(self.FACTORS):
+            x = self._mask(x * U64(pow(f, -1, 1 << 64)))
+            x ^= x >> half
+        return (x >> half).astype(np.int64), (x & U64((1 << self.bits) - 1)).astype(np.int64)
+
+    def parts(self, bucket_bits_: int) -> int:
+        """Into how many ranges a bucket's keys are cut, so that 32 bits tell them apart."""
+        return 1 << max(0, 2 * self.bits - bucket_bits_ - 32)
+
+    def split(self, keys: np.ndarray, bucket_bits_: int) -> tuple[np.ndarray, np.ndarray]:
+        """The range within the bucket, and the low bits."""
+        x = keys >> U64(64 - 2 * self.bits)
+        return ((x >> U64(32)) & U64(self.parts(bucket_bits_) - 1)).astype(np.int64), (x & LOW).astype(np.uint32)
+
+
+def search(held: np.ndarray, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each wanted value in its own sorted range low .. high of held, and whether it is there."""
+    low, end = low.copy(), high
+    high = high.copy()
+    last = max(len(held) - 1, 0)
+    if not len(held):
+        return low, np.zeros(len(low), bool)
+    while (low < high).any():
+        mid = (low + high) >> 1
+        less = (low < high) & (held[np.minimum(mid, last)] < wanted)
+        low, high = np.where(less, mid + 1, low), np.where(less | (low >= high), high, mid)
+    return low, (low < end) & (held[np.minimum(low, last)] == wanted)
+
+
+def save_counts(uri: str, name: str, bucket: int, values: np.ndarray) -> None:
+    """Bytes; from 255 on the rest stands apart, as running sums at the places of these values."""
+    large = np.flatnonzero(values >= 255)
+    save_array(uri, f"{name}.{bucket}", np.minimum(values, 255).astype(np.uint8))
+    save_array(uri, f"{name}at.{bucket}", large)
+    save_array(uri, f"{name}more.{bucket}", np.append(0, np.cumsum(values[large].astype(np.int64) - 255)))
+
+
+def counts_at(uri: str, name: str, bucket: int, places: np.ndarray) -> np.ndarray:
+    return open_array(uri, f"{name}.{bucket}")[places] + counts_between(uri, name, bucket, places, places + 1)
+
+
+def counts_between(uri: str, name: str, bucket: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """What the bytes from low to high lack."""
+    large, more = open_array(uri, f"{name}at.{bucket}"), open_array(uri, f"{name}more.{bucket}")
+    return more[np.searchsorted(large, high)] - more[np.searchsorted(large, low)]
+
+
+# ---------------------------------------------------------------- the model
 
 
 def discounts(counts: list[int]) -> np.ndarray:
@@ -77,66 +196,92 @@ def _times(counts: np.ndarray) -> list[int]:
 
 @dataclass(frozen=True)
 class PairStore:
-    """The pairs' arrays, beside those of the words."""
+    """The pairs' arrays, beside those of the words: keys and counts, and of order 3 each pair's followers."""
 
     uri: str
     bits: int
     sizes: tuple[int, ...]
+    code: Pairs
+    kinds: int  # pairs; the two begin marks are a key and no pair
+    discounts: np.ndarray | None = None  # of the triples
 
     def __len__(self) -> int:
-        return sum(self.sizes)
+        return self.kinds
 
-    def get(self, keys: np.ndarray, name: str, dtype) -> np.ndarray:
-        wanted, back = np.unique(keys, return_inverse=True)
-        out = np.zeros(len(wanted), dtype)
-        at = cuts(wanted, self.bits)
-        for b in np.flatnonzero(np.diff(at)):
+    def places(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each bucket that has some of the sorted distinct keys: which of them, and their places there."""
+        at = cuts(keys, self.bits)
+        for b in np.flatnonzero(np.diff(at)).tolist():
             if self.sizes[b]:
-                held, part = open_array(self.uri, f"pk.{b}"), wanted[at[b] : at[b + 1]]
-                i = np.searchsorted(held, part)
-                i[i == len(held)] = 0
-                out[at[b] : at[b + 1]] = np.where(held[i] == part, open_array(self.uri, f"p{name}.{b}")[i], 0)
-        return out[back]
+                part, low = self.code.split(keys[at[b] : at[b + 1]], self.bits)
+                begin = open_array(self.uri, f"pd.{b}")
+                place, hit = search(open_array(self.uri, f"pk.{b}"), low, begin[part], begin[part + 1])
+                yield b, np.flatnonzero(hit) + at[b], place[hit]
 
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        wanted, back = np.unique(keys, return_inverse=True)
+        out = np.zeros(len(wanted))
+        for b, which, place in self.places(wanted):
+            out[which] = counts_at(self.uri, "pn", b, place)
+        return out[back]
 
-@dataclass(frozen=True)
-class TripleStore:
-    """The triples' arrays: contexts (scrambled pairs) with their figures, and each one's followers in order."""
-
-    uri: str
-    bits: int
-    sizes: tuple[int, ...]
-    discounts: np.ndarray
+    def _followers(self, b: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the followers of pairs begin, and their numbers."""
+        sizes = open_array(self.uri, f"tf.{b}")
+        base = place // STEP * STEP
+        before = base[:, None] + np.arange(STEP)
+        inside = np.where(before < place[:, None], sizes[np.minimum(before, len(sizes) - 1)], 0).sum(axis=1, dtype=np.int64)
+        begin = open_array(self.uri, f"ts.{b}")[place // STEP] + inside + counts_between(self.uri, "tf", b, base, place)
+        return begin, counts_at(self.uri, "tf", b, place)
 
     def shares(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each context and word (-1: unknown) the discounted share of the word, and that of the lower order (1 for a new context)."""
         own, rest = np.zeros(len(contexts)), np.ones(len(contexts))
         order = np.argsort(contexts)
         ranked, d = contexts[order], self.discounts
-        at = cuts(ranked, self.bits)
-        for b in np.flatnonzero(np.diff(at)):
-            if not self.sizes[b]:
+        distinct = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.empty(0, np.int64)
+        ends = np.append(distinct[1:], len(ranked))
+        for b, which, place in self.places(ranked[distinct]):
+            begin, n = self._followers(b, place)
+            some = n > 0
+            which, place, begin, n = which[some], place[some], begin[some], n[some]
+            if not len(which):
                 continue
-            rows, part = order[at[b] : at[b + 1]], ranked[at[b] : at[b + 1]]
-            keys = open_array(self.uri, f"tk.{b}")
-            i = np.searchsorted(keys, part)
-            i[i == len(keys)] = 0
-            hit = keys[i] == part
-            rows, i = rows[hit], i[hit]
-            first, followers = open_array(self.uri, f"tf.{b}"), open_array(self.uri, f"tw.{b}")
-            total, n1, n2 = (open_array(self.uri, f"{n}.{b}")[i].astype(np.float64) for n in ("tt", "t1", "t2"))
-            low, end = first[i].astype(np.int64), first[i + 1].astype(np.int64)
-            rest[rows] = (d[1] * n1 + d[2] * n2 + d[3] * (end - low - n1 - n2)) / total
-            high, w = end.copy(), words[rows]
-            while (low < high).any():
-                mid = (low + high) >> 1
-                less = (low < high) & (followers[np.minimum(mid, len(followers) - 1)] < w)
-                low, high = np.where(less, mid + 1, low), np.where(less | (low >= high), high, mid)
-            place = np.minimum(low, len(followers) - 1)
-            c = np.where((low < end) & (followers[place] == w), open_array(self.uri, f"tc.{b}")[place], 0).astype(np.float64)
-            own[rows] = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / total
+            total, n1, n2 = np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n))
+            many = n > MANY
+            stored = np.searchsorted(open_array(self.uri, f"tb.{b}"), place[many])
+            for v, name in ((total, "tt"), (n1, "t1"), (n2, "t2")):
+                v[many] = open_array(self.uri, f"{name}.{b}")[stored]
+            few = np.flatnonzero(~many)
+            if len(few):
+                c = counts_at(self.uri, "tc", b, ragged(begin[few], n[few]))
+                start = np.cumsum(n[few]) - n[few]
+                for v, x in ((total, c), (n1, c == 1), (n2, c == 2)):
+                    v[few] = np.add.reduceat(x, start, dtype=np.int64)
+            lower = (d[1] * n1 + d[2] * n2 + d[3] * (n - n1 - n2)) / total
+            # every token after one of these contexts
+            size = (ends - distinct)[which]
+            rows = order[ragged(distinct[which], size)]
+            of = np.repeat(np.arange(len(which)), size)
+            rest[rows] = lower[of]
+            found, hit = self._search(b, words[rows], begin[of], (begin + n)[of])
+            c = np.zeros(len(rows))
+            c[hit] = counts_at(self.uri, "tc", b, found[hit])
+            own[rows] = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / total[of]
         return own, rest
 
+    def _search(self, b: int, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words among followers, which are kept as their low 16 bits and the others."""
+        lows, highs = open_array(self.uri, f"tw.{b}"), open_array(self.uri, f"tx.{b}")
+        last = len(lows) - 1
+        value = (lambda i: highs[i].astype(np.int64) << 16 | lows[i]) if len(highs) else (lambda i: lows[i].astype(np.int64))
+        end, low, high = high, low.copy(), high.copy()
+        while (low < high).any():
+            mid = (low + high) >> 1
+            less = (low < high) & (value(np.minimum(mid, last)) < words)
+            low, high = np.where(less, mid + 1, low), np.where(less | (low >= high), high, mid)
+        return low, (low < end) & (value(np.minimum(low, last)) == words)
+
 
 @dataclass(frozen=True)
 class Model:
@@ -146,7 +291,6 @@ class Model:
     pair_discounts: np.ndarray
     word_discounts: np.ndarray
     word_times: tuple[int, ...]  # words of one, two, and more predecessors
-    triples: TripleStore | None = None  # of order 3
 
     @property
     def vocabulary(self) -> int:
@@ -169,7 +313,7 @@ class Model:
         known = (place[codes] >= 0) & (f["total"][prev] > 0)
         if known.any():
             u, w = prev[known], codes[known]
-            c = self.pairs.get(mix64(place[u].astype(U64) << U64(32) | place[w].astype(U64)), "n", np.float64)
+            c = self.pairs.counts(self.pairs.code.keys(place[u], np.maximum(place[w], 0)))
             d = self.pair_discounts
             total = f["total"]
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -180,10 +324,10 @@ class Model:
         if unknown.any():
             d, u = self.pair_discounts, prev[unknown]
             p[unknown] = (d[1] * f["n1"][u] + d[2] * f["n2"][u] + d[3] * f["n3"][u]) / f["total"][u] * low[codes[unknown]]
-        if self.triples is not None:
+        if self.pairs.discounts is not None:
             t = before(prev, starts, len(hashes) - 1)
             found = np.flatnonzero((place[t] >= 0) & (place[prev] >= 0))
-            own, rest = self.triples.shares(_pair(place[t[found]], place[prev[found]]), place[codes[found]])
+            own, rest = self.pairs.shares(self.pairs.code.keys(place[t[found]], place[prev[found]]), place[codes[found]])
             p[found] = own + rest * p[found]
         seen = f["n"][codes]
         base = np.log10((seen + 1.0) / (self.tokens + self.vocabulary + 1.0))
@@ -196,61 +340,49 @@ class Model:
         }
 
 
-def _scatter(keys: np.ndarray, counts: np.ndarray, bits: int, kind) -> pa.RecordBatch:
+def _scatter(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted distinct keys by bucket, and their counts."""
     at = cuts(keys, bits)
     full = np.flatnonzero(np.diff(at))
-    counts = counts.astype(kind)
-    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array([v[at[b] : at[b + 1]].tobytes() for b in full], pa.binary()) for v in (keys, counts)]], names=["bucket", "keys", "n"])
-
-
-def _steps(own: np.ndarray, bucket: int, bits: int) -> bytes:
-    steps = np.diff(own, prepend=U64(bucket) << U64(64 - bits))
-    wide = 8 if int(steps.max()) >> 48 else 6
-    return bytes([wide]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
-
-
-def _scatter_pairs(keys: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Distinct keys by bucket as six-byte differences where these suffice; counts by how often: most occur once."""
-    keys, counts = np.unique(keys, return_counts=True)
-    at = cuts(keys, bits)
-    full = np.flatnonzero(np.diff(at))
-    blobs = []
-    for b in full:
-        blobs.append(_steps(keys[at[b] : at[b + 1]], int(b), bits))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary()), pa.array([packed(counts[at[b] : at[b + 1]].astype(np.uint32)) for b in full], pa.binary())], names=["bucket", "keys", "n"]
-    )
-
-
-def _pairs_of(blob: bytes, bucket: int, bits: int) -> np.ndarray:
-    wide = blob[0]
-    steps = np.zeros((len(blob) // wide, 8), np.uint8)
-    steps[:, :wide] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, wide)
-    return np.cumsum(steps.reshape(-1).view("<u8").astype(U64), dtype=U64) + (U64(bucket) << U64(64 - bits))
+    part = [slice(at[b], at[b + 1]) for b in full]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([steps(keys[x]) for x in part], pa.binary()), pa.array([planes(counts[x]) for x in part], pa.binary())], names=["bucket", "keys", "n"])
 
 
-def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts (or how often they occur)."""
+    if counts is None:
+        keys, counts = np.unique(keys, return_counts=True)
+        return keys, counts.astype(np.int64)
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
+    keys, counts = keys[order], counts[order].astype(np.int64)
     start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
     return keys[start], np.add.reduceat(counts, start) if len(start) else counts
 
 
-def _scatter_triples(contexts: np.ndarray, words: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Distinct triples by the bucket of their context, coded like pairs, with their last words."""
+def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    return _distinct(np.concatenate([unsteps(r["keys"]) for r in rows]), joined_planes(rows, "n"))
+
+
+def _distinct_triples(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((words, contexts))
     contexts, words = contexts[order], words[order]
-    new = np.flatnonzero(np.append(True, (contexts[1:] != contexts[:-1]) | (words[1:] != words[:-1])))
-    counts = np.diff(np.append(new, len(contexts))).astype(np.uint32)
-    contexts, words = contexts[new], words[new]
+    start = np.flatnonzero(np.append(True, (contexts[1:] != contexts[:-1]) | (words[1:] != words[:-1]))) if len(contexts) else np.empty(0, np.int64)
+    n = np.diff(np.append(start, len(contexts))) if counts is None else np.add.reduceat(counts[order].astype(np.int64), start) if len(start) else counts
+    return contexts[start], words[start], n
+
+
+def _scatter_triples(contexts: np.ndarray, words: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Distinct triples by the bucket of their context: contexts, their numbers of followers, these and their counts."""
+    contexts, words, counts = _distinct_triples(contexts, words)
     at = cuts(contexts, bits)
     full = np.flatnonzero(np.diff(at))
-    part = [slice(at[b], at[b + 1]) for b in full]
-    keys = [_steps(contexts[x], int(b), bits) for b, x in zip(full, part, strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(full.astype(np.int32)), pa.array(keys, pa.binary()), pa.array([words[x].tobytes() for x in part], pa.binary()), pa.array([packed(counts[x]) for x in part], pa.binary())],
-        names=["bucket", "keys", "words", "n"],
-    )
+    columns: list[list[bytes]] = [[], [], [], []]
+    for b in full:
+        x = slice(at[b], at[b + 1])
+        own, followers = np.unique(contexts[x], return_counts=True)
+        for column, blob in zip(columns, (steps(own), planes(followers), planes(words[x]), planes(counts[x])), strict=True):
+            column.append(blob)
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "keys", "followers", "words", "n"])
 
 
 def learn(docs: DataFrame, order: int = 2) -> Model:
@@ -261,34 +393,41 @@ def learn(docs: DataFrame, order: int = 2) -> Model:
     bits = bucket_bits(docs, MB_EACH)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in sliced(batches, ROWS):
             hashes, codes, _ = tokens(batch.column(0))
-            counts = np.bincount(codes, minlength=len(hashes))
-            counts[-1] = 1  # the begin mark is kept, and counts for nothing
-            order = np.argsort(hashes)
-            order = order[counts[order] > 0]
-            counts[-1] = 0
-            yield _scatter(hashes[order], counts[order], bits, np.int64)
+            counts = np.bincount(codes, minlength=len(hashes))  # the begin mark is kept, and counts for nothing
+            keep = (counts > 0) | (hashes == BEGIN)
+            held.append((hashes[keep], counts[keep]))
+            size += len(codes)
+            if size >= TOKENS:
+                yield _scatter(*_distinct(*map(np.concatenate, zip(*held, strict=True))), bits)
+                held, size = [], 0
+        if held:
+            yield _scatter(*_distinct(*map(np.concatenate, zip(*held, strict=True))), bits)
 
     def merge_words(rows: list[dict]) -> tuple:
-        keys, n = _added(join_arrays(rows, "keys", U64), join_arrays(rows, "n", np.int64))
-        return keys, {"n": n}, [n.sum()]
+        keys, n = _merged(rows) if rows else (np.empty(0, U64), np.empty(0, np.int64))
+        return keys, {"n": narrow(n)}, [n.sum()]
 
     words = build_store(docs.mapInArrow(count_words, "bucket int, keys binary, n binary"), bits, "words", merge_words)
     n_tokens = words.stats[0] if words.stats else 0
     first = words.offsets
+    code = Pairs.of(len(words))
+    begin, end = words.index(np.array([BEGIN, END], U64)).tolist()
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in sliced(batches, ROWS):
             hashes, codes, starts = tokens(batch.column(0))
-            place = words.index(hashes).astype(U64)
-            held.append(mix64(place[before(codes, starts, len(hashes) - 1)] << U64(32) | place[codes]))
+            place = words.index(hashes)
+            held.append(code.keys(place[before(codes, starts, len(hashes) - 1)], place[codes]))
             if sum(map(len, held)) >= TOKENS:
-                yield _scatter_pairs(np.concatenate(held), bits)
+                yield _scatter(*_distinct(np.concatenate(held)), bits)
                 held = []
         if held:
-            yield _scatter_pairs(np.concatenate(held), bits)
+            yield _scatter(*_distinct(np.concatenate(held)), bits)
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -296,50 +435,71 @@ def learn(docs: DataFrame, order: int = 2) -> Model:
             hashes, codes, starts = tokens(batch.column(0))
             place = words.index(hashes)
             prev = before(codes, starts, len(hashes) - 1)
-            held.append((_pair(place[before(prev, starts, len(hashes) - 1)], place[prev]), place[codes].astype(np.uint32)))
+            held.append((code.keys(place[before(prev, starts, len(hashes) - 1)], place[prev]), place[codes].astype(np.uint32)))
             if sum(len(c) for c, _ in held) >= TOKENS:
                 yield _scatter_triples(*map(np.concatenate, zip(*held, strict=True)), bits)
                 held = []
         if held:
             yield _scatter_triples(*map(np.concatenate, zip(*held, strict=True)), bits)
 
+    last = 1 << bits  # a bucket of its own for sizes and counts of counts
+
     def merge_triples(bucket: int, rows: list[dict]) -> Iterator[dict]:
-        contexts = np.concatenate([_pairs_of(r["keys"], bucket, bits) for r in rows])
-        word, n = join_arrays(rows, "words", np.uint32), join_packed(rows, "n", np.uint32).astype(np.int64)
-        rank = np.lexsort((word, contexts))
-        contexts, word, n = contexts[rank], word[rank], n[rank]
-        start = np.flatnonzero(np.append(True, (contexts[1:] != contexts[:-1]) | (word[1:] != word[:-1])))
-        contexts, word, n = contexts[start], word[start], np.add.reduceat(n, start)
+        contexts = np.concatenate([np.repeat(unsteps(r["keys"]), unplanes(r["followers"]).astype(np.int64)) for r in rows])
+        contexts, word, n = _distinct_triples(contexts, joined_planes(rows, "words"), joined_planes(rows, "n"))
         at = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1]))
-        top = 0xFFFFFFFF
-        save_array(words.uri, f"tk.{bucket}", contexts[at])
-        save_array(words.uri, f"tf.{bucket}", np.append(at, len(contexts)).astype(np.uint32))
-        save_array(words.uri, f"tw.{bucket}", word)
-        save_array(words.uri, f"tc.{bucket}", np.minimum(n, top).astype(np.uint32))
-        for name, v in (("tt", n), ("t1", (n == 1).astype(np.int64)), ("t2", (n == 2).astype(np.int64))):
-            save_array(words.uri, f"{name}.{bucket}", np.minimum(np.add.reduceat(v, at), top).astype(np.uint32))
-        yield {"bucket": last, "keys": b"", "n": np.array([bucket, len(at), *_times(n)], np.int64).tobytes()}
-        yield from _scatter_pairs(mix64((unmix64(contexts) & U64(0xFFFFFFFF)) << U64(32) | word.astype(U64)), bits).to_pylist()
+        followers = np.diff(np.append(at, len(contexts)))
+        uri = words.uri
+        save_array(uri, f"tw.{bucket}", word.astype(np.uint16))
+        save_array(uri, f"tx.{bucket}", narrow(word >> U64(16)) if code.bits > 16 else np.empty(0, np.uint8))
+        save_counts(uri, "tc", bucket, n)
+        # for merge_pairs, which knows the contexts themselves: their numbers of followers, and figures of those of many
+        many = np.flatnonzero(followers > MANY)
+        sums = [np.add.reduceat(v, at)[many] for v in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64))]
+        save_array(uri, f"tn.{bucket}", np.frombuffer(planes(followers), np.uint8))
+        for name, v in zip(("tt", "t1", "t2"), sums, strict=True):
+            save_array(uri, f"{name}.{bucket}", narrow(v))
+        yield {"bucket": last, "keys": b"", "n": np.array(_times(n), np.int64).tobytes()}
+        pairs = _distinct(code.keys(code.words(contexts)[1], word))
+        yield from _scatter(*pairs, bits).to_pylist()
+        yield {"bucket": bucket, "keys": b"", "n": b""}  # so that merge_pairs sees every bucket that has contexts
 
     columns = "bucket int, size long, stats binary, context binary, total binary, n1 binary, n2 binary, n3 binary, word binary, times binary"
     names = [c.split()[0] for c in columns.split(", ")]
-    last = 1 << bits  # a bucket of its own for sizes and counts of counts
+    marks = code.keys(np.array([begin]), np.array([begin])) if begin >= 0 else np.empty(0, U64)
 
     def merge_pairs(bucket: int, rows: list[dict]) -> Iterator[dict]:
+        empty = dict.fromkeys(names[2:], b"")
         if bucket == last:  # figures of the triples are passed on
             for r in rows:
-                own = np.frombuffer(r["n"], np.int64)
-                yield dict.fromkeys(names[2:], b"") | {"bucket": last, "size": -1 - int(own[0]), "stats": own[1:].tobytes()}
+                yield empty | {"bucket": last, "size": -1, "stats": r["n"]}
             return
-        keys, n = _added(np.concatenate([_pairs_of(r["keys"], bucket, bits) for r in rows]), join_packed(rows, "n", np.uint32).astype(np.int64))
-        save_array(words.uri, f"pk.{bucket}", keys)
-        save_array(words.uri, f"pn.{bucket}", np.minimum(n, 0xFFFFFFFF).astype(np.uint32))
-        empty = dict.fromkeys(names[2:], b"")
-        yield empty | {"bucket": last, "size": bucket, "stats": np.array([len(keys), *_times(n)], np.int64).tobytes()}
-        pair = unmix64(keys)
-        context, word = (pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.int64)
-        order = np.argsort(context)
-        context, n = context[order], n[order]
+        uri = words.uri
+        has_contexts = any(not r["keys"] for r in rows)
+        rows = [r for r in rows if r["keys"]]
+        keys, n = _merged(rows) if rows else (np.empty(0, U64), np.empty(0, np.int64))
+        kinds, kept, kept_n = len(keys), keys, n
+        if order == 3 and len(marks) and int(marks[0] >> U64(64 - bits)) == bucket:
+            kept, kept_n = _distinct(np.append(keys, marks), np.append(n, 0))
+        part, low = code.split(kept, bits)
+        save_array(uri, f"pd.{bucket}", np.searchsorted(part, np.arange(code.parts(bits) + 1)))
+        save_array(uri, f"pk.{bucket}", low)
+        save_counts(uri, "pn", bucket, kept_n)
+        if order == 3:
+            followers = np.zeros(len(kept), np.int64)
+            if has_contexts:
+                own = unplanes(open_array(uri, f"tn.{bucket}").tobytes()).astype(np.int64)
+                continued = np.flatnonzero(code.words(kept)[1] != end)
+                if len(continued) != len(own):
+                    raise RuntimeError(f"{len(own)} contexts and {len(continued)} pairs that go on")
+                followers[continued] = own
+            save_counts(uri, "tf", bucket, followers)
+            save_array(uri, f"ts.{bucket}", (np.cumsum(followers) - followers)[::STEP])
+            save_array(uri, f"tb.{bucket}", np.flatnonzero(followers > MANY))
+        yield empty | {"bucket": last, "size": bucket, "stats": np.array([len(kept), kinds, *_times(n)], np.int64).tobytes()}
+        context, word = code.words(keys)
+        rank = np.argsort(context)
+        context, n = context[rank], n[rank]
         at = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else context
         sums = [np.add.reduceat(v, at) if len(at) else at for v in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))]
         context = context[at]
@@ -347,40 +507,45 @@ def learn(docs: DataFrame, order: int = 2) -> Model:
         c, w = np.searchsorted(context, first), np.searchsorted(word, first)
         for b in np.flatnonzero(np.diff(c) + np.diff(w)):
             x, y = slice(c[b], c[b + 1]), slice(w[b], w[b + 1])
-            part = {"context": context[x].astype(np.uint32), "word": word[y].astype(np.uint32), "times": times[y].astype(np.uint32)} | {k: v[x].astype(np.uint32) for k, v in zip(("total", "n1", "n2", "n3"), sums, strict=True)}
-            yield empty | {"bucket": int(b), "size": 0} | {k: v.tobytes() for k, v in part.items()}
+            found = {"context": steps(context[x].astype(U64)), "word": steps(word[y].astype(U64)), "times": planes(times[y])} | {k: planes(v[x]) for k, v in zip(("total", "n1", "n2", "n3"), sums, strict=True)}
+            yield empty | {"bucket": int(b), "size": 0} | found
 
     def finish(bucket: int, rows: list[dict]) -> Iterator[dict]:
         if bucket == last:
             for r in rows:
-                yield {"bucket": int(r["size"]) if r["size"] >= 0 else -1 - int(r["size"]), "kind": 0 if r["size"] >= 0 else 2, "stats": np.frombuffer(r["stats"], np.int64).tolist()}
+                yield {"bucket": int(r["size"]), "kind": 0 if r["size"] >= 0 else 2, "stats": np.frombuffer(r["stats"], np.int64).tolist()}
             return
         n, base = words.sizes[bucket], int(first[bucket])
-        context = join_arrays(rows, "context", np.uint32).astype(np.int64) - base
+
+        def added(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+            out = np.zeros(n, np.int64)
+            np.add.at(out, at, values.astype(np.int64))
+            return out
+
+        context, word = (np.concatenate([unsteps(r[k]) for r in rows]).astype(np.int64) - base for k in ("context", "word"))
         for name in ("total", "n1", "n2", "n3"):
-            save_array(words.uri, f"{name}.{bucket}", np.bincount(context, join_arrays(rows, name, np.uint32), minlength=n))
-        times = np.bincount(join_arrays(rows, "word", np.uint32).astype(np.int64) - base, join_arrays(rows, "times", np.uint32), minlength=n)
-        save_array(words.uri, f"before.{bucket}", times)
+            save_array(words.uri, f"{name}.{bucket}", narrow(added(context, joined_planes(rows, name))))
+        times = added(word, joined_planes(rows, "times"))
+        save_array(words.uri, f"before.{bucket}", narrow(times))
         yield {"bucket": bucket, "kind": 1, "stats": [*_times(times), int((times > 2).sum())]}
 
     if order == 3:
-        found = merge_by_bucket(docs.mapInArrow(count_triples, "bucket int, keys binary, words binary, n binary"), bits, merge_triples, "bucket int, keys binary, n binary")
+        found = merge_by_bucket(docs.mapInArrow(count_triples, "bucket int, keys binary, followers binary, words binary, n binary"), bits, merge_triples, "bucket int, keys binary, n binary")
     else:
         found = docs.mapInArrow(count_pairs, "bucket int, keys binary, n binary")
     pairs = merge_by_bucket(found, bits, merge_pairs, columns)
-    sizes, pair_times, word_times = [0] * last, [0] * 4, [0] * 5
-    triple_sizes, triple_times = [0] * last, [0] * 4
+    sizes, kinds, pair_times, word_times, triple_times = [0] * last, 0, [0] * 4, [0] * 5, [0] * 4
     for r in merge_by_bucket(pairs, bits, finish, "bucket int, kind int, stats array<long>").collect():
         if r["kind"] == 2:
-            triple_sizes[r["bucket"]] = r["stats"][0]
-            triple_times = [a + b for a, b in zip(triple_times, r["stats"][1:], strict=True)]
+            triple_times = [a + b for a, b in zip(triple_times, r["stats"], strict=True)]
         elif r["kind"]:
             word_times = [a + b for a, b in zip(word_times, r["stats"], strict=True)]
         else:
             sizes[r["bucket"]] = r["stats"][0]
-            pair_times = [a + b for a, b in zip(pair_times, r["stats"][1:], strict=True)]
-    triples = TripleStore(words.uri, bits, tuple(triple_sizes), discounts(triple_times)) if order == 3 else None
-    return Model(words, PairStore(words.uri, bits, tuple(sizes)), n_tokens, discounts(pair_times), discounts(word_times[:4]), (word_times[0], word_times[1], word_times[4]), triples)
+            kinds += r["stats"][1]
+            pair_times = [a + b for a, b in zip(pair_times, r["stats"][2:], strict=True)]
+    store = PairStore(words.uri, bits, tuple(sizes), code, kinds, discounts(triple_times) if order == 3 else None)
+    return Model(words, store, n_tokens, discounts(pair_times), discounts(word_times[:4]), (word_times[0], word_times[1], word_times[4]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from quire.llm import kneser_ney as kn
-from quire.llm._core import mix64, unmix64
 
 from . import cases
 
@@ -70,7 +69,10 @@ def test_model_equals_brute_force(spark, monkeypatch, mb):
         assert sum(slow.p(u, w) for w in [*slow.uni, "never-seen-either"]) == pytest.approx(1)
 
 
-def test_order_three_equals_brute_force(spark):
+@pytest.mark.parametrize("mb,many", [(16.0, 32), (0.001, 1)])
+def test_order_three_equals_brute_force(spark, monkeypatch, mb, many):
+    monkeypatch.setattr(kn, "MB_EACH", mb)
+    monkeypatch.setattr(kn, "MANY", many)
     rows = cases.odd_rows() + [(200 + i, cases.prose(i % 13, 50 + i), "en", "s", 1) for i in range(30)]
     df = spark.createDataFrame(rows, cases.SCHEMA).repartition(4)
     tri = Counter()
@@ -119,6 +121,33 @@ def test_odd_empty_and_untaught(spark):
     assert kn.score(cases.empty(spark), model).count() == 0
 
 
-def test_scrambling_is_undone():
-    x = np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64)
-    assert np.array_equal(unmix64(mix64(x)), x)
+@pytest.mark.parametrize("bits", [1, 3, 17, 21, 32])
+def test_pairs_are_scrambled_one_to_one(bits):
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(0, 1 << bits, 1000) for _ in range(2))
+    code = kn.Pairs(bits)
+    keys = code.keys(a, b)
+    back = code.words(keys)
+    assert np.array_equal(back[0], a) and np.array_equal(back[1], b)
+    assert len(np.unique(keys)) == len(set(zip(a.tolist(), b.tolist())))
+    for bucket_bits in (2, 5, 14):
+        ranked = np.sort(np.unique(keys))
+        bucket = ranked >> np.uint64(64 - bucket_bits)
+        part, low = code.split(ranked, bucket_bits)
+        assert (part < code.parts(bucket_bits)).all() and len(set(zip(bucket.tolist(), part.tolist(), low.tolist()))) == len(ranked)
+        order = np.lexsort((low, part, bucket))
+        assert np.array_equal(order, np.arange(len(ranked)))
+    with pytest.raises(OverflowError):
+        kn.Pairs.of((1 << 32) + 1)
+
+
+def test_numbers_come_back(tmp_path):
+    for values in ([], [0], [1, 2, 300, 1 << 40], list(range(1000)), [(1 << 64) - 1, 0]):
+        x = np.array(values, np.uint64)
+        assert np.array_equal(kn.unplanes(kn.planes(x)), x)
+        assert np.array_equal(kn.unsteps(kn.steps(np.sort(x))), np.sort(x))
+        assert np.array_equal(kn.narrow(x).astype(np.uint64), x)
+    n = np.array([1, 255, 3, 1 << 33, 254, 0, 256, 7], np.int64)
+    kn.save_counts(str(tmp_path), "c", 0, n)
+    at = np.array([3, 0, 6, 1, 4, 3])
+    assert np.array_equal(kn.counts_at(str(tmp_path), "c", 0, at), n[at])
