@@ -85,9 +85,11 @@ def texts(column: pa.Array) -> list[str]:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset, as in tests, a folder of this machine."""
+    """spark.checkpoint.dir; only where it is unset and all workers are on this machine, as in tests, a folder of it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -138,14 +140,17 @@ def save_array(uri: str, name: str, values: np.ndarray) -> None:
 
 
 _OPEN: dict[tuple[str, str], np.ndarray] = {}
+#: Arrays that a worker process keeps mapped; systems allow some 65,000 mappings.
+MAPPED = 1 << 14
 
 
 def open_array(uri: str, name: str) -> np.ndarray:
-    """Memory-mapped; one mapping for each worker process."""
+    """Memory-mapped; one mapping for each worker process. The ones opened first go when there are too many."""
     key = (uri, name)
     if key not in _OPEN:
-        if len(_OPEN) > 4096:
-            _OPEN.clear()
+        if len(_OPEN) >= MAPPED:
+            for old in list(_OPEN)[: MAPPED // 4]:
+                del _OPEN[old]
         path = local_path(uri)
         if path:
             _OPEN[key] = _mapped(f"{path}/{name}.npy")
@@ -174,8 +179,13 @@ def _mapped(path: str) -> np.ndarray:
 # ---------------------------------------------------------------- buckets
 
 
-def bucket_bits(df: DataFrame, mb_each: float, least: int = 2, most: int = 14) -> int:
-    """log2 of a number of buckets in proportion to the size of what df reads."""
+#: Tasks of a merge at most; where there are more buckets, a task merges several, one after another.
+MERGES = 1 << 14
+
+
+def bucket_bits(df: DataFrame, mb_each: float, least: int = 2, most: int = 17) -> int:
+    """log2 of a number of buckets in proportion to the size of what df reads. From 2^most on (0.8 GB of input a bucket at 100 TB, of which
+    a store keeps a part) buckets grow, since each batch sends a row to each."""
     exact = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if exact >= 2.0**60:  # the planner doesn't know
         exact = float(df.select(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(8)).alias("n")).agg(F.sum("n")).first()[0] or 0)
@@ -193,7 +203,8 @@ def cuts(sorted_keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def merge_by_bucket(df: DataFrame, bits: int, merge: Callable[[int, list[dict]], Iterator[dict]], schema: str) -> DataFrame:
-    """df has an int column `bucket` and binary columns. Rows of a bucket come together, one bucket at a time in memory."""
+    """df has an int column `bucket` and binary columns. Rows of a bucket come together, one bucket at a time in memory; the sort that
+    brings them together spills."""
     names = df.columns
     out_schema = _arrow_schema(df.sparkSession, schema)
 
@@ -210,7 +221,7 @@ def merge_by_bucket(df: DataFrame, bits: int, merge: Callable[[int, list[dict]],
         if at is not None:
             yield from _emit(merge(at, held), out_schema)
 
-    return df.select(*names).repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return df.select(*names).repartition(min(1 << bits, MERGES), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 def _emit(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@ range, the least rank of a pair of neighbours and, among equals, the leftmost; a
 neighbours and updates three leaves, each in logarithmic time, so that one very long match costs n log n.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; special-token strings are ordinary text; repeated
-rows are encoded row by row; an empty table gives no rows; other columns are ignored.
+rows are encoded row by row; very long texts and matches are encoded whole; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ profile, of the difference of ranks, or TOP where the language lacks the n-gram;
 language's name. The score is 1 - distance / greatest possible distance.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, and so is all where nothing was learned;
-rows without a language teach nothing; repeated rows count as often as they occur; an empty table gives no rows; other
-columns are ignored.
+rows without a language teach nothing; repeated rows count as often as they occur; very long texts are counted whole; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
