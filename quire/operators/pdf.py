@@ -51,9 +51,12 @@ def profile(spans: DataFrame, drawings: DataFrame | None = None) -> DataFrame:
     """doc_id, type, body_size (a tenth), encoding_ok, page_count, has_index, drawing_clusters. A line's end counts as a character. The last
     page is the last one with a row of any kind; a document without text has the default size."""
     cells = F.array_sort(F.collect_list(F.when(F.col("block_type") == 0, F.struct("span_no", "text"))))
-    rows = together(spans).groupBy("doc_id", "page_no", "block_no", "line_no").agg(F.array_join(F.transform(cells, lambda x: x["text"]), "").alias("text"), F.max("block_type").alias("kind"))
+    rows = together(spans).groupBy("doc_id", "page_no", "block_no", "line_no").agg(F.array_join(F.transform(cells, lambda x: x["text"]), "").alias("text"), F.max("block_type").alias("kind"), F.collect_list(F.when(F.col("block_type") == 0, F.col("size"))).alias("sizes"))
     # rows without text (images, page marks) count pages, and keep documents that have no text
     last = rows.withColumn("pages", (F.max("page_no").over(Window.partitionBy("doc_id")) + 1).cast("int"))
+    # the spans of body_size_median, from the same rows
+    before = Window.partitionBy("doc_id").orderBy("page_no").rangeBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("sample", F.when(F.coalesce(F.sum(F.size("sizes")).over(before), F.lit(0)) <= 200, F.col("sizes")))
     words = F.col("kind") == 0
     strange = F.regexp_count("text", F.lit("[^\\x00-\\x7F\\x{4E00}-\\x{9FFF}]"))
     early = words & (F.col("page_no") < 5)
@@ -62,8 +65,10 @@ def profile(spans: DataFrame, drawings: DataFrame | None = None) -> DataFrame:
         F.coalesce(F.sum(F.when(early, strange)), F.lit(0)).alias("strange"),
         F.coalesce(F.sum(F.when(early, F.char_length("text") + 1)), F.lit(0)).alias("chars"),
         F.bool_or(words & (F.col("page_no") >= F.col("pages") - 20) & matches(F.col("text"), "(?m)" + P.INDEX_LINE)).alias("has_index"),
+        F.array_sort(F.flatten(F.collect_list("sample"))).alias("sample"),
     )
-    out = out.join(body_size_median(spans), "doc_id", "left")
+    middle = F.get("sample", F.floor(F.size("sample") / 2).cast("int"))  # null of no spans
+    out = out.withColumn("body_size", middle)
     if drawings is None:
         out = out.withColumn("drawing_clusters", F.lit(0))
     else:
