@@ -23,18 +23,17 @@ Defined cases: null and empty texts have no term; very long texts are one vector
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import U64, SortedStore, bucket_bits, build_store, cuts, join_arrays, merge_by_bucket, open_array, pick, rewrite_rows, save_array, settled, sliced, texts
+from ._core import U64, SortedStore, bucket_bits, build_store, cuts, join_arrays, merge_by_bucket, open_array, pick, rewrite_rows, save_array, settled, sliced
 from .suffixes import ragged
 
 PER_CLASS, NEIGHBOURS, BLOCK, COMMON = 2000, 15, 32, 16
@@ -43,20 +42,26 @@ CHANCE = 3.84
 #: Weight of the pull to 0 of the curve.
 PULL = 1e-2
 MB_EACH = 64.0
-WORD = re.compile(r"\w+")
+#: What is between words, which are runs of letters, numerals and low lines.
+BETWEEN = r"[^\p{L}\p{N}_]+"
 #: Rows whose words are looked up together, and documents of one product of matrices.
 ROWS, TOGETHER = 500, 250
 
 
-def tallies(held: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def tallies(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Hashes of the distinct words of some texts; for each text its words as places among them, and their numbers."""
-    codes: dict[str, int] = {}
-    which, times = [], []
-    for text in held:
-        found = Counter(WORD.findall(text.lower()))
-        which.append(np.fromiter((codes.setdefault(w, len(codes)) for w in found), np.int64, len(found)))
-        times.append(np.fromiter(found.values(), np.float64, len(found)))
-    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in codes), U64, len(codes)), which, times
+    lower = pc.utf8_lower(pc.fill_null(column.cast(pa.string()), ""))
+    split = pc.split_pattern_regex(lower, pattern=BETWEEN)
+    flat = pc.dictionary_encode(split.flatten().cast(pa.binary()))
+    distinct = flat.dictionary.to_pylist()
+    words = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy())) * max(len(distinct), 1) + flat.indices.to_numpy(zero_copy_only=False)
+    if b"" in distinct:  # before the first and after the last word
+        words = words[words % len(distinct) != distinct.index(b"")]
+    words, times = np.unique(words, return_counts=True)
+    row, code = np.divmod(words, max(len(distinct), 1))
+    at = np.searchsorted(row, np.arange(len(split) + 1)).tolist()
+    parts = [slice(x, y) for x, y in zip(at, at[1:], strict=False)]
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), U64, len(distinct)), [code[x] for x in parts], [times[x] for x in parts]
 
 
 def association(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
@@ -73,9 +78,9 @@ class Space:
 
     terms: SortedStore
 
-    def vectors(self, held: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def vectors(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each text the places of its terms, in order, and their weights as a unit vector."""
-        hashes, which, times = tallies(held)
+        hashes, which, times = tallies(column)
         place = self.terms.index(hashes)
         weight = self.terms.field("w", place, np.float64)
         for own, n in zip(which, times, strict=True):
@@ -199,16 +204,16 @@ class Model:
     no_evidence: float
     neighbours: int = NEIGHBOURS
 
-    def votes(self, held: list[str], without: list[int] | None = None) -> Iterator[tuple[float, np.ndarray]]:
+    def votes(self, column: pa.Array, without: list[int] | None = None) -> Iterator[tuple[float, np.ndarray]]:
         """The vote of each text, -1 where there are no neighbours, and the neighbours."""
-        for d, c in self.index.nearest(list(self.space.vectors(held)), self.neighbours, without):
+        for d, c in self.index.nearest(list(self.space.vectors(column)), self.neighbours, without):
             yield (float((c * self.labels[d]).sum() / c.sum()) if len(d) else -1.0), d
 
-    def score(self, held: list[str]) -> tuple[list[float], list[list[int]]]:
+    def score(self, column: pa.Array) -> tuple[list[float], list[list[int]]]:
         """Scores, and the ids of the neighbours, the nearest first."""
         if self.space is None:
-            return [self.no_evidence] * len(held), [[] for _ in held]
-        found = list(self.votes(held))
+            return [self.no_evidence] * len(column), [[] for _ in range(len(column))]
+        found = list(self.votes(column))
         votes = np.array([v for v, _ in found])
         scores = np.where(votes < 0, self.no_evidence, 1.0 / (1.0 + np.exp(-(self.curve[0] + self.curve[1] * votes))))
         return scores.tolist(), [self.ids[d].tolist() for _, d in found]
@@ -220,7 +225,7 @@ def _space(docs: DataFrame, examples: DataFrame, n_clean: int, n_toxic: int) ->
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, ROWS):
-            hashes, which, _ = tallies(texts(batch.column(1)))
+            hashes, which, _ = tallies(batch.column(1))
             toxic = np.array(batch.column(2).to_pylist(), bool)
             counts = [np.bincount(np.concatenate([which[i] for i in np.flatnonzero(m)] or [np.empty(0, np.int64)]), minlength=len(hashes)) for m in (~toxic, toxic)]
             order = np.argsort(hashes)
@@ -241,7 +246,7 @@ def _space(docs: DataFrame, examples: DataFrame, n_clean: int, n_toxic: int) ->
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(len(terms), np.int64)
         for batch in sliced(batches, ROWS):
-            hashes, which, _ = tallies(texts(batch.column(0)))
+            hashes, which, _ = tallies(batch.column(0))
             place = terms.index(hashes)
             n = np.bincount(np.concatenate(which), minlength=len(hashes))
             held[place[place >= 0]] += n[place >= 0]
@@ -277,7 +282,7 @@ def _index(examples: DataFrame, space: Space) -> tuple[BlockMaxIndex, np.ndarray
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, ROWS):
-            lead = [int(t[w.argmax()]) if len(t) else -1 for t, w in space.vectors(texts(batch.column(1)))]
+            lead = [int(t[w.argmax()]) if len(t) else -1 for t, w in space.vectors(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lead, pa.int64())], names=["doc_id", "toxic", "lead"])
 
     # 2 x PER_CLASS rows at most; alike ones share blocks
@@ -288,7 +293,7 @@ def _index(examples: DataFrame, space: Space) -> tuple[BlockMaxIndex, np.ndarray
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, ROWS):
             own = by_id[np.searchsorted(ids[by_id], batch.column(0).to_numpy())]
-            found = list(space.vectors(texts(batch.column(1))))
+            found = list(space.vectors(batch.column(1)))
             term, weight = (np.concatenate([f[i] for f in found]) for i in (0, 1))
             doc = np.repeat(own, [len(t) for t, _ in found])
             order = np.argsort(term, kind="stable")
@@ -339,7 +344,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, neighb
     def by_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, ROWS):
             own = by_id[np.searchsorted(ids[by_id], batch.column(0).to_numpy())].tolist()
-            votes = [v for v, _ in model.votes(texts(batch.column(1)), own)]
+            votes = [v for v, _ in model.votes(batch.column(1), own)]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(votes, pa.float64())], names=["toxic", "vote"])
 
     voted = examples.repartition(16, "doc_id").mapInArrow(by_others, "toxic int, vote double").collect()  # a row an example
@@ -357,7 +362,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, ROWS):
-            scores, evidence = model.score(texts(batch.column(1)))
+            scores, evidence = model.score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     docs = pick(docs, "doc_id", "text")
@@ -368,7 +373,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     """The documents whose score is below the threshold."""
 
     def change(batch: pa.RecordBatch, _: int, at_text: int) -> pa.RecordBatch:
-        keep = [s < threshold for part in sliced([batch], ROWS) for s in model.score(texts(part.column(at_text)))[0]]
+        keep = [s < threshold for part in sliced([batch], ROWS) for s in model.score(part.column(at_text))[0]]
         return batch.filter(pa.array(keep, pa.bool_()))
 
     return rewrite_rows(docs, change)
