@@ -11,8 +11,8 @@ Windows are dealt by anchors (see anchors.py), over hashes of words, in three pa
    automaton (a character stands for a word) and streams every run through it; where a phrase occurs, the passage is
    compared word by word to the left and right, which gives the windows that occur there. What is located in a member goes
    for all of its class with its id or, in the one of a greater id, for all of greater ids. This is done with the classes of
-   each batch first, so that thousands of copies in a batch send on one, and then, with what stands for the classes of
-   all batches, by bucket of anchors. All documents' recurring runs reach some shard, so every occurrence is located, while
+   each batch first, together with what its task has sent on before, so that thousands of copies in a task send on one, and
+   then, with what stands for the classes of all tasks, by bucket of anchors. All documents' recurring runs reach some shard, so every occurrence is located, while
    no automaton grows with the corpus;
 3. spans are kept in the shared folder, sorted by document; workers map them and drop words.
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from ._core import U64, bucket_bits, cuts, join_arrays, join_packed, merge_by_bucket, packed, pick, sliced, unpacked, utf8, words_of
 from .anchors import SpanStore, key_of, kgrams, recurring, recurring_runs, row_keys, runs, scatter_keys, scatter_spans, span_store
-from .suffixes import classes, ragged
+from .suffixes import REMEMBERED, ROWS, Sent, classes, ragged
 
 LENGTH, ANCHOR = 50, 8
 MB_EACH = 8.0
@@ -182,13 +182,17 @@ def mark_bucket(rows: list[dict], length: int, most: int) -> tuple[np.ndarray, n
     return mark(group, of, [texts[i] for i in first.tolist()], f, length, most)[0]
 
 
-def mark_batch(key: np.ndarray, texts: list[bytes], f: dict[str, np.ndarray], length: int, most: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    """Marks of a batch's equal runs, and the runs (by key) with the smallest id of their class."""
+def mark_batch(key: np.ndarray, texts: list[bytes], f: dict[str, np.ndarray], length: int, most: int, sent: Sent) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Marks of a batch's equal runs, and the runs (by key) with the smallest id of their class, which are to be sent on."""
     if not len(key):
         return (np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)), np.empty(0, np.int64)
-    of, one = classes(key.tolist(), texts)
+    texts, f = sent.joined(key, texts, f)
+    of, one = classes(f["key"].tolist(), texts)
     marks, lead = mark(np.arange(len(one)), of, [texts[i] for i in one.tolist()], f, length, most)
-    return marks, lead[np.argsort(key[lead], kind="stable")]
+    lead = lead[lead < len(key)]  # rows of this batch
+    lead = lead[np.argsort(key[lead], kind="stable")]
+    sent.keep([texts[i] for i in lead.tolist()], {n: v[lead] for n, v in f.items()})
+    return marks, lead
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> SpanStore:
@@ -196,10 +200,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
     docs = pick(docs, "doc_id", "text")
     docs = docs.select(docs.doc_id.cast("long"), docs.text.cast("string"))
     bits = bucket_bits(docs, MB_EACH)
-    most = WINDOWS
+    most, at_once, remembered = WINDOWS, ROWS, REMEMBERED
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, at_once):
             yield scatter_keys(_runs(batch.column(0), length, anchor)[-1][0], bits)
 
     again = recurring(docs.select("text").mapInArrow(count, "bucket int, keys binary, times binary"), bits, "phrases")
@@ -207,14 +211,15 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
     names = [c.split()[0] for c in columns.split(", ")]
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        sent = Sent(remembered)
+        for batch in sliced(batches, at_once):
             ids, _, owners = row_keys(batch.column(0), utf8(batch.column(1)))
             starts, codes, distinct, symbols, found = _runs(batch.column(1), length, anchor)
             key, row, first, last = recurring_runs(again, symbols, starts, length, anchor, found)
             low, high = starts[row] + first, starts[row] + last + length - 1
             texts = [b" ".join([distinct[c] for c in codes[x:y].tolist()]) for x, y in zip(low.tolist(), high.tolist(), strict=True)]
             f = dict(zip([n for n, _ in FIELDS], (key, ids[row], owners[row], first, last - first), strict=True))
-            marks, lead = mark_batch(key, texts, f, length, most)
+            marks, lead = mark_batch(key, texts, f, length, most, sent)
             empty = dict.fromkeys(names[1:], b"")
             out = [empty | s for s in scatter_spans(*marks, bits)]
             at = cuts(key[lead], bits)

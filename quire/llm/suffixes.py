@@ -10,8 +10,8 @@ its bytes for removal. Windows are dealt by anchors (see anchors.py) in three pa
    interval is extended backward by every symbol that precedes it, all intervals of a depth at once, which yields the
    boundaries between suffixes by increasing common prefix; it stops at `length`. Windows that are still in one interval are
    equal; all but the earliest are marked, and what is marked in a class's second member is so in all later ones. This is
-   done for the classes of each batch first, so that thousands of copies in a batch send on one, and then, with the
-   first members of all batches, by bucket of anchors;
+   done for the classes of each batch first, together with the first members that its task has sent on before, so that
+   thousands of copies in a task send on one, and then, with the first members of all tasks, by bucket of anchors;
 3. spans are kept in the shared folder, sorted by document; workers map them and cut their documents.
 
 Texts aren't shuffled, except for the runs of recurring anchors.
@@ -36,6 +36,8 @@ LENGTH, ANCHOR = 100, 32
 #: Bytes of one transform, unless one anchor has more.
 TEXT = 1 << 19
 MB_EACH = 8.0
+#: Rows of a batch, and bytes of text that a task remembers of what it has sent on (then it begins anew, and sends again).
+ROWS, REMEMBERED = 2000, 32 << 20
 
 
 # ---------------------------------------------------------------- the transform
@@ -206,17 +208,46 @@ def mark_bucket(rows: list[dict], length: int, most: int) -> tuple[np.ndarray, n
     return mark(group, of, [texts[i] for i in first.tolist()], f, length, most)[0]
 
 
-def mark_batch(found: tuple, held: list[bytes], ids: np.ndarray, hashes: np.ndarray, length: int, most: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], list[bytes], dict[str, np.ndarray]]:
-    """Marks of a batch's equal runs, and the first members of its classes: texts and FIELDS."""
+class Sent:
+    """The members that a task has sent on, by class: of each the first so far, as its values of some fields."""
+
+    def __init__(self, most: int):
+        self.held: dict[tuple[int, bytes], tuple] = {}
+        self.size, self.most = 0, most
+
+    def joined(self, keys: np.ndarray, texts: list[bytes], f: dict[str, np.ndarray]) -> tuple[list[bytes], dict[str, np.ndarray]]:
+        """texts and f with the sent members of their classes after them."""
+        known = [x for x in dict.fromkeys(zip(keys.tolist(), texts, strict=True)) if x in self.held]
+        if not known:
+            return texts, f
+        rows = [self.held[x] for x in known]
+        return texts + [t for _, t in known], {n: np.append(v, np.array([r[i] for r in rows], v.dtype)) for i, (n, v) in enumerate(f.items())}
+
+    def keep(self, texts: list[bytes], f: dict[str, np.ndarray]) -> None:
+        if self.size > self.most:
+            self.held, self.size = {}, 0
+        for values in zip(texts, f["key"].tolist(), *(v.tolist() for v in f.values()), strict=True):
+            if (values[1], values[0]) not in self.held:
+                self.size += len(values[0])
+            self.held[(values[1], values[0])] = values[2:]
+
+
+def mark_batch(found: tuple, held: list[bytes], ids: np.ndarray, hashes: np.ndarray, length: int, most: int, sent: Sent) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], list[bytes], dict[str, np.ndarray]]:
+    """Marks of a batch's equal runs, and what is to be sent on: texts and FIELDS of the first members of its classes, but for those
+    sent before."""
     key, row, first, last = found
     texts = [held[r][a : b + length - 1] for r, a, b in zip(row.tolist(), first.tolist(), last.tolist(), strict=True)]
     f = dict(zip([n for n, _ in FIELDS], (key, ids[row], hashes[row], first, last - first), strict=True))
     if not len(key):
         return (np.empty(0, U64), first, last), [], f
-    of, one = classes(key.tolist(), texts)
+    texts, f = sent.joined(key, texts, f)
+    of, one = classes(f["key"].tolist(), texts)
     marks, lead = mark(np.arange(len(one)), of, [texts[i] for i in one.tolist()], f, length, most)
+    lead = lead[lead < len(key)]  # rows of this batch
     lead = lead[np.argsort(key[lead], kind="stable")]
-    return marks, [texts[i] for i in lead.tolist()], {n: v[lead] for n, v in f.items()}
+    texts, f = [texts[i] for i in lead.tolist()], {n: v[lead] for n, v in f.items()}
+    sent.keep(texts, f)
+    return marks, texts, f
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> SpanStore:
@@ -224,10 +255,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
     docs = pick(docs, "doc_id", "text")
     docs = docs.select(docs.doc_id.cast("long"), docs.text.cast("string"))
     bits = bucket_bits(docs, MB_EACH)
-    most = TEXT
+    most, at_once, remembered = TEXT, ROWS, REMEMBERED
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, at_once):
             yield scatter_keys(runs(*_symbols(utf8(batch.column(0))), length, anchor)[0], bits)
 
     again = recurring(docs.select("text").mapInArrow(count, "bucket int, keys binary, times binary"), bits, "anchors")
@@ -235,12 +266,13 @@ def repeated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Spa
     names = [c.split()[0] for c in columns.split(", ")]
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        sent = Sent(remembered)
+        for batch in sliced(batches, at_once):
             held = utf8(batch.column(1))
             ids, hashes, _ = row_keys(batch.column(0), held)
             symbols, starts = _symbols(held)
             found = recurring_runs(again, symbols, starts, length, anchor, runs(symbols, starts, length, anchor))
-            marks, texts, values = mark_batch(found, held, ids, hashes, length, most)
+            marks, texts, values = mark_batch(found, held, ids, hashes, length, most, sent)
             empty = dict.fromkeys(names[1:], b"")
             out = [empty | {"bucket": s["bucket"], "owner": s["keys"], "low": s["low"], "high": s["high"]} for s in scatter_spans(*marks, bits)]
             at = cuts(values["key"], bits)

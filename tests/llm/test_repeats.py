@@ -49,8 +49,11 @@ def slow_bytes(rows, length):
 def test_bytes_equal_brute_force(spark, seed, monkeypatch):
     if seed == 2:
         monkeypatch.setattr(suffixes, "TEXT", 500)
+        monkeypatch.setattr(suffixes, "ROWS", 3)
     if seed == 3:
         monkeypatch.setattr(anchors, "HOT", 2)
+        monkeypatch.setattr(suffixes, "ROWS", 2)
+        monkeypatch.setattr(suffixes, "REMEMBERED", 300)
     rows = rows_of(seed)
     want = slow_bytes(rows, 100)
     got = suffixes.remove_repeats(spark.createDataFrame(rows, cases.SCHEMA).repartition(5)).collect()
@@ -70,7 +73,7 @@ def test_every_mark_comes_from_the_transform(monkeypatch):
     ids, hashes = np.arange(4), np.arange(4).astype(np.uint64)
 
     def both():
-        marks, lead_texts, values = suffixes.mark_batch(found, texts, ids, hashes, 100, 1 << 19)
+        marks, lead_texts, values = suffixes.mark_batch(found, texts, ids, hashes, 100, 1 << 19, suffixes.Sent(1 << 20))
         row = {n: suffixes.packed(values[n]) for n, _ in suffixes.FIELDS} | {"text": suffixes.packed(b"".join(lead_texts))}
         spans = anchors.merged(*(np.concatenate(x) for x in zip(marks, suffixes.mark_bucket([row], 100, 1 << 19))))
         gone = Counter()
@@ -158,8 +161,11 @@ def test_passages_equal_brute_force(spark, seed, monkeypatch):
 
     if seed == 2:
         monkeypatch.setattr(passages, "WINDOWS", 60)
+        monkeypatch.setattr(passages, "ROWS", 3)
     if seed == 3:
         monkeypatch.setattr(anchors, "HOT", 2)
+        monkeypatch.setattr(passages, "ROWS", 2)
+        monkeypatch.setattr(passages, "REMEMBERED", 300)
     rows = passage_rows(seed)
     got = passages.remove_passages(spark.createDataFrame(rows, cases.SCHEMA).repartition(5)).collect()
     assert sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_words, sum(s.high - s.low for s in r.removed), r.kept) for r in got) == sorted(slow_words(rows, 50))
@@ -173,7 +179,7 @@ def passage_marks(texts, ids):
     words = [" ".join([distinct[c].decode() for c in codes[starts[r] + a : starts[r] + b + 49]]).encode() for r, a, b in zip(row, first, last)]
     owners = anchors.key_of(ids, ids.astype(np.uint64))
     f = dict(zip([n for n, _ in passages.FIELDS], (key, ids[row], owners[row], first, last - first)))
-    marks, lead = passages.mark_batch(key, words, f, 50, 1 << 17)
+    marks, lead = passages.mark_batch(key, words, f, 50, 1 << 17, suffixes.Sent(1 << 20))
     sent = {n: suffixes.packed(f[n][lead]) for n, _ in passages.FIELDS} | {"text": suffixes.packed(b"".join(words[i] + b"\n" for i in lead))}
     spans = anchors.merged(*(np.concatenate(x) for x in zip(marks, passages.mark_bucket([sent], 50, 1 << 17))))
     gone = Counter()
