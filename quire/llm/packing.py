@@ -1,9 +1,10 @@
 """Packing by powers of two: every document is cut into pieces of binary length, and a sequence is one piece.
 
 A document's ids are cut into pieces of `max_len`, then of the powers of two that make up the rest, the largest
-first. Pieces of one length form a bucket (column `bucket`, the exponent), and are gathered: pieces are dealt by bucket and a hash
-of their place (a bucket of most tokens is spread), sorted by bucket, and numbered in that order, so that a batch is a run of
-equal lengths, no sequence holds two documents and none needs padding. The numbers don't depend on how the input was split.
+first. Pieces of one length form a bucket (column `bucket`, the exponent), and are gathered: pieces are dealt evenly, by a hash of
+their place, sorted by bucket within each part, and numbered in that order, so that a batch is a run of equal lengths, no
+sequence holds two documents and none needs padding. The numbers don't depend on how the input was split. Pieces of rows that
+repeat an id lie in one part.
 
 Defined cases: a null or empty text has the end id alone (one piece of length 1); repeated rows, and null ids, are
 packed row by row; very long texts are cut like others; an empty table gives no rows; other columns are ignored.
@@ -149,5 +150,5 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: int
     docs = pick(docs, "doc_id", "text")
     pieces = docs.select(docs.doc_id.cast("long"), docs.text.cast("string")).mapInArrow(run, SCHEMA)
     parts = 1 << bucket_bits(docs, MB_EACH)
-    gathered = pieces.repartition(parts, "bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts))).sortWithinPartitions("bucket", "doc_id", "start")
+    gathered = pieces.repartition(parts, F.xxhash64("doc_id", "start")).sortWithinPartitions("bucket", "doc_id", "start")
     return gathered.select("doc_id", "start", "length", "ids", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), "offset", "bucket")
