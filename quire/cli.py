@@ -6,7 +6,6 @@ import argparse
 import sys
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from .operators.meta import SchemaError, normalize, require_domains
 from .operators.render import dry_run
 from .sinks.tree import rendered, write_tree
 from .sources import vocabulary
-from .sources.registry import files, reader
+from .sources.registry import files, hold, reader, release
 
 MODES = ("auto", "rich", "article", "lowscore")
 
@@ -40,6 +39,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except (SchemaError, ValueError, FileNotFoundError) as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1
+    finally:
+        release()
 
 
 def convert(a: argparse.Namespace, spark: SparkSession | None) -> int:
@@ -61,10 +62,10 @@ def convert(a: argparse.Namespace, spark: SparkSession | None) -> int:
     if fmt == "pdf" and mode in ("article", "rich"):
         from .sources import spans as S
 
-        books, chunks = S.read_spans(S.spans_of(found), S.metadata_of(found), mode)
+        books, chunks = S.read_spans(hold(S.spans_of(found)), S.metadata_of(found), mode)
     else:
         books, chunks = read(found)
-    chunks = chunks.persist(StorageLevel.DISK_ONLY)  # parsed once for what follows
+    chunks = hold(chunks)
     failed = chunks.where("error is not null").select("doc_id", "error").orderBy("doc_id").limit(20).collect()
     for r in failed:
         print(f"Error: {r['doc_id']}: {r['error']}", file=sys.stderr)

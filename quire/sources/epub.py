@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +19,7 @@ from ..functions.text import blank, part_of, slug, strip
 from ..operators.meta import first_year, split_epub_author
 from ..operators.split import joined
 from .html_md import markdown_of
-from .registry import register, stem_of
+from .registry import hold, register, stem_of
 
 PARTS = "doc_id string, kind string, ord int, name string, value string, media_type string, content string"
 
@@ -155,8 +154,8 @@ def books(dc: DataFrame, files: DataFrame) -> DataFrame:
 
 @register("epub")
 def read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A file that can't be read is a chunk with its error, and no book. The parsed parts are kept on disk for the branches below."""
-    rows = parts(files).persist(StorageLevel.DISK_ONLY)
+    """A file that can't be read is a chunk with its error, and no book. The parsed parts are held for the branches below."""
+    rows = hold(parts(files))
     broken = rows.where("kind = 'error'").select("doc_id", F.concat_ws(": ", "name", "value").alias("error"))
     items = rows.where("kind = 'item'").select("doc_id", F.col("name").alias("item_id"), F.col("value").alias("href"), "media_type", "content")
     toc = rows.where("kind = 'toc'").select("doc_id", "ord", F.col("name").alias("title"), F.col("value").alias("href"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,22 @@ def register(name: str) -> Callable:
     return keep
 
 
+_HELD: list[DataFrame] = []
+
+
+def hold(parsed: DataFrame) -> DataFrame:
+    """Kept on the executors' disks until release(), so that files are parsed once for all that is made of them; what is lost with an
+    executor is parsed again."""
+    _HELD.append(parsed.persist(StorageLevel.DISK_ONLY))
+    return _HELD[-1]
+
+
+def release() -> None:
+    """To be called when what was read has been used."""
+    while _HELD:
+        _HELD.pop().unpersist()
+
+
 def supported() -> list[str]:
     from . import epub, fb2, spans  # noqa: F401  they register themselves
 

@@ -17,7 +17,7 @@ from ..functions.text import lines
 from ..operators import article as A
 from ..operators import meta as M
 from ..operators import pdf
-from .registry import register, stem_of
+from .registry import hold, register, stem_of
 
 SPANS = (
     "doc_id string, page_no int, block_no int, line_no int, span_no int, block_type int, text string, size double, font string, flags int, "
@@ -123,4 +123,4 @@ def read_spans(spans: DataFrame, meta: DataFrame, mode: str | None = None) -> tu
 
 @register("pdf")
 def read(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return read_spans(spans_of(files), metadata_of(files))
+    return read_spans(hold(spans_of(files)), metadata_of(files))

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.meta import normalize, require_domains
 from ..sinks.tree import rendered, write_tree
 from ..sources import vocabulary
-from ..sources.registry import reader
+from ..sources.registry import reader, release
 
 
 def watch(spark: SparkSession, folder: str, fmt: str, out: str, state: str, domains: list[str], once: bool = False, collection: str | None = None) -> StreamingQuery:
@@ -32,6 +32,7 @@ def watch(spark: SparkSession, folder: str, fmt: str, out: str, state: str, doma
         failed = chunks.where("error is not null").select("doc_id", "error")
         if not failed.isEmpty():  # a batch that runs again replaces its own file
             failed.write.mode("overwrite").parquet(f"{out}/_errors/batch={number}")
+        release()
 
     query = files.writeStream.foreachBatch(convert).option("checkpointLocation", state)
     return (query.trigger(availableNow=True) if once else query.trigger(processingTime="1 minute")).start()
