@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ._core import bucket_bits, gather, pick, sliced, words_of
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, offset long, bucket int"
-MB_EACH = 64.0
+MB_EACH = 8.0
 END_OF_WORD, MARKS = "</w>", b".,;:!?|%$&*#()[]{}<>\"+-=/\\^_`~@"
 PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 #: Words whose ids a worker keeps in each of two generations: when the younger is full it becomes the older.
