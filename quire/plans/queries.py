@@ -20,7 +20,7 @@ from ..functions.score import looks_like_index, looks_like_toc, score_heading
 from ..operators import article as A
 from ..operators import meta as M
 from ..operators import pdf, render, split
-from ..sinks.tree import rendered, write_tree
+from ..sinks.tree import read_tree, rendered, unique_ids, write_tree
 from ..sources import auto, epub, fb2, vocabulary
 from ..sources.html_md import markdown_of
 from ..sources.registry import format_of, stem_of
@@ -801,8 +801,7 @@ def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = _books(spark, sf_dir).select("*").withColumn("title", F.lit("Book")).withColumn("id", F.concat(F.lit("book-"), F.col("doc_id").cast("string")))
     chunks = books.select("doc_id", F.lit(1).alias("group_no"), F.lit(0).alias("chunk_pos"), F.lit("Book").alias("heading"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("content"), F.lit(1).alias("level"), F.lit(1).alias("group_chapter_no"))
     write_tree(rendered(books, chunks), folder)
-    path = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1)
-    return spark.read.text(f"{folder}/*/*.md", wholetext=True).select(path.alias("path"), F.col("value").alias("body"))
+    return read_tree(unique_ids(books), folder)
 
 
 @query(

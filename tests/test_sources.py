@@ -2,7 +2,7 @@ import pytest
 
 from quire import cli
 from quire.operators.meta import SchemaError, normalize
-from quire.sinks.tree import rendered, write_tree
+from quire.sinks.tree import read_tree, rendered, write_tree
 from quire.sources import auto, epub, fb2, registry, vocabulary
 from quire.sources.html_md import to_markdown
 from quire.streaming.watch import watch
@@ -171,3 +171,31 @@ def test_books_of_one_title_have_folders_of_their_own(spark, tmp_path):
     (tmp_path / "harbour-almanac/09-old.md").write_text("old")
     write_tree(rendered(normalize(found), chunks), str(tmp_path), prune=True)
     assert not (tmp_path / "harbour-almanac/09-old.md").exists() and len(list((tmp_path / "harbour-almanac-2").glob("*.md"))) == 3
+
+
+def test_trees_are_written_by_many_tasks_and_read_without_a_listing_of_all(spark, tmp_path):
+    n = 300
+    files = spark.range(n).selectExpr("id as doc_id", "concat('b', id, '/00-book.md') as path", "concat('é', id) as body")
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("tree", "tree")
+    try:
+        assert write_tree(files, f"file://{tmp_path}") == n
+        (tmp_path / "b7/.01-part.md").write_text("unfinished")
+        got = sorted(read_tree(files.selectExpr("concat('b', doc_id) as id"), f"file://{tmp_path}").collect())
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == sorted((f"b{i}/00-book.md", f"é{i}") for i in range(n))
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("tree") for s in tracker.getJobInfo(j).stageIds]
+    tasks = [s.numTasks for s in stages if s]
+    assert 4 <= max(tasks) <= 8  # not one task for few bytes, nor one a folder to list them
+
+
+def test_a_lost_folder_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="none"):
+        read_tree(spark.createDataFrame([("none",)], "id string"), str(tmp_path)).collect()
+
+
+def test_tree_files_lists_no_files_in_one_process(spark):
+    from quire.plans import queries
+
+    assert "FileScan text" not in queries.tree_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
