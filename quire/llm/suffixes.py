@@ -6,8 +6,8 @@ its bytes for removal. Windows are dealt by anchors (see anchors.py) in three pa
 1. anchors are counted, only those that occur twice or more can hold a repeat;
 2. the runs of windows of such anchors are put together with their like: runs of one anchor and equal bytes are a class, with its
    members in order. The first member's text and, once more, the second's stand for the class. The texts of an anchor's
-   classes are joined, their suffixes ordered and transformed; starting from the intervals of one symbol (four bytes), each
-   interval is extended backward by every symbol that precedes it, all intervals of a depth at once, which yields the
+   classes are joined, their suffixes ordered and transformed; starting from the intervals of one symbol (twenty bytes, named
+   by their rank), each interval is extended backward by every symbol that precedes it, all intervals of a depth at once, which yields the
    boundaries between suffixes by increasing common prefix; it stops at `length`. Windows that are still in one interval are
    equal; all but the earliest are marked, and what is marked in a class's second member is so in all later ones. This is
    done for the classes of each batch first, together with the first members that its task has sent on before, so that
@@ -43,15 +43,16 @@ ROWS, REMEMBERED = 2000, 32 << 20
 # ---------------------------------------------------------------- the transform
 
 
-def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the cyclic suffixes in the order of their first `depth` bytes at least, equals by place."""
+def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, int, np.ndarray | None]:
+    """Starts of the cyclic suffixes in the order of their first `depth` bytes at least, equals by place; and the names that doubling
+    gave to the longest strings on its way that divide the depth: how long these are (0: none), and at each place the rank of its own."""
     n = len(data)
     bits = max(1, (n - 1).bit_length())
     wide = np.resize(data, n + 5).astype(U64)
     key = np.zeros(n, U64)
     for i in range(5):
         key = key << U64(8) | wide[i : i + n]
-    have = 5
+    have, q, names = 5, 0, None
     while True:
         if have > 5 and 3 * bits <= 63 or have == 5 and 40 + bits <= 64:
             packed = np.sort(key << U64(bits) | np.arange(n, dtype=U64))
@@ -61,10 +62,14 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
             order = np.argsort(key, kind="stable")
             packed = key[order]
         new = packed[1:] != packed[:-1]
-        if have >= depth or new.all():
-            return order
+        if have >= depth:
+            return order, q, names
         rank = np.empty(n, U64)
         rank[order] = np.append(0, np.cumsum(new)).astype(U64)
+        if depth % have == 0:
+            q, names = have, rank
+        if new.all():
+            return order, q, names
         step = min(have, depth - have)
         shift = bits if 3 * bits <= 63 else 32
         key = rank << U64(shift) | np.roll(rank, -step)
@@ -74,18 +79,22 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
 def depths(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order, and for each suffix the depth at which it parted from the one before it (`depth`: not before `depth`).
 
-    Depths are rounded up to whole symbols of q bytes; boundaries are exact at `depth`.
+    Depths are rounded up to whole symbols of q bytes; boundaries are exact at `depth`. A symbol is the rank of its bytes
+    among all strings of q bytes, or these bytes themselves.
     """
     n = len(data)
-    q = next(x for x in (4, 2, 1) if depth % x == 0)
-    order = suffix_order(data, depth)
     bits = max(1, (n - 1).bit_length())
-    wide = np.resize(data, n + q).astype(U64)
-    symbol = np.zeros(n, U64)
-    for i in range(q):
-        symbol = symbol << U64(8) | wide[i : i + n]
+    order, q, symbol = suffix_order(data, depth)
+    size = bits
+    if symbol is None:
+        q = next(x for x in (4, 2, 1) if depth % x == 0)
+        size = 8 * q
+        wide = np.resize(data, n + q).astype(U64)
+        symbol = np.zeros(n, U64)
+        for i in range(q):
+            symbol = symbol << U64(8) | wide[i : i + n]
     transform = symbol[(order - q) % n]  # the symbol before each suffix
-    if 8 * q + bits <= 64:
+    if size + bits <= 64:
         packed = np.sort(transform << U64(bits) | np.arange(n, dtype=U64))
         source = (packed & U64((1 << bits) - 1)).astype(np.int64)
     else:

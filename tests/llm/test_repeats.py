@@ -106,6 +106,19 @@ def test_depths_are_common_prefixes():
         assert parted[i] == (24 if common == 24 else common // 4 * 4)
 
 
+def test_intervals_are_extended_by_whole_names():
+    rng = np.random.default_rng(5)
+    half = bytes(rng.integers(97, 99, 700, dtype=np.uint8))
+    data = np.frombuffer(half + half[:350] + b"x" + half[351:], np.uint8)
+    order, parted = suffixes.depths(data, 100)
+    ring = data.tobytes() * 2
+    tops = [ring[i : i + 100] for i in order.tolist()]
+    assert tops == sorted(tops) and 100 in parted
+    for i in range(1, len(tops)):
+        common = next((k for k in range(100) if tops[i][k] != tops[i - 1][k]), 100)
+        assert parted[i] == common // 20 * 20  # five steps, not twenty-five
+
+
 def test_equal_windows_share_anchors():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 255, 3000).astype(np.uint8)
