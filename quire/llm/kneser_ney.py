@@ -27,7 +27,7 @@ texts are scored as one; an empty table gives no rows; other columns are ignored
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +46,10 @@ ROWS = 4000
 TOKENS = 1 << 22
 #: Keys between two stored places of followers; contexts of more followers have their figures stored.
 STEP, MANY = 32, 32
+#: Bits of the bytes before each place of a step.
+BEFORE = (np.tril(np.ones((STEP, STEP), np.uint8), -1) * np.uint8(255)).view("<u8")
+#: Values a part, from which parts are searched one by one.
+EACH = 16
 LOW = U64(0xFFFFFFFF)
 
 
@@ -145,18 +149,60 @@ class Pairs:
         return ((x >> U64(32)) & U64(self.parts(bucket_bits_) - 1)).astype(np.int64), (x & LOW).astype(np.uint32)
 
 
-def search(held: np.ndarray, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each wanted value in its own sorted range low .. high of held, and whether it is there."""
-    low, end = low.copy(), high
-    high = high.copy()
-    last = max(len(held) - 1, 0)
+def ranked(keys: np.ndarray, spare: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, whose `spare` lowest bits are zero, in order, and their places before: the places are sorted with them if they fit there."""
+    if len(keys) > 1 << min(spare, 62):
+        order = np.argsort(keys)
+        return keys[order], order
+    low = U64((1 << spare) - 1)
+    both = np.sort(keys | np.arange(len(keys), dtype=U64))
+    return both & ~low, (both & low).astype(np.int64)
+
+
+def bisect(value: Callable[[np.ndarray], np.ndarray], wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The place of each wanted value in its own sorted range low .. high; a range that is narrowed down isn't looked at again."""
+    low, high = low.copy(), high.copy()
+    open_ = np.flatnonzero(low < high)
+    while len(open_):
+        a, b = low[open_], high[open_]
+        mid = (a + b) >> 1
+        less = value(mid) < wanted[open_]
+        a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+        low[open_], high[open_] = a, b
+        open_ = open_[a < b]
+    return low
+
+
+def search(held: np.ndarray, wanted: np.ndarray, part: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each wanted value, sorted by part and value, in its part begin[part] .. begin[part + 1] of held, and whether it
+    is there."""
     if not len(held):
-        return low, np.zeros(len(low), bool)
-    while (low < high).any():
-        mid = (low + high) >> 1
-        less = (low < high) & (held[np.minimum(mid, last)] < wanted)
-        low, high = np.where(less, mid + 1, low), np.where(less | (low >= high), high, mid)
-    return low, (low < end) & (held[np.minimum(low, last)] == wanted)
+        return begin[part], np.zeros(len(part), bool)
+    high = begin[part + 1]
+    if len(wanted) < EACH * (len(begin) - 1):
+        low = bisect(lambda i: held[i], wanted, begin[part], high)
+    else:
+        low = np.empty(len(wanted), np.int64)
+        at = np.searchsorted(part, np.arange(len(begin)))
+        for p in np.flatnonzero(np.diff(at)).tolist():
+            x = slice(at[p], at[p + 1])
+            low[x] = np.searchsorted(held[begin[p] : begin[p + 1]], wanted[x]) + begin[p]
+    return low, (low < high) & (held[np.minimum(low, len(held) - 1)] == wanted)
+
+
+def sums_before(sizes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Sums of the bytes from the last multiple of STEP up to each place."""
+    full = len(sizes) // STEP
+    row = place // STEP
+    block = np.zeros((len(place), STEP), np.uint8)
+    inside = row < full
+    block[inside] = sizes[: full * STEP].reshape(full, STEP)[row[inside]]
+    block[~inside, : len(sizes) - full * STEP] = sizes[full * STEP :]
+    words = block.view("<u8") & BEFORE[place % STEP]
+    even = U64(0x00FF00FF00FF00FF)
+    pairs = (words & even) + ((words >> U64(8)) & even)
+    sums = pairs.sum(axis=1, dtype=U64)  # four sums of 16 bits: 2 * STEP / 8 bytes each
+    return ((sums * U64(0x0001000100010001)) >> U64(48)).astype(np.int64)
 
 
 def save_counts(uri: str, name: str, bucket: int, values: np.ndarray) -> None:
@@ -215,33 +261,34 @@ class PairStore:
             if self.sizes[b]:
                 part, low = self.code.split(keys[at[b] : at[b + 1]], self.bits)
                 begin = open_array(self.uri, f"pd.{b}")
-                place, hit = search(open_array(self.uri, f"pk.{b}"), low, begin[part], begin[part + 1])
+                place, hit = search(open_array(self.uri, f"pk.{b}"), low, part, begin)
                 yield b, np.flatnonzero(hit) + at[b], place[hit]
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        wanted, back = np.unique(keys, return_inverse=True)
-        out = np.zeros(len(wanted))
+        own, order = ranked(keys, 64 - 2 * self.code.bits)
+        new = np.append(True, own[1:] != own[:-1])[: len(own)]
+        wanted, out = own[new], np.empty(len(keys))
+        counts = np.zeros(len(wanted))
         for b, which, place in self.places(wanted):
-            out[which] = counts_at(self.uri, "pn", b, place)
-        return out[back]
+            counts[which] = counts_at(self.uri, "pn", b, place)
+        out[order] = counts[np.cumsum(new) - 1]
+        return out
 
     def _followers(self, b: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the followers of pairs begin, and their numbers."""
         sizes = open_array(self.uri, f"tf.{b}")
         base = place // STEP * STEP
-        before = base[:, None] + np.arange(STEP)
-        inside = np.where(before < place[:, None], sizes[np.minimum(before, len(sizes) - 1)], 0).sum(axis=1, dtype=np.int64)
-        begin = open_array(self.uri, f"ts.{b}")[place // STEP] + inside + counts_between(self.uri, "tf", b, base, place)
+        begin = open_array(self.uri, f"ts.{b}")[place // STEP] + sums_before(sizes, place) + counts_between(self.uri, "tf", b, base, place)
         return begin, counts_at(self.uri, "tf", b, place)
 
     def shares(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each context and word (-1: unknown) the discounted share of the word, and that of the lower order (1 for a new context)."""
         own, rest = np.zeros(len(contexts)), np.ones(len(contexts))
-        order = np.argsort(contexts)
-        ranked, d = contexts[order], self.discounts
-        distinct = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.empty(0, np.int64)
-        ends = np.append(distinct[1:], len(ranked))
-        for b, which, place in self.places(ranked[distinct]):
+        keys, order = ranked(contexts, 64 - 2 * self.code.bits)
+        d = self.discounts
+        distinct = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        ends = np.append(distinct[1:], len(keys))
+        for b, which, place in self.places(keys[distinct]):
             begin, n = self._followers(b, place)
             some = n > 0
             which, place, begin, n = which[some], place[some], begin[some], n[some]
@@ -275,12 +322,8 @@ class PairStore:
         lows, highs = open_array(self.uri, f"tw.{b}"), open_array(self.uri, f"tx.{b}")
         last = len(lows) - 1
         value = (lambda i: highs[i].astype(np.int64) << 16 | lows[i]) if len(highs) else (lambda i: lows[i].astype(np.int64))
-        end, low, high = high, low.copy(), high.copy()
-        while (low < high).any():
-            mid = (low + high) >> 1
-            less = (low < high) & (value(np.minimum(mid, last)) < words)
-            low, high = np.where(less, mid + 1, low), np.where(less | (low >= high), high, mid)
-        return low, (low < end) & (value(np.minimum(low, last)) == words)
+        low = bisect(value, words, low, high)
+        return low, (low < high) & (value(np.minimum(low, last)) == words)
 
 
 @dataclass(frozen=True)
@@ -363,17 +406,27 @@ def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return _distinct(np.concatenate([unsteps(r["keys"]) for r in rows]), joined_planes(rows, "n"))
 
 
-def _distinct_triples(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((words, contexts))
-    contexts, words = contexts[order], words[order]
+def _distinct_triples(contexts: np.ndarray, words: np.ndarray, spare: int, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own, order = ranked(contexts, spare)
+    new = np.append(True, own[1:] != own[:-1])[: len(own)]
+    both = np.empty(len(own), U64)  # the rank of the context, and the word: both below 2^32
+    both[order] = (np.cumsum(new) - 1).astype(U64) << U64(32)
+    both |= words.astype(U64)
+    own = own[new]
+    if counts is None:
+        both.sort()
+    else:
+        order = np.argsort(both)
+        both = both[order]
+    contexts, words = own[(both >> U64(32)).astype(np.int64)], both & LOW
     start = np.flatnonzero(np.append(True, (contexts[1:] != contexts[:-1]) | (words[1:] != words[:-1]))) if len(contexts) else np.empty(0, np.int64)
     n = np.diff(np.append(start, len(contexts))) if counts is None else np.add.reduceat(counts[order].astype(np.int64), start) if len(start) else counts
     return contexts[start], words[start], n
 
 
-def _scatter_triples(contexts: np.ndarray, words: np.ndarray, bits: int) -> pa.RecordBatch:
+def _scatter_triples(contexts: np.ndarray, words: np.ndarray, bits: int, spare: int) -> pa.RecordBatch:
     """Distinct triples by the bucket of their context: contexts, their numbers of followers, these and their counts."""
-    contexts, words, counts = _distinct_triples(contexts, words)
+    contexts, words, counts = _distinct_triples(contexts, words, spare)
     at = cuts(contexts, bits)
     full = np.flatnonzero(np.diff(at))
     columns: list[list[bytes]] = [[], [], [], []]
@@ -415,6 +468,7 @@ def learn(docs: DataFrame, order: int = 2) -> Model:
     n_tokens = words.stats[0] if words.stats else 0
     first = words.offsets
     code = Pairs.of(len(words))
+    spare = 64 - 2 * code.bits
     begin, end = words.index(np.array([BEGIN, END], U64)).tolist()
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,16 +491,16 @@ def learn(docs: DataFrame, order: int = 2) -> Model:
             prev = before(codes, starts, len(hashes) - 1)
             held.append((code.keys(place[before(prev, starts, len(hashes) - 1)], place[prev]), place[codes].astype(np.uint32)))
             if sum(len(c) for c, _ in held) >= TOKENS:
-                yield _scatter_triples(*map(np.concatenate, zip(*held, strict=True)), bits)
+                yield _scatter_triples(*map(np.concatenate, zip(*held, strict=True)), bits, spare)
                 held = []
         if held:
-            yield _scatter_triples(*map(np.concatenate, zip(*held, strict=True)), bits)
+            yield _scatter_triples(*map(np.concatenate, zip(*held, strict=True)), bits, spare)
 
     last = 1 << bits  # a bucket of its own for sizes and counts of counts
 
     def merge_triples(bucket: int, rows: list[dict]) -> Iterator[dict]:
         contexts = np.concatenate([np.repeat(unsteps(r["keys"]), unplanes(r["followers"]).astype(np.int64)) for r in rows])
-        contexts, word, n = _distinct_triples(contexts, joined_planes(rows, "words"), joined_planes(rows, "n"))
+        contexts, word, n = _distinct_triples(contexts, joined_planes(rows, "words"), spare, joined_planes(rows, "n"))
         at = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1]))
         followers = np.diff(np.append(at, len(contexts)))
         uri = words.uri

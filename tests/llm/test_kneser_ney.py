@@ -151,3 +151,32 @@ def test_numbers_come_back(tmp_path):
     kn.save_counts(str(tmp_path), "c", 0, n)
     at = np.array([3, 0, 6, 1, 4, 3])
     assert np.array_equal(kn.counts_at(str(tmp_path), "c", 0, at), n[at])
+
+
+def test_places_are_found_part_by_part_and_in_ranges_that_close():
+    import numpy as np
+
+    from quire.llm import kneser_ney as kn
+
+    rng = np.random.default_rng(9)
+    sizes = rng.integers(0, 256, 1000, dtype=np.uint8)
+    place = np.arange(1000)
+    assert kn.sums_before(sizes, place).tolist() == [int(sizes[p // kn.STEP * kn.STEP : p].sum()) for p in place]
+    parts = [np.unique(rng.integers(0, 500, n)).astype(np.uint32) for n in (300, 0, 40, 1)]
+    held, begin = np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
+    for n in (20, 4000):  # few values a part, many
+        asked = np.unique(rng.integers(0, 2000, n))
+        part, low = asked // 500, (asked % 500).astype(np.uint32)
+        at, hit = kn.search(held, low, part, begin)
+        assert hit.tolist() == [x in parts[p] for p, x in zip(part, low)] and (held[at[hit]] == low[hit]).all()
+    looked = []
+    low, high = np.array([0, 0]), np.array([1, 1024])
+    kn.bisect(lambda i: looked.append(len(i)) or i, np.array([0, 700]), low, high)
+    assert looked[0] == 2 and set(looked[1:]) == {1}  # a closed range isn't looked at again
+    for spare in (0, 24):
+        contexts, words = rng.integers(0, 30, 3000).astype(np.uint64) << np.uint64(24), rng.integers(0, 20, 3000).astype(np.uint32)
+        want, times = np.unique(np.stack([contexts, words.astype(np.uint64)], 1), axis=0, return_counts=True)
+        c, w, n = kn._distinct_triples(contexts, words, spare)
+        assert (c == want[:, 0]).all() and (w == want[:, 1]).all() and (n == times).all()
+        c, w, n = kn._distinct_triples(contexts, words, spare, np.full(3000, 2))
+        assert (c == want[:, 0]).all() and (w == want[:, 1]).all() and (n == 2 * times).all()
